@@ -132,7 +132,8 @@ def simhash_components(docs: DataFrame, words: int = 3, small: int = SMALL, smal
     """(doc_id, fingerprint, component_id): the smallest doc_id that each document reaches."""
     prints = checkpointed(fingerprints(docs, words))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(nodes.select("fp"), small, small_fine), "a", "b")
+    # written first: the optimiser (4.1) fails to carry constraints through a filter over this union
+    roots = connected_components(checkpointed(links(nodes.select("fp"), small, small_fine)), "a", "b")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
