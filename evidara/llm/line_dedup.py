@@ -162,6 +162,7 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes().alias("text")).mapInArrow(suspects, "doc_id bigint, key binary")
     held = checkpointed(held.distinct())
     known = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
+    known = checkpointed(known)  # so that the join has an exchange on both sides and a very common line can be split
     lost = held.join(known, "key").where((F.col("doc_id") < F.col("keeper")) | F.col("doc_id").isNull())
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
