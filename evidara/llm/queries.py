@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import bpe, langid, line_dedup, simhash, url_filter
+from evidara.llm import bpe, langid, line_dedup, simhash, substring_dedup, url_filter
 from evidara.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -31,7 +35,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_url_filter, op8_bpe, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op5_url_filter, op8_bpe, op9_simhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
