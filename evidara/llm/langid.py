@@ -277,6 +277,24 @@ def sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     return [x[1] for x in found if x[1]], [x[2] for x in found if x[1]]
 
 
+def predict_batch(crf: Crf | None, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The language and score of every row of a batch."""
+    pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+    if crf is None:
+        return pred, score
+    for a, b, data, offsets in byte_chunks(batch, column):
+        _, _, doc, gamma = label_words(crf, data, offsets)
+        if not len(doc):
+            continue
+        total = np.stack([np.bincount(doc, weights=gamma[:, k], minlength=b - a) for k in range(len(crf.langs))], axis=1)
+        count = np.bincount(doc, minlength=b - a)
+        sure = has_letter(data, offsets) & (count > 0)
+        best = total.argmax(axis=1)
+        pred[a:b][sure] = np.array(crf.langs, object)[best[sure]]
+        score[a:b][sure] = np.clip(total[np.arange(b - a), best][sure] / count[sure], 0, 1)
+    return pred, score
+
+
 def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row: a map over the scan."""
     spark = docs.sparkSession
@@ -285,27 +303,27 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Batches) -> Batches:
-        crf = sent.value
         for batch in batches:
-            n = batch.num_rows
-            pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            if crf is not None:
-                for a, b, data, offsets in byte_chunks(batch, "text"):
-                    _, _, doc, gamma = label_words(crf, data, offsets)
-                    if not len(doc):
-                        continue
-                    total = np.stack([np.bincount(doc, weights=gamma[:, k], minlength=b - a) for k in range(len(crf.langs))], axis=1)
-                    count = np.bincount(doc, minlength=b - a)
-                    sure = has_letter(data, offsets) & (count > 0)
-                    best = total.argmax(axis=1)
-                    pred[a:b][sure] = np.array(crf.langs, object)[best[sure]]
-                    score[a:b][sure] = np.clip(total[np.arange(b - a), best][sure] / count[sure], 0, 1)
+            pred, score = predict_batch(sent.value, batch, "text")
             yield emit(schema, [batch.column(0), batch.column(1), pred.tolist(), score])
 
     cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), as_bytes().alias("text"))
     return cols.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
+def keep_told(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows whose language is told with a score of least_score or more, all columns as they are."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs)))
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            pred, score = predict_batch(sent.value, batch, "text")
+            yield batch.filter(pa.array((pred != UNKNOWN) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the labelled rows of docs and predicts all of its rows."""
     return predict(docs, fit(*sample(docs)))
