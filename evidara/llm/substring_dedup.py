@@ -44,7 +44,7 @@ LENGTH, GRAM = 50, 20
 CROWDED = 256
 
 #: Bytes of strings that are ranked and searched together.
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 NO_DOC = np.iinfo(np.int64).max
 
@@ -313,16 +313,16 @@ def bounded_ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
         key = key * np.uint64(257) + pad[k : k + n]
     have = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        order = np.argsort(key)  # ties are beyond the depth: any order will do
+        ordered = key[order]
+        new = np.zeros(n, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(new, dtype=np.uint32)
         if have >= depth:
             return order, rank
-        after = np.zeros(n, np.int64)
-        after[: n - have] = rank[have:] + 1
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
+        key = rank << np.uint64(32)
+        key[: n - have] |= rank[have:] + np.uint64(1)
         have *= 2
 
 
@@ -336,21 +336,25 @@ def expand_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     """
     n = len(symbols)
     order, _ = bounded_ranks(symbols, length + 1)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    following = np.append(place[1:], 0)[order]  # the place of the suffix one symbol shorter: inverse of the backward step
+    place = np.empty(n + 1, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    place[n] = 0
+    following = place[order + 1]  # the place of the suffix one symbol shorter: inverse of the backward step
     first = symbols[order]
     parted = np.ones(n, bool)
     parted[1:] = first[1:] != first[:-1]
     together = np.flatnonzero(~parted)
+    right, left = following[together], following[together - 1]
+    interval = np.empty(n, np.int32)
     for _ in range(1, length):
-        interval = np.cumsum(parted)
-        splits = interval[following[together]] != interval[following[together - 1]]
+        np.cumsum(parted, dtype=np.int32, out=interval)
+        splits = interval[right] != interval[left]
         if not splits.any():
             break  # no common prefix ends between here and the threshold
         parted[together[splits]] = True
-        together = together[~splits]
-    return order, np.cumsum(parted) - 1
+        stay = ~splits
+        together, right, left = together[stay], right[stay], left[stay]
+    return order, np.cumsum(parted, dtype=np.int32) - 1
 
 
 def repeated_windows(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
