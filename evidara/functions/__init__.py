@@ -1 +1 @@
-"""See the README for what each subpackage holds."""
+"""Expressions over columns."""

@@ -1 +1 @@
-"""See the README for what each subpackage holds."""
+"""Structured Streaming and ordered state machines."""
