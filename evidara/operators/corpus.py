@@ -17,7 +17,7 @@ def index_audit(index: DataFrame) -> DataFrame:
 
 def fingerprints(files: DataFrame) -> DataFrame:
     """(path, n_bytes, file_sha256, body, valid) of binary files that hold one JSON document each."""
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return files.select("path", F.length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("file_sha256"), text.alias("body"), F.try_parse_json(text).isNotNull().alias("valid"))
 
 
