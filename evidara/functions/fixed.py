@@ -100,3 +100,61 @@ KEPT_METADATA = [
     "candidate_count_in", "candidate_count_out", "pre_rerank_ranks", "post_rerank_ranks", "scores", "input_tokens", "output_tokens",
     "evidence_support", "answer_completeness", "relevance", "unsupported_claim_risk", "overall_score",
 ]
+
+# Prefixes of the references that each ruling class has.
+CLASS_REFERENCES = {
+    "practical_compliance_guideline": ["pcg "],
+    "taxation_determination": ["td "],
+    "public_ruling": ["tr ", "cr ", "pr ", "gstr ", "mt "],
+    "law_companion_ruling": ["lcr "],
+}
+
+# Text that marks a passage as boilerplate.
+BLOCKED_TEXT = [
+    "browse all legislation", "public rulings practical compliance guidelines",
+    "this cover sheet is provided for information only", "does not form part of",
+    "on this page", "skip to", "last updated", "subscribe to", "copyright",
+    "privacy", "accessibility", "print this page", "ato law navigation",
+    "pdf version is the authorised", "pdf version is the authorized",
+    "authorised consolidated version", "authorized consolidated version",
+    "ato references", "issn:", "finalisation of this draft", "adobe reader",
+    "pdf viewer may not be able", "publications distribution service", "1300 720 092",
+    "if you rely on this ruling", "a public ruling is an expression of the commissioner",
+    "this publication provides you with the following level of protection",
+    "we acknowledge the traditional owners", "page not found | australian taxation office",
+    "omit ‘", "omit '", "correctly rely on it", "part ivaaa", "relying on this ruling",
+    "relying on this determination", "legally binding", "good faith, the commissioner will",
+    "good faith, we will apply", "is a public ruling for the purposes of",
+    "is a 'public ruling' for the purposes of",
+]
+
+# Headings that carry no evidence.
+BLOCKED_LABELS = [
+    "on this page", "contact details", "federal court", "request for valuation",
+    "notice of withdrawal", "contents", "how to obtain this publication",
+    "in footnote", "omit ‘", "omit '", "adobe reader",
+    "page not found", "what this ruling is about",
+    "by phone", "privacy notice", "school education", "interpretation now",
+    "things to know", "you need to know", "what you need to answer this question",
+    "completing this section", "key benchmark range", "about the tax help program",
+    "review permissions in access manager",
+]
+GENERIC_HEADINGS = ["introduction", "about this guide", "summary", "addendum", "preamble", "ruling", "overview", "guidance notes", "things to know", "you need to know", "what's new"]
+OPENINGS_WITHOUT_SUBSTANCE = ["this document", "this page", "the following table", "in footnote", "omit ", "insert ", "after paragraph"]
+
+# Titles of legislation in scope.
+TAX_ACTS = [
+    "income tax assessment act 1997", "income tax assessment act 1936",
+    "taxation administration act 1953", "fringe benefits tax assessment act 1986",
+    "a new tax system (goods and services tax) act 1999",
+    "superannuation industry (supervision) act 1993",
+    "income tax (transitional provisions) act 1997",
+]
+TAX_REGULATIONS = ["income tax assessment", "taxation administration", "fringe benefits tax", "a new tax system (goods and services tax)", "superannuation industry (supervision)"]
+
+# Fields that every gold case has.
+GOLD_FIELDS = [
+    "id", "question", "category", "expected_jurisdictions", "as_of_date",
+    "expected_documents", "expected_versions", "expected_locators",
+    "acceptable_alternatives", "must_abstain", "grading_notes", "expected_passages", "review_status",
+]

@@ -222,3 +222,28 @@ def passages(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema[c].type) for c in range(3)], schema=schema)
 
     return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} bigint, passage string, starts_at int")
+
+
+def table_locator_fault(children: DataFrame, tables: DataFrame) -> DataFrame:
+    """(chunk_id, fault) of table chunks: null where the located rows hold the chunk's text. tables: document_id, table_id, lines."""
+    j = children.where("chunk_type = 'table'").join(tables.select("document_id", "table_id", "lines"), ["document_id", "table_id"], "left")
+    claimed = F.array_join(F.slice("lines", F.greatest("row_start", F.lit(1)), F.greatest(F.col("row_end") - F.col("row_start") + 1, F.lit(0))), "\n\n")
+    fault = (
+        F.when(F.col("lines").isNull(), "missing_source_table")
+        .when(F.size("lines") == 0, "empty_source_table")
+        .when(F.col("row_start").isNull() | F.col("row_end").isNull() | (F.col("row_start") < 1) | (F.col("row_start") > F.col("row_end")) | (F.col("row_end") > F.size("lines")), "invalid_table_row_range")
+        .when(~claimed.contains(F.col("text")), "inexact_table_rows")
+    )
+    return j.select("chunk_id", fault.alias("fault"))
+
+
+def lines_of_tables(documents: DataFrame) -> DataFrame:
+    """(document_id, table_id, lines) of documents with tables."""
+    schema = pa.schema([("document_id", pa.string()), ("table_id", pa.string()), ("lines", pa.list_(pa.string()))])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            rows = [{"document_id": d["document_id"], "table_id": str(t.get("table_id") or f"table_{k}"), "lines": table_lines(t.get("headers"), t.get("matrix"))} for d in batch.to_pylist() for k, t in enumerate(d["tables"] or [])]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return documents.select("document_id", "tables").mapInArrow(run, "document_id string, table_id string, lines array<string>")

@@ -135,3 +135,42 @@ def set_faults(name: str, df: DataFrame, needed: list[str], column: str) -> Data
     want = F.array(*(F.lit(x) for x in needed))
     have = F.collect_set(column)
     return df.agg(have.alias("h")).select(F.lit(name).alias("fixture"), F.sort_array(F.array_except(want, "h")).alias("missing"), F.sort_array(F.array_except("h", want)).alias("unknown"))
+
+
+def reranker_report(cases: DataFrame, cuts: tuple[int, int] = (80, 20)) -> DataFrame:
+    """One row over cases (before, after, relevances, latency_ms, tokens, cost): ranking quality before and after, retention, latency and totals."""
+    from evidara.functions import stats
+
+    quality = lambda c, n: [F.round(stats.mean_reciprocal_rank(F.col(c)), 4).alias(f"{n}_mrr"), F.round(recall_at(F.col(c), cuts[1]), 4).alias(f"{n}_recall")]
+    sums = cases.agg(
+        F.count(F.lit(1)).alias("cases"), *quality("before", "first_stage"), *quality("after", "reranked"), F.round(F.avg(stats.ndcg(F.col("relevances"), cuts[1])), 4).alias("ndcg"),
+        F.round(stats.retention(F.col("before"), F.col("after"), *cuts), 4).alias("retention"), F.round(F.avg("latency_ms"), 2).alias("latency_mean"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"),
+    )
+    late = stats.order_statistics(cases, "latency_ms", [], {"latency_p50": stats.nearest_rank(0.5), "latency_p95": stats.nearest_rank(0.95)})
+    return sums.join(F.broadcast(late), F.lit(True))  # one row each
+
+
+def rank_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, rank_before, rank_after, wins) of results that either list has; wins: it moved up."""
+    j = before.select("query_id", key, F.col("rank").alias("rank_before")).join(after.select("query_id", key, F.col("rank").alias("rank_after")), ["query_id", key], "full_outer")
+    return j.withColumn("wins", F.coalesce(F.col("rank_after") < F.col("rank_before"), F.col("rank_before").isNull()))
+
+
+def abstention_rates(cases: DataFrame) -> DataFrame:
+    """One row over cases (must_abstain, abstained, n_units): abstention accuracy, false answers, context hits and mean context size."""
+    n = F.count(F.lit(1))
+    return cases.agg(
+        rate(F.count_if(F.col("abstained") == F.col("must_abstain")), n).alias("abstention_accuracy"), rate(F.count_if(F.col("must_abstain") & ~F.col("abstained")), F.count_if("must_abstain")).alias("false_answer_rate"),
+        rate(F.count_if(F.col("n_units") > 0), n).alias("context_hit_rate"), F.round(F.avg("n_units"), 4).alias("mean_context_units"),
+    )
+
+
+def metric_successes(scores: DataFrame) -> DataFrame:
+    """(metric, cases, success_rate, mean_score) of scores (metric, score, threshold) that a judge gave."""
+    return scores.groupBy("metric").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.col("score") >= F.col("threshold")).cast("int")), 4).alias("success_rate"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+def corrected(cases: DataFrame, overrides: DataFrame, columns: list[str]) -> DataFrame:
+    """Cases with the columns of keyed overrides in place of their own where these are not null."""
+    o = overrides.select("id", *(F.col(c).alias(f"_{c}") for c in columns))
+    return cases.join(o, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))

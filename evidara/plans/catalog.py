@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.plans import joins, measures, operations, registry, search, text  # noqa: F401  (importing registers the queries)
+from evidara.plans import joins, measures, operations, quality, registry, search, text  # noqa: F401  (importing registers the queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
