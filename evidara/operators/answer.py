@@ -140,3 +140,18 @@ def judged(query: Column, markdown: Column, claims: Column, limitations: Column,
     risk = F.when(bare, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - mean), 4))
     overall = 0.40 * s + 0.30 * comp + 0.20 * rel + 0.10 * (1 - risk)
     return F.struct(s.alias("evidence_support"), comp.alias("answer_completeness"), rel.alias("relevance"), risk.alias("unsupported_claim_risk"), F.round(overall, 4).alias("overall"))
+
+
+def prompt(query: Column, evidence: Column) -> Column:
+    """The question and the evidence, a headed block for each unit."""
+    block = lambda u: F.concat(F.lit("["), u["evidence_id"], F.lit("] "), F.coalesce(F.nullif(u["citation_label"], F.lit("")), u["title"]), F.lit("\n"), u["text"])
+    return F.concat_ws("\n\n", F.concat(F.lit("Question: "), query), F.array_join(F.transform(evidence, block), "\n\n"))
+
+
+def answer_faults(payload: Column) -> Column:
+    """What keeps a generated payload (JSON) from being an answer: not JSON, missing or unknown keys."""
+    keys = ["answer_markdown", "claims", "limitations", "needs_human_review"]
+    have = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    want = F.array(*map(F.lit, keys))
+    found = F.array(F.when(F.try_parse_json(payload).isNull(), "not JSON"), F.when(F.size(F.array_except(want, have)) > 0, F.concat(F.lit("missing "), F.array_join(F.array_except(want, have), ", "))), F.when(F.size(F.array_except(have, want)) > 0, F.concat(F.lit("unknown "), F.array_join(F.array_except(have, want), ", "))))
+    return F.filter(found, lambda x: x.isNotNull())

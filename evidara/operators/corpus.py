@@ -70,3 +70,42 @@ def even_sample(df: DataFrame, order: str, size: int) -> DataFrame:
         return ranked.where(F.col("row_index") < size)
     wanted = F.array(*(F.lit(round(i * (total - 1) / (size - 1))) for i in range(size)))
     return ranked.where(F.array_contains(wanted, F.col("row_index")))
+
+
+def reverified(inventory_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, fault) of inventory rows against the files as they are now: missing, changed, or another document; null where all holds."""
+    v = F.try_parse_json("body")
+    now = fingerprints(files).select("path", F.col("file_sha256").alias("now"), F.try_variant_get(v, "$.document_id", "string").alias("now_id"), F.try_variant_get(v, "$.version.version_id", "string").alias("now_version"))
+    j = inventory_rows.join(now, "path", "left")
+    same = F.col("document_id").eqNullSafe(F.col("now_id")) & F.col("version_id").eqNullSafe(F.col("now_version"))
+    return j.select("path", F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("file_sha256"), "changed").when(~same, "other_document").alias("fault"))
+
+
+def active_children(children: DataFrame, report_is_valid: bool) -> DataFrame:
+    """Active chunks with `fault` for ids that are not 64 characters or not the chunk's hash, and empty contents; refuses an export that did not pass its audit."""
+    if report_is_valid is not True:
+        raise ValueError("the export's verification report is not valid")
+    fault = F.when(F.length("chunk_id") != 64, "bad_id").when(~F.col("chunk_hash").eqNullSafe(F.col("chunk_id")), "hash_mismatch").when(F.coalesce(F.trim("content"), F.lit("")) == "", "empty_content")
+    return children.where("is_active is true").withColumn("fault", fault)
+
+
+def embedding_manifest(inputs: DataFrame, key: str, text: str, batch: int = 128) -> DataFrame:
+    """One row: inputs, UTF-8 bytes, batches and an extrapolated number of tokens."""
+    n = F.count(F.lit(1))
+    return inputs.agg(n.alias("inputs"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint").alias("utf8_bytes"), F.ceil(n / batch).cast("bigint").alias("batches"), F.ceil(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) / 4).cast("bigint").alias("estimated_tokens"))
+
+
+def catalog_rows(documents: DataFrame) -> DataFrame:
+    """One flat row per document with defaults for what its classification leaves out."""
+    get = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in documents.columns else F.lit(other)
+    return documents.select(
+        F.sha2(F.concat_ws("\x1f", "document_id", "version_id", F.lit("catalog")), 256).alias("catalog_id"), "document_id", "version_id", "title", "publisher", "source_url", "source_class",
+        get("binding_effect", "none").alias("binding_effect"), get("authority_rank", 100).alias("authority_rank"), get("historical_guidance", False).alias("historical_guidance"), "canonical_reference_id",
+    )
+
+
+def metadata_faults(rows: DataFrame, needed: list[str], forbidden: list[str]) -> DataFrame:
+    """(fault, n): needed columns that are null and forbidden columns that are there at all."""
+    checks = [F.struct(F.lit(f"missing {c}").alias("fault"), (F.count_if(F.col(c).isNull()) if c in rows.columns else F.count(F.lit(1))).alias("n")) for c in needed]
+    checks += [F.struct(F.lit(f"forbidden {c}").alias("fault"), F.count(F.lit(1)).alias("n")) for c in forbidden if c in rows.columns]
+    return rows.agg(F.array(*checks).alias("f")).select(F.explode("f").alias("f")).select("f.*").where("n > 0")

@@ -154,3 +154,46 @@ def decision_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.make_date((1990 + i % 30).cast("int"), (1 + i % 12).cast("int"), (1 + i % 28).cast("int"))
     text = F.concat(F.lit("Date of judgment: "), F.date_format(day, "d MMMM yyyy"), F.lit(" and 1 May 2030"))
     return table(spark, sf_dir, "documents").select("doc_id", court.decision_date(F.lit("Heard 2 June 1980"), F.array(text)).alias("day"))
+
+
+@query("SELECT count(*)::BIGINT AS inputs, sum(strlen(text))::BIGINT AS utf8_bytes, ceil(count(*) / 128)::BIGINT AS batches, ceil(sum(strlen(text)) / 4)::BIGINT AS estimated_tokens FROM documents")
+def embedding_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidara.operators import corpus
+
+    return corpus.embedding_manifest(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'bad_id' WHEN doc_id % 13 = 0 THEN 'hash_mismatch' WHEN doc_id % 17 = 0 OR trim(text, ' ') = '' THEN 'empty_content' END AS fault FROM documents WHERE doc_id % 7 <> 0")
+def active_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidara.operators import corpus
+
+    i = F.col("doc_id")
+    h = F.sha2(i.cast("string"), 256)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 11 == 0, "short").otherwise(h).alias("chunk_id"), F.when(i % 13 == 0, "other").otherwise(h).alias("chunk_hash"), F.when(i % 17 == 0, " ").otherwise(F.col("text")).alias("content"), (i % 7 != 0).alias("is_active"))
+    return corpus.active_children(d, True).select("doc_id", "fault")
+
+
+@query("SELECT 'missing lang' AS fault, count(*) FILTER (doc_id % 9 = 0)::BIGINT AS n FROM documents UNION ALL SELECT 'missing heading', count(*)::BIGINT FROM documents UNION ALL SELECT 'forbidden secret', count(*)::BIGINT FROM documents")
+def metadata_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidara.operators import corpus
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang"), F.lit("x").alias("secret"))
+    return corpus.metadata_faults(d, ["lang", "heading", "doc_id"], ["secret", "token"])
+
+
+@query("SELECT item_id, 'Question: ' || text || chr(10) || chr(10) || '[E1] item ' || item_id || chr(10) || text || chr(10) || chr(10) || '[E2] T' || chr(10) || 'two' AS prompt FROM benchmark")
+def prompt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidara.operators import answer
+
+    one = F.struct(F.lit("E1").alias("evidence_id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("citation_label"), F.lit("T").alias("title"), F.col("text"))
+    two = F.struct(F.lit("E2").alias("evidence_id"), F.lit("").alias("citation_label"), F.lit("T").alias("title"), F.lit("two").alias("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", answer.prompt(F.col("text"), F.array(one, two)).alias("prompt"))
+
+
+@query("SELECT * FROM (VALUES (1, ''), (2, 'missing limitations, needs_human_review; unknown extra'), (3, 'not JSON; missing answer_markdown, claims, limitations, needs_human_review')) AS v(n, faults)")
+def answer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against the outcomes worked out by hand for each case."""
+    from evidara.operators import answer
+
+    rows = [(1, '{"answer_markdown": "x", "claims": [], "limitations": [], "needs_human_review": false}'), (2, '{"answer_markdown": "x", "claims": [], "extra": 1}'), (3, "{not json")]
+    return spark.createDataFrame(rows, "n int, payload string").select("n", F.array_join(answer.answer_faults(F.col("payload")), "; ").alias("faults"))

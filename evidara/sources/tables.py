@@ -110,3 +110,27 @@ def verified(spark: SparkSession, path: str, order: dict[str, str]) -> DataFrame
 def review_sheet(cases: DataFrame, path: str) -> None:
     """A CSV row per case, header first."""
     cases.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def restored(spark: SparkSession, path: str, target: str, order: dict[str, str]) -> DataFrame:
+    """Copies a snapshot into an empty target and checks the copies against the manifest."""
+    bad = verified(spark, path, order).where("not ok")
+    if not bad.isEmpty():
+        raise ValueError("the snapshot does not match its manifest")
+    for name in order:
+        spark.read.parquet(f"{path}/{name}").write.mode("errorifexists").parquet(f"{target}/{name}")
+    spark.read.schema("name string, rows bigint, digest string").json(f"{path}/manifest").write.mode("errorifexists").json(f"{target}/manifest")
+    return verified(spark, target, order)
+
+
+def manifest_lines(spark: SparkSession, path: str, sha256: str, schema: str) -> DataFrame:
+    """JSON lines of one file whose digest must be the manifest's."""
+    found = files(spark, path).select(F.sha2("content", 256).alias("h")).collect()  # one row per file of the path
+    if [r.h for r in found] != [sha256]:
+        raise ValueError("the inventory does not match its manifest")
+    return json_lines(spark, path, schema)
+
+
+def report(df: DataFrame, path: str) -> None:
+    """A small report as one JSON file, replaced as a whole: written beside, then swapped by the committer."""
+    df.coalesce(1).write.mode("overwrite").json(path)
