@@ -10,7 +10,8 @@ The model is learned from a bounded sample of labelled rows: ``SAMPLE_DOCS`` per
 in the order of a hash of doc_id, and at most ``SAMPLE_WORDS`` words of each language's. Only
 rows outside the held-out quarter are learned from. Only text is an input of a prediction.
 
-Null text, or text without a letter: `und` with score 0. If there is nothing to learn
+Null text, or text without a letter: `und` with score 0. Rows without a doc_id are predicted, not
+learned from. If there is nothing to learn
 from, every row is `und`. Ties go to the language that sorts first.
 """
 
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import LOWER, Batches, as_bytes, byte_chunks, emit, range_hashes, small_batches, words_of
+from evidara.llm.common import LOWER, Batches, as_bytes, byte_chunks, emit, mix64, range_hashes, small_batches, words_of
 
 CHAIN = 96
-SAMPLE_DOCS, SAMPLE_WORDS = 160, 60_000
+SAMPLE_DOCS, SAMPLE_WORDS = 400, 50_000
 MAX_LANGS = 200
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
@@ -97,6 +98,16 @@ def _known(lexicon: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return lexicon[at] == hashes
 
 
+def range_hashes_of_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 200_000) -> np.ndarray:
+    """range_hashes, some words at a time."""
+    out = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), block):
+        b = min(len(start), a + block)
+        lo, hi = start[a], end[b - 1]
+        out[a:b] = range_hashes(data[lo:hi], start[a:b] - lo, end[a:b] - lo)
+    return out
+
+
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) pairs of all features, for learning."""
     owner = np.searchsorted(start, np.arange(len(data)), side="right") - 1
@@ -193,18 +204,23 @@ def fit(texts: list[bytes], labels: list[str]) -> Crf | None:
     label_of_doc = np.array([langs.index(x) for x in labels])
     y_chain = label_of_doc[doc[first]] if len(first) else np.zeros(0, np.int64)
     # words of each language up to the bound, chain by chain in a fixed shuffled order
-    order = np.argsort(range_hashes(data, start[first], end[first + length - 1]), kind="stable") if len(first) else first
+    order = np.argsort(mix64(range_hashes_of_words(data, start[first], end[first]) + start[first].astype(np.uint64)), kind="stable") if len(first) else first
     kept = []
     for k in range(n_langs):
         mine = order[y_chain[order] == k]
         kept.append(mine[: int(np.searchsorted(np.cumsum(length[mine]), SAMPLE_WORDS, side="right")) + 1])
     chains = np.concatenate(kept)
-    h = range_hashes(data, start, end)
-    values, counts = np.unique(h, return_counts=True)
+    values, counts = np.unique(range_hashes_of_words(data, start, end), return_counts=True)
     lexicon = values[counts > 1]
+    # from here on only the chosen chains: a line each
+    y_chain = y_chain[chains]
+    data = np.frombuffer(b"\n".join(data[start[f] : end[f + n - 1]].tobytes() for f, n in zip(first[chains], length[chains])), np.uint8)
+    start, end, doc = words_of(data, np.array([0, len(data)]))
+    first, length = chains_of(data, start, doc)
+    chains = np.arange(len(first))
     word, bucket = features(data, start, end, lexicon)
     by = np.argsort(word, kind="stable")
-    word, bucket = word[by], bucket[by]
+    word, bucket = word[by], bucket[by].astype(np.int32)
     edges = np.searchsorted(word, np.arange(len(start) + 1))
     w, t, s = np.zeros((BUCKETS, n_langs), np.float32), np.zeros((n_langs, n_langs)), np.zeros(n_langs)
     gw, gt, gs = (np.full_like(x, 1e-6) for x in (w, t, s))
@@ -215,7 +231,7 @@ def fit(texts: list[bytes], labels: list[str]) -> Crf | None:
         ids = np.repeat(first[piece] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(piece) else np.zeros(0, np.int64)
         many = edges[ids + 1] - edges[ids]
         at = np.repeat(edges[ids] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(ids) else ids
-        prepared.append((np.repeat(np.arange(len(ids)), many), bucket[at], np.repeat(y_chain[piece], n), np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n))
+        prepared.append((np.repeat(np.arange(len(ids), dtype=np.int32), many), bucket[at], np.repeat(y_chain[piece], n), np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n))
     for _ in range(EPOCHS):
         for owner, b, y, heads, n in prepared:
             if not len(y):
@@ -263,7 +279,7 @@ def held_out() -> Column:
 
 def sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """Whole texts of SAMPLE_DOCS labelled rows of each language, and their labels."""
-    rows = docs.where(F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     ids = None
     for lang in sorted(langs):

@@ -11,7 +11,8 @@
 
 Null or empty text is one empty line; keys shorter than ``min_chars`` are never dropped.
 A document keeps all its own copies of a line, or loses them all. Rows that repeat a
-doc_id count as one document. Other columns stay as they are.
+doc_id count as one document, rows without one as one that is smaller than all others. Other
+columns stay as they are.
 """
 
 from __future__ import annotations

@@ -80,3 +80,8 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     assert L.identify(table(spark, [(1, "x", "en")]).where("doc_id < 0")).collect() == []
     kept = L.keep_told(table(spark, corpus(60) + [(999, "1 2 3", "en")]).selectExpr("*", "1 as score"), 0.5)
     assert kept.columns[-1] == "score" and kept.where("doc_id = 999").count() == 0 and kept.count() == 59
+
+
+def test_labelled_rows_without_words(spark):
+    rows = [(1, " \n ", "en"), (3, "", "fr"), (4, None, "fr")]
+    assert {r.lang_pred for r in L.identify(table(spark, rows)).collect()} == {"und"}
