@@ -41,6 +41,18 @@ def parts(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of what a frame reads: file sizes, no job; 0 where it knows none and says so by a huge number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,13 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import Batches, as_bytes, checkpointed, emit, parts, small_batches
+from evidara.llm.common import Batches, as_bytes, checkpointed, emit, input_bytes, parts, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
 #: All twice-seen filters together, whatever the size of the corpus.
 FILTER_BYTES = 64 << 20
 
+#: A share of the hashes comes from no more than this of the input files, however few shuffle partitions are set.
+SHARE_BYTES = 128 << 20
+
 #: Hashes that a task gathers before it passes them on.
 FLUSH = 400_000
 
@@ -134,7 +137,7 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(doc_id, keys): the lines that each document loses."""
     spark = docs.sparkSession
     small_batches(spark)
-    shares = min(1024, parts(spark))
+    shares = max(parts(spark), -(-input_bytes(docs) // SHARE_BYTES))
     sent = spark.sparkContext.broadcast(_filters(docs, min_chars, shares))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
 

@@ -143,3 +143,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
             yield packed(block, pieces, pad, kind)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, DDL)
+
+
+def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    """Writes the packed rows as Parquet and reads them back."""
+    pack_documents(docs, capacity, vocabulary).write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def matrix(rows: list, capacity: int, wide: bool = False) -> np.ndarray:
+    """The ids of packed rows as one matrix."""
+    return np.stack([np.frombuffer(bytes(r.ids), "<u4" if wide else "<u2") for r in rows]) if rows else np.zeros((0, capacity), "<u4" if wide else "<u2")

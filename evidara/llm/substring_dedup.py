@@ -36,13 +36,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import as_bytes, byte_chunks, mix64, parts, range_hashes, small_batches
+from evidara.llm.common import as_bytes, byte_chunks, input_bytes, mix64, parts, range_hashes, small_batches
 
 LENGTH, GRAM = 50, 20
 
 #: Names found in more shares than this are dealt out window by window.
 CROWDED = 256
 
+#: A share of the documents reads no more than this of the input files, however few shuffle partitions are set.
+SHARE_BYTES = 32 << 20
+
 #: Bytes of strings that are ranked and searched together.
 BLOCK = 500_000
 
@@ -486,7 +489,7 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; kept as well if asked for."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = shares or parts(spark, 2)
+    n = shares or max(parts(spark, 2), -(-input_bytes(docs) // SHARE_BYTES))
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_DOC)))
     dealt = docs.select(key.alias("key"), as_bytes().alias("text")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
     asked = dealt.groupBy("part").applyInArrow(lambda t: ask_directory(t, n, length, gram), REQUEST_DDL)

@@ -31,10 +31,11 @@ def test_tree_packs_as_plain_best_fit_does():
             assert sorted(capacity - sum(sizes[k] for k in r) for r in rows) == plain_best_fit(sizes, capacity)
 
 
-def test_round_trip(docs):
+def test_round_trip(docs, tmp_path):
     texts = ["hello world " * k for k in (0, 1, 3, 40, 900)] + [None, "<|endoftext|> é🙂", "x" * 30_000, "same", "same"]
     encode, decode, pad = P.tokenizer(P.default_vocabulary())
-    rows = P.pack_documents(docs(texts), capacity=64).collect()
+    rows = P.write_packed(docs(texts), str(tmp_path / "packed"), capacity=64).collect()
+    assert P.matrix(rows, 64).shape == (len(rows), 64)
     pieces = defaultdict(list)
     for r in rows:
         ids = np.frombuffer(bytes(r.ids), "<u2")
