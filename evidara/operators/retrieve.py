@@ -87,9 +87,11 @@ def dense_candidates(queries: DataFrame, vectors: DataFrame, k: int = fixed.DENS
 
 
 def dense_candidates_sql(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """The same by built-in functions, for small tables and as a check."""
+    """The same by built-in functions, as a check; refuses more queries than go out at once."""
+    if queries.count() > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries")
     dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")).limit(QUERY_BLOCK)), F.lit(True))
+    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))), F.lit(True))  # at most QUERY_BLOCK rows
     return top(pairs.select("query_id", key, dot.alias("score")), ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 

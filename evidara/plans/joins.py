@@ -118,18 +118,18 @@ def coverage_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def reference_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that stand in a document: the items are the query set, sent out in one block; documents are read once."""
-    from evidara.operators.retrieve import QUERY_BLOCK
-
-    items = table(spark, sf_dir, "benchmark")
-    blocks = max(1, -(-items.count() // QUERY_BLOCK))
-    docs, found = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")), None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # a block of the query set
-        wanted = F.array(*(F.struct(F.lit(r.item_id).alias("item_id"), F.lit((r.text or "").lower()).alias("t")) for r in rows))
-        hits = docs.select("doc_id", F.explode(F.transform(F.filter(wanted, lambda w: F.col("low").contains(w["t"])), lambda w: w["item_id"])).alias("item_id"))
-        found = hits if found is None else found.unionByName(hits)
-    return found.select("item_id", "doc_id")
+    """Items that stand in a document: a document that holds an item has the item's longest inner word as a word of its own.
+
+    That word is the key of the join; items without one are compared with every document.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    inner = F.filter(F.slice(F.split(low, r"\s+"), F.lit(2), F.greatest(F.size(F.split(low, r"\s+")) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", low.alias("item"), longest.alias("word"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", low.alias("low"))
+    keyed = docs.select("doc_id", "low", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word")).join(items.where("word <> ''"), "word")
+    bare = docs.join(items.where("word = ''"), F.col("low").contains(F.col("item")))
+    return keyed.where(F.col("low").contains(F.col("item"))).select("item_id", "doc_id").unionByName(bare.select("item_id", "doc_id"))
 
 
 @query("SELECT o_custkey AS custkey, max_by(o_orderstatus, o_orderkey) AS status, max_by(o_totalprice, o_orderkey) AS price FROM orders GROUP BY o_custkey")
