@@ -36,7 +36,9 @@ def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.parents_of(chunk.chunked(documents(spark, sf_dir))).select("document_id", "parent_id", "parent_index", "text_units", "children")
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT doc_id, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 650) AS s FROM documents), p AS (SELECT doc_id, regexp_extract(s, '(?s)^(.*[.!?])(?:\s|$)', 1) AS p FROM c)
+SELECT doc_id, p AS passage, 0 AS starts_at FROM p WHERE length(p) >= 120""")
 def passage_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.passages(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -94,17 +96,36 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.offered_load(_calls(spark, sf_dir), "user_id", 86_400).select("event_id", "load")
 
 
-@query()
+_ORDERED = "SELECT event_id, user_id, epoch(date_trunc('second', ts))::BIGINT AS s, coalesce(value, 0) AS cost, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)), event_id) AS n FROM events"
+
+
+@query(f"""
+WITH RECURSIVE o AS ({_ORDERED}),
+f AS (SELECT user_id, n, event_id, true AS admitted, [s] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, s) ELSE live END FROM
+    (SELECT o.user_id, o.n, o.event_id, o.s, list_filter(f.kept, lambda t: t > o.s - 86400) AS live FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+SELECT user_id, event_id, admitted FROM f""")
 def rate_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.admissions(_calls(spark, sf_dir), "user_id", 2, 86_400.0)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE o AS ({_ORDERED}),
+f AS (SELECT user_id, n, event_id, cost <= 500 AS accepted, CASE WHEN cost <= 500 THEN cost ELSE 0 END AS spent FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.n, o.event_id, f.spent + o.cost <= 500, CASE WHEN f.spent + o.cost <= 500 THEN f.spent + o.cost ELSE f.spent END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, event_id, accepted, round(spent, 6) AS spent FROM f""")
 def spend_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.spending(_calls(spark, sf_dir).select("user_id", "event_id", "at", F.coalesce("value", F.lit(0.0)).alias("cost")), "user_id", 500.0)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE o AS ({_ORDERED}),
+f AS (SELECT user_id, n, event_id, CASE WHEN failed THEN 'failed' ELSE 'ok' END AS outcome, 'CLOSED' AS state, failed::INT AS fails, 0::BIGINT AS since FROM o WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, CASE WHEN closed THEN 'rejected' WHEN failed THEN 'failed' ELSE 'ok' END,
+    CASE WHEN closed THEN 'OPEN' WHEN NOT failed THEN 'CLOSED' WHEN was = 'OPEN' OR fails + 1 >= 2 THEN 'OPEN' ELSE was END,
+    CASE WHEN closed THEN fails WHEN NOT failed THEN 0 ELSE fails + 1 END, CASE WHEN NOT closed AND failed AND (was = 'OPEN' OR fails + 1 >= 2) THEN s ELSE since END FROM
+    (SELECT o.user_id, o.n, o.event_id, o.s, o.failed, f.state AS was, f.fails, f.since, f.state = 'OPEN' AND o.s - f.since <= 3600 AS closed FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+SELECT user_id, event_id, outcome, state FROM f""")
 def circuit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.circuit_states(_calls(spark, sf_dir), "user_id", 2, 3_600.0)
 

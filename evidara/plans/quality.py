@@ -118,7 +118,7 @@ def table_locator_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.agg(F.count("fault").alias("failures"), F.count(F.lit(1)).alias("chunks"))
 
 
-@query()
+@query("SELECT doc_id, sha256(text) AS input_sha256, 1.0::DOUBLE AS norm FROM documents WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''")
 def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of all documents from the local provider, in micro-batches, with what identifies their input."""
     e = providers.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", providers.local_embedding(16), 16)

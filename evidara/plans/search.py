@@ -199,7 +199,19 @@ def near_duplicates_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.deduplicated(candidates(spark, sf_dir)).select("query_id", "rank", "doc_id")
 
 
-@query()
+_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Nl}_]+(?:[''’\-][\p{L}\p{M}\p{Nd}\p{Nl}_]+)*|[^\p{L}\p{M}\p{Nd}\p{Nl}_\s]'))"
+_RERANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, rank) AS reranked FROM ({_SIGNALS})"
+
+
+@query(f"""
+WITH RECURSIVE k AS (SELECT query_id, 'p' || doc_id // 4 AS parent_id, min(reranked) AS at_ FROM ({_RERANKED}) WHERE reranked <= {fixed.CHILD_LIMIT} GROUP BY ALL),
+u AS (SELECT 'p' || doc_id // 4 AS parent_id, sum({_TOKENS}) AS units FROM documents GROUP BY ALL),
+o AS (SELECT query_id, parent_id, units, row_number() OVER (PARTITION BY query_id ORDER BY at_, parent_id) AS n FROM k JOIN u USING (parent_id)),
+f AS (SELECT query_id, n, parent_id, units, true AS taken, 1 AS kept, units AS total FROM o WHERE n = 1
+  UNION ALL SELECT o.query_id, o.n, o.parent_id, o.units, f.kept < {fixed.MAX_EVIDENCE} AND f.total + o.units <= {fixed.TOKEN_BUDGET},
+    f.kept + (f.kept < {fixed.MAX_EVIDENCE} AND f.total + o.units <= {fixed.TOKEN_BUDGET})::INT, f.total + CASE WHEN f.kept < {fixed.MAX_EVIDENCE} AND f.total + o.units <= {fixed.TOKEN_BUDGET} THEN o.units ELSE 0 END
+    FROM f JOIN o ON o.query_id = f.query_id AND o.n = f.n + 1)
+SELECT query_id, kept::INTEGER AS ordinal, 'E' || kept AS evidence_id, parent_id, units::BIGINT AS text_units, total::BIGINT AS used_units FROM f WHERE taken""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents are groups of four documents; a parent's size is the tokens of its documents."""
     kids = rerank.reranked(candidates(spark, sf_dir)).select("query_id", "reranked", F.concat(F.lit("p"), F.floor(F.col("doc_id") / 4).cast("string")).alias("parent_id"))
@@ -245,7 +257,9 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("query_id", F.size("claims").alias("n_claims"), v.alias("v"), j.alias("j")).select("query_id", "n_claims", F.size("v.errors").alias("n_errors"), "v.evidence_state", "j.evidence_support", "j.relevance", "j.overall")
 
 
-@query()
+@query(f"""
+WITH r AS ({_RERANKED}) SELECT query_id, 'cit_0' || reranked AS citation_id, 'E' || reranked AS evidence_id, 'doc' || doc_id AS document_id,
+  ([{", ".join(map(quoted, CLASSES))}])[(doc_id % {len(CLASSES)})::INTEGER + 1] AS display FROM r WHERE reranked <= 4""")
 def citation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.citations(answers(spark, sf_dir))
 
