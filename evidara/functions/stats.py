@@ -7,18 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def order_statistics(df: DataFrame, value: str, by: list[str], picks: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, value: str, by: list[str], picks: dict[str, Column], ranges: int = 256) -> DataFrame:
     """Values at computed places of the ascending order; picks: name -> zero-based index in terms of column n.
 
-    Rows are counted per distinct value first, so a group is never gathered: what is
-    ordered is one row per distinct value, and places are found in the running counts.
+    Exact, and no group is ordered as a whole: rows are counted per distinct value, values are put
+    into ranges by approximate quantiles, and only the ranges that hold a wanted place are ordered.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    known = df.where(F.col(value).isNotNull())
+    cuts = sorted(set(known.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
+    edges = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(value))))
     keys = by or [F.lit(0)]
-    running = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_c").over(Window.partitionBy(*keys))
-    placed = counts.select(*by, value, running.alias("_upto"), F.col("_c"), total.alias("n"))
-    found = {name: F.min(F.when(F.col("_upto") > F.least(F.col("n") - 1, index), F.col(value))) for name, index in picks.items()}
+    per = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_n"))
+    w = Window.partitionBy(*keys)
+    per = per.select(*by, "_range", F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), "_n", F.sum("_n").over(w).alias("n"))
+    place = {name: F.least(F.col("n") - 1, index) for name, index in picks.items()}
+    wanted = F.lit(False)
+    for p in place.values():
+        wanted = wanted | ((F.col("_before") <= p) & (p < F.col("_before") + F.col("_n")))
+    r = per.where(wanted).select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_r"), "_before", "n")
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    near = counts.join(r, same)
+    running = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = near.select(*by, value, "n", "_before", (F.col("_before") + running).alias("_upto"))
+    found = {name: F.min(F.when((F.col("_before") <= p) & (F.col("_upto") > p), F.col(value))) for name, p in place.items()}
     return placed.groupBy(*by).agg(*(c.alias(name) for name, c in found.items()))
 
 

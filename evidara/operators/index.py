@@ -66,14 +66,19 @@ def reconciled(staged: DataFrame, expected: int, target: DataFrame, key: str) ->
     return both.select("staged", F.lit(expected).alias("expected"), "orphans", ((F.col("staged") == expected) & (F.col("orphans") == 0)).alias("valid"))
 
 
-def table_digest(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """(rows, digest) of a table: SHA-256 of ordered rows within 256 hash buckets, then of the buckets' digests in order.
+#: Hex digits of a hash that name a bucket of a digest: 65,536 buckets.
+BUCKET_DIGITS = 4
 
-    The order is total within a bucket and the buckets are numbered, so the digest depends on the rows
-    alone; no task sees more than a bucket.
+
+def table_digest(df: DataFrame, order: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, rows, digest) of a table or of each of its groups: SHA-256 of ordered rows within hash buckets, then of the buckets' digests in order.
+
+    The order is total within a bucket and the buckets are named, so a digest depends on the rows
+    alone; no task sees more than a bucket of rows.
     """
+    by = by or []
     line = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in columns))
     key = F.col(order).cast("string")
-    rows = df.select(F.substring(F.sha2(key, 256), 1, 2).alias("b"), F.struct(key.alias("o"), F.sha2(line, 256).alias("h")).alias("r"))
-    parts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias("d"))
-    return parts.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda r: r["d"]), ""), 256).alias("digest"))
+    rows = df.select(*by, F.substring(F.sha2(key, 256), 1, BUCKET_DIGITS).alias("b"), F.struct(key.alias("o"), F.sha2(line, 256).alias("h")).alias("r"))
+    parts = rows.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias("d"))
+    return parts.groupBy(*by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda r: r["d"]), ""), 256).alias("digest"))

@@ -169,17 +169,20 @@ def dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("content_sha256").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+def _digest_sql(by: str) -> str:
+    return f"""
+WITH r AS (SELECT {by} substr(sha256(doc_id::VARCHAR), 1, {index.BUCKET_DIGITS}) AS b, doc_id::VARCHAR AS o, sha256(doc_id || chr(31) || text || chr(31) || lang || chr(31) || source) AS h FROM documents),
+p AS (SELECT {by} b, count(*) AS n, sha256(string_agg(h, '' ORDER BY o, h)) AS d FROM r GROUP BY {by} b)
+SELECT {by} sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM p {"GROUP BY " + by.rstrip(", ") if by else ""}"""
+
+
+@query(_digest_sql("source, "))
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered digest of each shard."""
-    rows = table(spark, sf_dir, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("r"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias("digest"))
+    """A digest of each shard."""
+    return index.table_digest(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text", "lang", "source"], ["source"])
 
 
-@query("""
-WITH r AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 2) AS b, doc_id::VARCHAR AS o, sha256(doc_id || chr(31) || text || chr(31) || lang || chr(31) || source) AS h FROM documents),
-p AS (SELECT b, count(*) AS n, sha256(string_agg(h, '' ORDER BY o, h)) AS d FROM r GROUP BY b)
-SELECT sum(n)::BIGINT AS rows, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM p""")
+@query(_digest_sql(""))
 def corpus_table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest of the whole table, by buckets; no task sees more than one."""
     return index.table_digest(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text", "lang", "source"])
