@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from evidara.llm.common import Batches, emit, small_batches
 
@@ -74,6 +75,9 @@ class ForcedBoundaryBpe:
                 joined[x << 8 | y] = 1
         #: joined[x << 8 | y]: the pair x, y occurs inside some token; 0 marks a forced boundary.
         self.joined = bytes(joined)
+        self.library = Tokenizer.from_file(path)
+        self.library_split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.unsure = self.unsure_characters()
         #: Words met lately and, from the time before these filled up, older ones.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -143,6 +147,25 @@ class ForcedBoundaryBpe:
             self.words[word] = ids
         return ids
 
+    def unsure_characters(self) -> frozenset[str]:
+        """Characters that the Unicode tables here and those of the library may treat differently, unassigned ones included."""
+        every = [chr(c) for c in range(128, 0x32400) if not 0xD800 <= c < 0xE000]
+        whole = "\0".join(every)
+        theirs = self.library.normalizer.normalize_str(whole).split("\0")
+        odd = {c for c, t in zip(every, theirs) if self.normal(c) != t} if len(theirs) == len(every) else set(every)
+        odd |= {c for c in every if unicodedata.category(c) == "Cn"}
+        for kind in (r"\p{L}", r"\p{N}", r"\s"):
+            split = pre_tokenizers.Split(Regex(kind), "removed", invert=True)
+            odd |= {t for t, _ in split.pre_tokenize_str(whole)} ^ set(regex.findall(kind, whole))
+        return frozenset(odd - {"\0"})
+
+    def words_in(self, text: str) -> list[str]:
+        """The words of a text; texts with unsure characters are normalised and split by the library itself."""
+        if not (text.isascii() or self.unsure.isdisjoint(text)):
+            plain = self.library.normalizer.normalize_str(text)
+            return [w for w, _ in self.library_split.pre_tokenize_str(plain)]
+        return self.pattern.findall(self.normal(text))
+
     @staticmethod
     def normal(text: str) -> str:
         """Canonical composition, then lower case letter by letter (no final-sigma rule)."""
@@ -152,7 +175,7 @@ class ForcedBoundaryBpe:
 
     def _ordinary(self, text: str, out: list[bytes]) -> None:
         get, word = self.words.get, self.word
-        for w in self.pattern.findall(self.normal(text)):
+        for w in self.words_in(text):
             out.append(get(w) or word(w))
 
     def encode(self, text: str | None) -> bytes:
