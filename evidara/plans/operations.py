@@ -48,7 +48,18 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return court.pages_to_blocks(table(spark, sf_dir, "pages")).select("page_id", "title", F.size("blocks").alias("n_blocks"), F.sha2(F.array_join("blocks", "\n"), 256).alias("digest"))
 
 
-@query()
+_HEAD = r"'(?s)^\s*\[?(\d{1,4})\]?\s+(.+)$'"
+_OPENS = "coalesce(TRY_CAST(num AS INT) > last AND TRY_CAST(num AS INT) <= last + 3, false)"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN '[' || ((i - 1) // 3 + 1) || '] ' || x ELSE x END) AS b FROM documents),
+f AS (SELECT doc_id, 0 AS i, 0 AS last, '' AS text, []::STRUCT(n INT, t VARCHAR)[] AS done FROM d
+  UNION ALL SELECT doc_id, i, CASE WHEN {_OPENS} THEN TRY_CAST(num AS INT) ELSE last END,
+    CASE WHEN {_OPENS} THEN trim(body, ' ') WHEN last > 0 THEN trim(text || ' ' || x, ' ') ELSE '' END, CASE WHEN {_OPENS} AND last > 0 THEN list_append(done, {{'n': last, 't': text}}) ELSE done END FROM
+    (SELECT f.doc_id, f.i + 1 AS i, f.last, f.text, f.done, d.b[f.i + 1] AS x, regexp_extract(d.b[f.i + 1], {_HEAD}, 1) AS num, regexp_extract(d.b[f.i + 1], {_HEAD}, 2) AS body FROM f JOIN d USING (doc_id) WHERE f.i < len(d.b))),
+p AS (SELECT f.doc_id, unnest(CASE WHEN f.last > 0 THEN list_append(f.done, {{'n': f.last, 't': f.text}}) ELSE f.done END) AS p FROM f JOIN d USING (doc_id) WHERE f.i = len(d.b))
+SELECT doc_id, p.n AS number, length(p.t)::INTEGER AS n_chars FROM p WHERE len(list_filter(string_split_regex(p.t, '\\s+'), lambda w: w <> '')) >= 5""")
 def numbered_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks are the lines of a document, each third one numbered."""
     lines = F.transform(F.split("text", "\n"), lambda x, k: F.when(k % 3 == 0, F.concat(F.lit("["), (F.floor(k / 3) + 1).cast("string"), F.lit("] "), x)).otherwise(x))

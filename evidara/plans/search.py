@@ -10,6 +10,7 @@ from evidara.functions import text as T
 from evidara.operators import answer, index, rerank, retrieve
 
 from evidara.plans.registry import query, quoted, table, values
+from evidara.plans.text import LETTERS, identifiers_sql
 
 # Chunks of the test tables: a document is a chunk of its source; every seventh one is inactive.
 _CHUNKS = "SELECT doc_id AS chunk_id, 'doc' || doc_id AS document_id, '[DOCUMENT: ' || lang || ' ' || source || ']' AS contextual_header, source AS canonical_reference_id, source || '#' || lang AS section_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 4)::INTEGER END AS authority_rank, doc_id % 7 <> 0 AS is_active FROM documents"
@@ -239,7 +240,20 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return five.groupBy("query_id").agg(F.first("query").alias("query"), F.sort_array(F.collect_list(unit)).alias("evidence"))
 
 
-@query()
+_UNITS = f"""SELECT r.query_id, b.text AS query, r.doc_id, r.reranked, r.composite, d.text AS content, '[DOCUMENT: ' || d.lang || ']' AS title, ([{", ".join(map(quoted, CLASSES))}])[(r.doc_id % {len(CLASSES)})::INTEGER + 1] AS label
+  FROM ({_RERANKED}) r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.doc_id WHERE r.reranked <= 5"""
+_STOP = "[" + ", ".join(map(quoted, fixed.STOP_WORDS)) + "]"
+
+
+@query(f"""
+WITH e AS (SELECT query_id, trim(query) AS q, string_agg(lower(content), ' ' ORDER BY reranked) AS corpus, max(composite) AS best, bool_or(doc_id % 2 = 0) AS agreement, flatten(list([label, title])) AS labels FROM ({_UNITS}) GROUP BY ALL),
+w AS (SELECT *, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x) AND length(x) > 2) AS words, list_filter({identifiers_sql("q")}, lambda x: x <> '') AS asked,
+  list_transform(labels, lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS known, {LETTERS} AS plain FROM e),
+c AS (SELECT *, len(list_filter(words, lambda x: contains(corpus, x))) / len(words) AS coverage FROM w)
+SELECT query_id, CASE WHEN regexp_matches(plain, {quoted(fixed.FOREIGN_QUERY)}) OR regexp_matches(plain, {quoted(fixed.SPECULATIVE_QUERY)}) THEN 'INADEQUATE'
+  WHEN len(asked) > 0 THEN CASE WHEN len(list_filter(asked, lambda x: NOT list_contains(known, x))) = 0 THEN 'ADEQUATE' ELSE 'INADEQUATE' END
+  WHEN len(words) = 0 THEN 'INADEQUATE' WHEN agreement AND best >= 0.7 THEN 'ADEQUATE' WHEN coverage < 0.35 AND NOT agreement THEN 'INADEQUATE' WHEN coverage < 0.5 AND best < 0.15 THEN 'WEAK' ELSE 'ADEQUATE' END AS status,
+  coalesce(nullif(array_to_string(list_filter(string_split_regex(q, '\\s+'), lambda x: NOT list_contains({_STOP}, lower(x)) AND x <> ''), ' '), ''), q) AS retry FROM c""")
 def evidence_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, sf_dir).select("query_id", answer.adequacy(F.col("query"), F.col("evidence")).alias("status"), answer.rewritten(F.col("query")).alias("retry"))
 
@@ -249,7 +263,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("answer_markdown", answer.rendered(F.col("claims"))).withColumn("limitations", F.array(F.lit("extracted sentences only")))
 
 
-@query()
+@query(f"""
+WITH u AS (SELECT *, list_filter(string_split(regexp_replace(trim(content), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 30) AS sentences FROM ({_UNITS}) WHERE reranked <= 4),
+l AS (SELECT *, coalesce(trim(sentences[1]), substr(trim(content), 1, 200)) AS lead FROM u),
+t AS (SELECT *, list_distinct(regexp_extract_all(lower(lead), '[a-z0-9]{{2,}}')) AS terms, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]{{2,}}')) AS held FROM l),
+s AS (SELECT *, least(1.0::DOUBLE, len(list_filter(terms, lambda w: list_contains(held, w) OR length(w) >= 4 AND contains(lower(content), substr(w, 1, 4)))) / greatest(1, len(terms)) * 1.5::DOUBLE) AS support FROM t),
+a AS (SELECT query_id, list_distinct(regexp_extract_all(lower(any_value(query)), '[a-z0-9]{{2,}}')) AS q, list_distinct(regexp_extract_all(lower(string_agg(lead || ' [E' || reranked || ']', ' ' ORDER BY reranked)), '[a-z0-9]{{2,}}')) AS m,
+  avg(support) AS support, count(*) FILTER (trim(lead) = '') AS errors, count(*) AS n FROM s GROUP BY query_id),
+r AS (SELECT *, round(least(1.0::DOUBLE, len(list_intersect(q, m)) / greatest(1, len(q))), 4) AS rel, round(support, 4) AS sup FROM a)
+SELECT query_id, n::INTEGER AS n_claims, errors::INTEGER AS n_errors, CASE WHEN errors = 0 THEN 'SUPPORTED' ELSE 'PARTIALLY_SUPPORTED' END AS evidence_state, sup AS evidence_support, rel AS relevance,
+  round(0.40::DOUBLE * sup + 0.30::DOUBLE * 0.95::DOUBLE + 0.20::DOUBLE * rel + 0.10::DOUBLE * (1 - round(greatest(0.0::DOUBLE, 1 - support), 4)), 4) AS overall FROM r""")
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = answers(spark, sf_dir)
     v = answer.validation(F.col("answer_markdown"), F.col("claims"), F.col("evidence"))

@@ -75,7 +75,7 @@ def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("query_id", T.lexical_terms(F.col("query")).alias("terms"))
 
 
-def _identifiers_sql(column: str) -> str:
+def identifiers_sql(column: str) -> str:
     lists = []
     for k, (p, g) in enumerate(fixed.IDENTIFIER_PATTERNS):
         prefix = "'para' || " if k == len(fixed.IDENTIFIER_PATTERNS) - 1 else ""
@@ -86,7 +86,7 @@ def _identifiers_sql(column: str) -> str:
 @query(
     f"SELECT query_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i AND x <> ''), ' ') AS identifiers, "
     f"len(list_filter(ids, lambda x: regexp_matches(x, '^\\d{{4}}(?:hca|fcafc|fca)\\d+$'))) > 0 AND len(list_filter(ids, lambda x: starts_with(x, 'para'))) = 0 AS opening "
-    f"FROM (SELECT query_id, {_identifiers_sql('query')} AS ids FROM {QUESTION_ROWS})"
+    f"FROM (SELECT query_id, {identifiers_sql('query')} AS ids FROM {QUESTION_ROWS})"
 )
 def identifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = T.identifiers(F.col("query"))
