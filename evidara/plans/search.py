@@ -195,7 +195,13 @@ def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.reranked(candidates(spark, sf_dir)).select("query_id", "doc_id", "rank", "composite", "reranked")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE c AS (SELECT query_id, rank, doc_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]{{2,}}')) AS terms FROM ({_CANDIDATES}) WHERE rank <= {fixed.CANDIDATE_LIMIT}),
+f AS (SELECT query_id, rank, doc_id, true AS taken, [terms] AS kept FROM c WHERE rank = 1
+  UNION ALL SELECT query_id, rank, doc_id, NOT twin, CASE WHEN twin THEN kept ELSE list_append(kept, terms) END FROM
+    (SELECT c.*, f.kept, len(list_filter(f.kept, lambda k: CASE WHEN len(k) + len(c.terms) = 0 THEN true
+      ELSE len(list_intersect(k, c.terms)) / (len(k) + len(c.terms) - len(list_intersect(k, c.terms))) >= {fixed.NEAR_DUPLICATE} END)) > 0 AS twin FROM f JOIN c ON c.query_id = f.query_id AND c.rank = f.rank + 1))
+SELECT query_id, rank::INTEGER AS rank, doc_id FROM f WHERE taken""")
 def near_duplicates_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.deduplicated(candidates(spark, sf_dir)).select("query_id", "rank", "doc_id")
 
