@@ -45,17 +45,6 @@ class Crf:
     start: np.ndarray
 
 
-def _codes(data: np.ndarray, n: int) -> np.ndarray:
-    """The n bytes from each position as one number, zero beyond the end."""
-    code = np.zeros(len(data), np.uint32)
-    for k in range(n):
-        part = data[k:].astype(np.uint32)
-        code[: len(part)] = (code[: len(part)] << np.uint32(8)) | part
-        if k and len(part) < len(data):
-            code[len(part) :] <<= np.uint32(8)
-    return code
-
-
 def _bucket(code: np.ndarray, tag: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (code + np.uint32(tag * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
@@ -68,24 +57,30 @@ def _lexicon_bucket(hashes: np.ndarray) -> np.ndarray:
     return _bucket((hashes >> np.uint64(32)).astype(np.uint32), 99)
 
 
+def _codes(data: np.ndarray, most: int):
+    """(n, the n bytes from each position as one number, zero beyond the end) for n from 1 to most."""
+    code = data.astype(np.uint32)
+    yield 1, code
+    for n in range(2, most + 1):
+        code = code << np.uint32(8)
+        code[: len(data) - n + 1] |= data[n - 1 :]
+        yield n, code
+
+
 def _gram_positions(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     """For each n: the buckets at all positions, and which positions hold a whole n-gram of one word."""
-    left = np.zeros(len(data) + 1, np.int32)  # bytes of the word from here on
-    left[start] = end - start
-    run = np.repeat(end, end - start) if len(start) else np.zeros(0, np.int64)
-    inside = np.zeros(len(data), bool)
-    at = np.repeat(start - np.concatenate([[0], np.cumsum(end - start)[:-1]]), end - start) + np.arange(len(run)) if len(start) else run
-    inside[at] = True
-    stop = np.zeros(len(data), np.int64)
-    stop[at] = run
-    for n in GRAMS:
-        yield n, _bucket(_codes(data, n), n), inside & (np.arange(len(data)) + n <= stop)
+    room = np.zeros(len(data), np.int32)
+    room[start] = np.diff(end, prepend=0)
+    np.cumsum(room, out=room)  # the end of the last word that has begun
+    room -= np.arange(len(data), dtype=np.int32)
+    for n, code in _codes(data, max(GRAMS)):
+        if n in GRAMS:
+            yield n, _bucket(code, n), room >= n
 
 
 def _affixes(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     """(words, buckets) for prefixes and suffixes of 1 to 3 bytes."""
-    for n in (1, 2, 3):
-        codes = _codes(data, n)
+    for n, codes in _codes(data, 3):
         words = np.flatnonzero(end - start >= n)
         yield words, _bucket(codes[start[words]], 10 + n)
         yield words, _bucket(codes[end[words] - n], 20 + n)
@@ -129,7 +124,7 @@ def emissions(model: Crf, data: np.ndarray, start: np.ndarray, end: np.ndarray)
     total = np.zeros((len(data), len(model.langs)), np.float32)
     for _, b, whole in _gram_positions(data, start, end):
         b[~whole] = BUCKETS
-        total += zeroed[b]
+        total += np.take(zeroed, b, axis=0)
     out = np.add.reduceat(total, start, axis=0)
     for w, b in _affixes(data, start, end):
         out[w] += model.weights[b]
@@ -195,43 +190,43 @@ def fit(texts: list[bytes], labels: list[str]) -> Crf | None:
     if not langs:
         return None
     n_langs = len(langs)
-    data = LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-    sizes = np.array([len(t) + 1 for t in texts])
-    sizes[-1] -= 1
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    start, end, doc = words_of(data, offsets)
-    first, length = chains_of(data, start, doc)
-    label_of_doc = np.array([langs.index(x) for x in labels])
-    y_chain = label_of_doc[doc[first]] if len(first) else np.zeros(0, np.int64)
-    # words of each language up to the bound, chain by chain in a fixed shuffled order
-    order = np.argsort(mix64(range_hashes_of_words(data, start[first], end[first]) + start[first].astype(np.uint64)), kind="stable") if len(first) else first
+    # chains of all texts, some texts at a time: their bytes, words, labels and a hash that shuffles them
+    texts_of, words_in, y, shuffle, hashes = [], [], [], [], []
+    for k, (text, label) in enumerate(zip(texts, labels)):
+        data = LOWER[np.frombuffer(text, np.uint8)]
+        start, end, doc = words_of(data, np.array([0, len(data)]))
+        first, length = chains_of(data, start, doc)
+        if not len(first):
+            continue
+        h = range_hashes_of_words(data, start, end)
+        hashes.append(h)
+        texts_of += [data[start[f] : end[f + n - 1]].tobytes() for f, n in zip(first, length)]
+        words_in.append(length)
+        y.append(np.full(len(first), langs.index(label)))
+        shuffle.append(mix64(h[first] + np.uint64(k) * np.uint64(CHAIN) + np.arange(len(first), dtype=np.uint64)))
+    if not texts_of:
+        return None
+    length, y_chain = np.concatenate(words_in), np.concatenate(y)
+    order = np.argsort(np.concatenate(shuffle), kind="stable")
+    # words of each language up to the bound
     kept = []
     for k in range(n_langs):
         mine = order[y_chain[order] == k]
         kept.append(mine[: int(np.searchsorted(np.cumsum(length[mine]), SAMPLE_WORDS, side="right")) + 1])
     chains = np.concatenate(kept)
-    values, counts = np.unique(range_hashes_of_words(data, start, end), return_counts=True)
+    values, counts = np.unique(np.concatenate(hashes), return_counts=True)
     lexicon = values[counts > 1]
-    # from here on only the chosen chains: a line each
-    y_chain = y_chain[chains]
-    data = np.frombuffer(b"\n".join(data[start[f] : end[f + n - 1]].tobytes() for f, n in zip(first[chains], length[chains])), np.uint8)
-    start, end, doc = words_of(data, np.array([0, len(data)]))
-    first, length = chains_of(data, start, doc)
-    chains = np.arange(len(first))
-    word, bucket = features(data, start, end, lexicon)
-    by = np.argsort(word, kind="stable")
-    word, bucket = word[by], bucket[by].astype(np.int32)
-    edges = np.searchsorted(word, np.arange(len(start) + 1))
+    del hashes, values, counts
     w, t, s = np.zeros((BUCKETS, n_langs), np.float32), np.zeros((n_langs, n_langs)), np.zeros(n_langs)
     gw, gt, gs = (np.full_like(x, 1e-6) for x in (w, t, s))
-    pieces = [chains[k::STEPS] for k in range(STEPS)]
     prepared = []
-    for piece in pieces:
-        n = length[piece]
-        ids = np.repeat(first[piece] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(piece) else np.zeros(0, np.int64)
-        many = edges[ids + 1] - edges[ids]
-        at = np.repeat(edges[ids] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(ids) else ids
-        prepared.append((np.repeat(np.arange(len(ids), dtype=np.int32), many), bucket[at], np.repeat(y_chain[piece], n), np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n))
+    for piece in (chains[k::STEPS] for k in range(STEPS)):  # each piece's text by itself, a line for each chain
+        part = np.frombuffer(b"\n".join(texts_of[c] for c in piece), np.uint8)
+        begin, stop, inside = words_of(part, np.array([0, len(part)]))
+        heads, n = chains_of(part, begin, inside)
+        owner, b = features(part, begin, stop, lexicon)
+        prepared.append((owner.astype(np.int32), b.astype(np.int32), np.repeat(y_chain[piece], n), heads, n))
+    del texts_of
     for _ in range(EPOCHS):
         for owner, b, y, heads, n in prepared:
             if not len(y):
