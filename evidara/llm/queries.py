@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filter": url_filter.oracle_sql()}
+    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filter": url_filter.oracle_sql()}

@@ -498,3 +498,19 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     places = strings.groupBy("bucket").applyInArrow(lambda t: search_strings(t, length), "part int, blob binary")
     kept = dealt.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(lambda t, r: cut_out(t, r, with_text), KEPT_DDL)
     return kept if with_text else kept.drop("kept")
+
+
+#: Every window of every document, in hexadecimal and named by its MD5: feasible on small tables only.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(greatest(0, length(h) // 2 - {LENGTH - 1}))) AS i, unnest(list_transform(range(greatest(0, length(h) // 2 - {LENGTH - 1})), lambda i: md5_number(substr(h, 2 * i + 1, {2 * LENGTH})))) AS s FROM d),
+p AS (SELECT doc_id, unnest(range(length(h) // 2)) AS i, unnest(list_transform(range(length(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) AS b FROM d),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.first < w.doc_id),
+c AS (SELECT p.doc_id, p.i, p.b, coalesce(max(r.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) > p.i - {LENGTH}, false) AS gone
+  FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c)
+SELECT d.doc_id, count(g.i)::BIGINT AS n_bytes, (count(*) FILTER (g.gone))::BIGINT AS n_removed, (count(*) FILTER (g.opens))::BIGINT AS n_spans,
+  sha256(unhex(coalesce(string_agg(g.b, '' ORDER BY g.i) FILTER (NOT g.gone), ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+"""
