@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import fixed
+from evidara.operators.lineage import checkpointed
 
 SAFE_ATTRIBUTES = ["settings_version", "version", "error.type", "evaluation.kind"]
 
@@ -26,12 +27,13 @@ def with_model_spans(spans: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def depths(spans: DataFrame, most: int = 32) -> DataFrame:
-    """(trace_id, span_id, depth, path): level by level from the roots, a join for each level that has spans."""
+    """(trace_id, span_id, depth, path): level by level from the roots, a join for each level that has spans, each level written before the next."""
+    spans = checkpointed(spans.select("trace_id", "span_id", "parent_span_id", "name"))
     level = spans.where("parent_span_id is null or parent_span_id = ''").select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("name").alias("path"))
     found = level
     for k in range(1, most):
         up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("path").alias("up"))
-        level = spans.join(up, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(k).alias("depth"), F.concat_ws("/", "up", "name").alias("path"))
+        level = checkpointed(spans.join(up, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(k).alias("depth"), F.concat_ws("/", "up", "name").alias("path")))
         if level.isEmpty():
             break
         found = found.unionByName(level)
