@@ -7,7 +7,9 @@ so every word of the whole text is labelled. A document's language is the label
 largest mean marginal over its words, its score that mean.
 
 The model is learned from a bounded sample of labelled rows: ``SAMPLE_DOCS`` per language,
-in the order of a hash of doc_id, and at most ``SAMPLE_WORDS`` words of each language's. Only
+in the order of a hash of doc_id, and at most ``SAMPLE_WORDS`` words of each language's. Every
+label is learned; where there are so many that this would exceed ``SAMPLE_ROWS``, each has an
+equal share of those, one row at least. Only
 rows outside the held-out quarter are learned from. Only text is an input of a prediction.
 
 Null text, or text without a letter: `und` with score 0. Rows without a doc_id are predicted, not
@@ -21,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import LOWER, Batches, as_bytes, byte_chunks, emit, mix64, range_hashes, small_batches, words_of
 
 CHAIN = 96
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 50_000
-MAX_LANGS = 200
+SAMPLE_ROWS, HASH_RANGES = 80_000, 1 << 12
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
 EPOCHS, STEPS, RATE, DECAY = 6, 6, 0.35, 1e-6
@@ -275,15 +277,17 @@ def held_out() -> Column:
 def sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """Whole texts of SAMPLE_DOCS labelled rows of each language, and their labels."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    ids = None
-    for lang in sorted(langs):
-        one = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-        ids = one if ids is None else ids.unionByName(one)
-    if ids is None:
-        return [], []
-    wanted = ids.dropDuplicates()
-    texts = rows.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")  # SAMPLE_DOCS ids per language
+    langs = rows.select("lang").distinct().count()
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // max(1, langs)))
+    named = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    named = named.withColumn("part", F.shiftright("h", 64 - (HASH_RANGES.bit_length() - 1)))
+    # up to which range of hashes a language's first rows reach; only those are put in order
+    counts = named.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = counts.withColumn("before", before).where(F.col("before") < each).select("lang", "part")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    wanted = named.join(reach, ["lang", "part"]).withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang").distinct()
+    texts = rows.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")  # SAMPLE_ROWS ids, or one per language
     found = sorted((r.doc_id, bytes(r.text), r.lang) for r in texts.select("doc_id", "lang", as_bytes().alias("text")).collect())
     return [x[1] for x in found if x[1]], [x[2] for x in found if x[1]]
 

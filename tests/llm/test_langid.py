@@ -85,3 +85,24 @@ def test_nothing_to_learn_from_and_empty_table(spark):
 def test_labelled_rows_without_words(spark):
     rows = [(1, " \n ", "en"), (3, "", "fr"), (4, None, "fr")]
     assert {r.lang_pred for r in L.identify(table(spark, rows)).collect()} == {"und"}
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    """More labels than the 200 that were once kept, and more than the rows of a sample allow SAMPLE_DOCS of."""
+    rows = [(k, f"word{k % 230}a word{k % 230}b", f"l{k % 230:03}") for k in range(230 * 8)]
+    texts, langs = L.sample(table(spark, rows))
+    assert len(set(langs)) == 230
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 460)
+    few = L.sample(table(spark, rows))[1]
+    assert len(set(few)) == 230 and max(map(few.count, set(few))) == 2
+
+
+def test_sample_is_the_first_rows_by_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 15)
+    df = table(spark, corpus())
+    rows = df.where(~L.held_out()).orderBy(F.xxhash64("doc_id")).collect()
+    want = sorted((r.doc_id, r.lang, r.text.encode()) for lang in WORDS for r in [r for r in rows if r.lang == lang][:15])
+    texts, langs = L.sample(df)
+    assert list(zip(langs, texts)) == [(lang, t) for _, lang, t in want]
