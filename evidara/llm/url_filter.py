@@ -4,7 +4,8 @@ A url's rule is the longest rule that fits; other urls get their host's verdict.
 are the links of the pages to other hosts. Trust is a personalised PageRank over the edges,
 restarted at the hosts of pages that a rule allows; distrust is one over the reversed edges,
 restarted at the hosts of pages that a rule blocks. A host is blocked where its distrust
-exceeds ``threshold`` times its trust; a host that neither reaches is allowed.
+exceeds ``threshold`` times its trust; a host that neither reaches is allowed. Walks go on until
+what is still under way cannot add ``TOLERANCE`` to any host's score.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from
 there up to ``?``, ``#`` or the end. A null url or one without ``://`` has an empty host and path
@@ -27,7 +28,8 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 6, 1.0
+DAMPING, ROUNDS, THRESHOLD = 0.85, 6, 1.0  # ROUNDS: between two checkpoints, and of the SQL, which has no test of convergence
+TOLERANCE = 1e-9
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,16 +61,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score) of a PageRank restarted at seeds (host, share); mass at hosts without edges leaves the graph."""
-    score = seeds.select("host", ((1 - damping) * F.col("share")).alias("score"))
-    restart = score
-    for k in range(rounds):
-        moved = score.join(edges, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("w"))).alias("score"))
-        score = restart.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 3 == 2:
-            score = checkpointed(score)
-    return score
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, score) of a PageRank restarted at seeds (host, share), after so many rounds or converged; mass at hosts without edges leaves the graph.
+
+    A round moves each host's last gain along the edges. Where a source's weights add up to 1 at most, gains
+    shrink by damping in sum; where a target's do (reversed edges), in their maximum, which the sum bounds.
+    So no host can get more than the last gains' sum times damping / (1 - damping), and that is what must
+    fall under tolerance.
+    """
+    state = seeds.select("host", ((1 - damping) * F.col("share")).alias("score"), ((1 - damping) * F.col("share")).alias("gain"))
+    k = 0
+    while rounds is None or k < rounds:
+        moved = state.where("gain > 0").join(edges, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("gain") * F.col("w"))).alias("gain"))
+        kept = state.select("host", "score", F.lit(0.0).alias("gain"))
+        state = kept.unionByName(moved.select("host", F.col("gain").alias("score"), "gain")).groupBy("host").agg(F.sum("score").alias("score"), F.sum("gain").alias("gain"))
+        k += 1
+        if k % ROUNDS == 0:
+            state = checkpointed(state)
+            left = state.agg(F.sum("gain")).first()[0] or 0.0
+            if left * damping < tolerance * (1 - damping):
+                break
+    return state.select("host", "score")
 
 
 def _shares(ruled: DataFrame, verdict: str) -> DataFrame:
@@ -77,16 +90,19 @@ def _shares(ruled: DataFrame, verdict: str) -> DataFrame:
     return hosts.join(F.broadcast(total), F.lit(True)).select("host", (F.col("n") / F.col("total")).alias("share"))  # one row
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict of every page, with its host's trust and distrust."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"), longest_rule(host, path, rules or RULES).alias("r"), "html")
     ruled = named.select("page_id", "host", "path", "r.rule", "r.verdict")
     seeds = checkpointed(ruled.where("verdict is not null").groupBy("host", "verdict").agg(F.count(F.lit(1)).alias("n")))
     edges = checkpointed(host_edges(named))
-    trust = propagate(_shares(seeds, "allow"), edges, damping, rounds)
-    distrust = propagate(_shares(seeds, "block"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), damping, rounds)
-    hosts = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
+    # both at once, as walks on two graphs that do not meet
+    tagged = lambda tag, *cols: [F.concat(F.lit(tag), c).alias(name) for c, name in cols]
+    restarts = _shares(seeds, "allow").select(*tagged("+", ("host", "host")), "share").unionByName(_shares(seeds, "block").select(*tagged("-", ("host", "host")), "share"))
+    ways = edges.select(*tagged("+", ("src", "src"), ("dst", "dst")), "w").unionByName(edges.select(*tagged("-", ("dst", "src"), ("src", "dst")), "w"))
+    side, scores = F.substring("host", 1, 1), propagate(restarts, checkpointed(ways), damping, rounds)
+    hosts = scores.select(F.expr("substring(host, 2)").alias("host"), F.when(side == "+", F.col("score")).otherwise(0.0).alias("trust"), F.when(side == "-", F.col("score")).otherwise(0.0).alias("distrust"))
     hosts = hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     scored = ruled.join(hosts, "host", "left").fillna(0.0, ["trust", "distrust"])
     blocked = F.round("distrust", 12) > F.round(threshold * F.col("trust"), 12)

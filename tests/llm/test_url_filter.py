@@ -53,3 +53,18 @@ def test_empty_table_repeats_and_extra_columns(spark):
     df = pages(spark, [("http://a.org/", None)] * 3)
     assert U.judge(df.where("page_id < 0")).collect() == []
     assert U.judge(df.selectExpr("*", "1 as host", "2 as rule", "3 as r").unionByName(df.selectExpr("*", "1 as host", "2 as rule", "3 as r"))).count() == 6
+
+
+def test_chains_and_cycles_are_followed_to_their_end(spark):
+    """A blocked seed nine links away, and a cycle whose verdict turns after many rounds."""
+    rows = [(f"http://h{k}.net/", link("bad.com" if k == 9 else f"h{k + 1}.net")) for k in range(1, 10)] + [("http://bad.com/de/1", None)]
+    rows += [("http://good.org/", link("c0.net", "x.net", "y.net", "z.net"))] + [(f"http://c{k}.net/", link(f"c{(k + 1) % 8}.net", *["bad.com"] * (k == 7))) for k in range(8)]
+    got = {r.host: r.verdict for r in U.judge(pages(spark, rows)).where("rule is null").collect()}
+    edges = {(f"h{k}.net", "bad.com" if k == 9 else f"h{k + 1}.net"): 1 for k in range(1, 10)} | {("good.org", h): 1 / 4 for h in ("c0.net", "x.net", "y.net", "z.net")}
+    edges |= {(f"c{k}.net", f"c{k + 1}.net"): 1 for k in range(7)} | {("c7.net", "c0.net"): 1 / 2, ("c7.net", "bad.com"): 1 / 2}
+    trust = plain_scores({"good.org": 1}, edges, 400, U.DAMPING)
+    distrust = plain_scores({"bad.com": 1}, {(b, a): w for (a, b), w in edges.items()}, 400, U.DAMPING)
+    assert got == {h: "block" if distrust.get(h, 0) > trust.get(h, 0) else "allow" for h in got}
+    assert all(got[f"h{k}.net"] == "block" for k in range(1, 10))
+    scores = U.propagate(spark.createDataFrame([("bad.com", 1.0)], "host string, share double"), spark.createDataFrame([(b, a, float(w)) for (a, b), w in edges.items()], "src string, dst string, w double"))
+    assert all(abs(r.score - distrust[r.host]) < 1e-9 for r in scores.collect()) and scores.count() == len(distrust)
