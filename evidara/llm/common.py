@@ -54,15 +54,27 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's spark.checkpoint.dir, or the folder that the session already has; a temporary one only in local mode, as in tests."""
+    context = spark.sparkContext
+    already = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (already and already.rsplit("/", 1)[0])  # Spark adds a folder of its own
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "evidara-checkpoints")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not already:
+        context.setCheckpointDir(folder)
     return folder
 
 
+def new_column(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -7,12 +7,16 @@
    all tasks. Only lines whose hash they may hold - suspected repeats - are shuffled, by
    their whole key, which confirms repeats exactly and chooses the document that keeps it.
    A filter that is full beyond its bound lets more lines through, never fewer.
-3. Documents are joined with the keys that they lose.
-
-Null or empty text is one empty line; keys shorter than ``min_chars`` are never dropped.
-A document keeps all its own copies of a line, or loses them all. Rows that repeat a
-doc_id count as one document, rows without one as one that is smaller than all others. Other
-columns stay as they are.
+3. The texts stay where they are: a digest and the keeper of each confirmed line go to them, as
+   long as there are ``KNOWN_LINES`` of these at most. Where there are more, each row is joined
+   with the digests that it loses instead, with the same result.
+
+Null or empty text is one empty line; keys shorter than ``min_chars`` are never dropped, longer
+ones count whole, however long. A document keeps all its own copies of a line, or loses them all;
+ties cannot arise, as the keeper is the largest doc_id. Rows that repeat a doc_id count as one
+document, rows without one as one that is smaller than all others. An empty table gives no rows.
+Other columns stay as they are, in their order; only columns named like the report's
+(n_lines, n_dropped, kept_sha256) give way to it.
 """
 
 from __future__ import annotations
@@ -21,17 +25,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from evidara.llm.common import Batches, as_bytes, checkpointed, emit, input_bytes, parts, small_batches
+from evidara.llm.common import Batches, as_bytes, checkpointed, emit, input_bytes, new_column, parts, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
 #: All twice-seen filters together, whatever the size of the corpus.
 FILTER_BYTES = 64 << 20
 
+#: Confirmed lines that are sent to all tasks, 24 bytes each.
+KNOWN_LINES = 2_500_000
+
 #: A share of the hashes comes from no more than this of the input files, however few shuffle partitions are set.
 SHARE_BYTES = 128 << 20
 
@@ -54,6 +63,10 @@ def line_keys(text: bytes, min_chars: int) -> set[bytes]:
     return {k for x in text.split(b"\n") if (k := line_key(x, min_chars)) is not None}
 
 
+def hashes_of(lines: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(k) for k in lines], np.uint64)
+
+
 class BloomFilter:
     """Four bits for each 64-bit hash, set and read for whole arrays."""
 
@@ -96,6 +109,24 @@ def twice_seen(hashes: list[np.ndarray], again: list[np.ndarray], most_bytes: in
     return twice.bits
 
 
+class Filters:
+    """The twice-seen filters of all shares."""
+
+    def __init__(self, shares: int, bits: dict[int, bytes]):
+        self.shares, self.bits = shares, bits
+
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        share = (hashes % np.uint64(self.shares)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        edges = np.flatnonzero(np.diff(share[order], prepend=-1, append=-1))
+        hit = np.zeros(len(hashes), dtype=bool)
+        for a, b in zip(edges[:-1], edges[1:]):
+            bits = self.bits.get(int(share[order[a]]))
+            if bits is not None:
+                hit[order[a:b]] = BloomFilter(np.frombuffer(bits, np.uint8)).holds(hashes[order[a:b]])
+        return hit
+
+
 def _filters(docs: DataFrame, min_chars: int, shares: int) -> dict[int, bytes]:
     schema = pa.schema([("share", pa.int32()), ("hashes", pa.binary()), ("again", pa.binary())])
 
@@ -133,67 +164,149 @@ def _filters(docs: DataFrame, min_chars: int, shares: int) -> dict[int, bytes]:
     return {r.share: bytes(r.bits) for r in rows}
 
 
-def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, keys): the lines that each document loses."""
+def _suspects(docs: DataFrame, key: list[str], min_chars: int, filters: Filters) -> DataFrame:
+    """(*key, line): the suspected repeats among the lines' keys, each once for a row."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(filters)
+    kind = ", ".join(f"{k} bigint" for k in key) + ", line binary"
+    schema = pa.schema([*((k, pa.int64()) for k in key), ("line", pa.binary())])
+
+    def run(batches: Batches) -> Batches:
+        twice = sent.value
+        for batch in batches:
+            rows, lines = [], []
+            for k, text in enumerate(batch.column(len(key))):
+                found = line_keys(text.as_py(), min_chars)
+                rows += [k] * len(found)
+                lines += found
+            at = np.flatnonzero(twice.hold(hashes_of(lines))) if lines else ()
+            if len(at):
+                taken = pa.array([rows[i] for i in at], pa.int64())
+                yield emit(schema, [*(batch.column(c).take(taken) for c in range(len(key))), [lines[i] for i in at]])
+
+    return docs.mapInArrow(run, kind)
+
+
+def repeated_lines(docs: DataFrame, filters: Filters, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(digest, keeper): the lines that min_docs documents or more hold, confirmed by their whole keys, and the largest doc_id that does."""
+    held = _suspects(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes().alias("text")), ["doc_id"], min_chars, filters)
+    known = held.groupBy("line").agg(F.count_distinct(F.struct("doc_id")).alias("docs"), F.max("doc_id").alias("keeper"))
+    return known.where(F.col("docs") >= min_docs).select(F.unhex(F.md5("line")).alias("digest"), "keeper")
+
+
+class Known:
+    """Digests of repeated lines and who keeps them, in order."""
+
+    def __init__(self, digests: np.ndarray, keepers: np.ndarray):
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        self.high, self.low, self.keeper = digests[order, 0], digests[order, 1], keepers[order]
+
+    def keepers(self, digests: list[bytes]) -> np.ndarray:
+        """The keeper of each digest, or the least number there is."""
+        asked = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+        out = np.full(len(asked), np.iinfo(np.int64).min)
+        at = np.searchsorted(self.high, asked[:, 0])
+        while len(self.high):  # several lines may share the first half
+            here = np.minimum(at, len(self.high) - 1)
+            same = (at < len(self.high)) & (self.high[here] == asked[:, 0])
+            if not same.any():
+                break
+            hit = same & (self.low[here] == asked[:, 1])
+            out[hit] = self.keeper[here[hit]]
+            at = at + 1
+        return out
+
+
+def _known(lines: DataFrame) -> Known:
+    table = lines.where("keeper is not null").toArrow()  # KNOWN_LINES rows at most
+    raw = b"".join(x.as_py() for x in table.column("digest"))
+    return Known(np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2), table.column("keeper").to_numpy().astype(np.int64))
+
+
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, report: bool = True, count: str | None = None, most_known: int = KNOWN_LINES) -> DataFrame:
+    """All columns of docs, with `text` rid of repeated lines; count: a column that gets the new length where lines went.
+
+    With report, n_lines, n_dropped and kept_sha256 as well, which take the place of columns of these names.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shares = max(parts(spark), -(-input_bytes(docs) // SHARE_BYTES))
-    sent = spark.sparkContext.broadcast(_filters(docs, min_chars, shares))
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
-
-    def suspects(batches: Batches) -> Batches:
-        filters = {s: BloomFilter(np.frombuffer(b, np.uint8)) for s, b in sent.value.items()}
+    filters = Filters(shares, _filters(docs, min_chars, shares))
+    lines = checkpointed(repeated_lines(docs, filters, min_chars, min_docs))
+    sent = spark.sparkContext.broadcast((filters, _known(lines) if lines.count() <= most_known else None))
+    lost, source = None, docs
+    if sent.value[1] is None:
+        lost = new_column(docs, "lost")
+        source = _with_lost(docs, lines, filters, min_chars, lost)
+    extra = [("n_lines", LongType(), pa.int64()), ("n_dropped", LongType(), pa.int64()), ("kept_sha256", StringType(), pa.string())] if report else []
+    names = [c for c in docs.columns if c.lower() not in {x for x, _, _ in extra}]
+    fields = StructType([docs.schema[c] for c in names] + [StructField(name, kind) for name, kind, _ in extra])
+
+    def gone_of(batch: pa.RecordBatch, texts: list[list[bytes]]) -> list[set[bytes]]:
+        """The keys that each row loses."""
+        gone: list[set[bytes]] = [set() for _ in texts]
+        keys, rows = [], []
+        for k, text in enumerate(texts):
+            found = {x for line in text if (x := line_key(line, min_chars)) is not None}
+            keys += found
+            rows += [k] * len(found)
+        twice, known = sent.value
+        at = np.flatnonzero(twice.hold(hashes_of(keys))) if keys else ()
+        if not len(at):
+            return gone
+        digests = [hashlib.md5(keys[i]).digest() for i in at]
+        if known is None:
+            held = [set(x or ()) for x in batch.column(batch.schema.get_field_index(lost)).to_pylist()]
+            drops = [d in held[rows[i]] for i, d in zip(at, digests)]
+        else:
+            keeper = known.keepers(digests)
+            ids = [np.iinfo(np.int64).min if x is None else int(x) for x in batch.column(batch.schema.get_field_index(doc_id)).to_pylist()]
+            drops = keeper > np.array([ids[rows[i]] for i in at], np.int64)
+        for i, drop in zip(at, drops):
+            if drop:
+                gone[rows[i]].add(keys[i])
+        return gone
+
+    doc_id, text_at = _name(docs, "doc_id"), _name(docs, "text")
+
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for k in line_keys(text.as_py(), min_chars):
-                    ids.append(doc_id)
-                    keys.append(k)
-            if not keys:
-                continue
-            h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            share = (h % np.uint64(shares)).astype(np.int64)
-            order = np.argsort(share, kind="stable")
-            edges = np.flatnonzero(np.diff(share[order], prepend=-1, append=-1))
-            hit = np.zeros(len(h), dtype=bool)
-            for a, b in zip(edges[:-1], edges[1:]):
-                f = filters.get(int(share[order[a]]))
-                if f is not None:
-                    hit[order[a:b]] = f.holds(h[order[a:b]])
-            at = np.flatnonzero(hit)
-            yield emit(schema, [[ids[i] for i in at], [keys[i] for i in at]])
-
-    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes().alias("text")).mapInArrow(suspects, "doc_id bigint, key binary")
-    held = checkpointed(held.distinct())
-    known = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    known = checkpointed(known)  # so that the join has an exchange on both sides and a very common line can be split
-    lost = held.join(known, "key").where((F.col("doc_id") < F.col("keeper")) | F.col("doc_id").isNull())
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-
-
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of docs, with `text` rid of repeated lines, and n_lines, n_dropped, kept_sha256."""
-    lost = dropped_keys(docs, min_chars, min_docs).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
-    joined = docs.join(lost, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_lost_id")), "left")
-    kind = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
-
-    @F.pandas_udf("text string, n_lines bigint, n_dropped bigint, kept_sha256 string")
-    def keep(text, keys):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        rows = []
-        for t, k in zip(text, keys):
-            lines = bytes(t).split(b"\n")
-            if k is None:
-                kept = lines
-            else:
-                gone = {bytes(x) for x in k}
-                kept = [x for x in lines if line_key(x, min_chars) not in gone]
-            left = b"\n".join(kept)
-            rows.append((left.decode("utf-8", "replace"), len(lines), len(lines) - len(kept), hashlib.sha256(left).hexdigest()))
-        return pd.DataFrame(rows, columns=kind.names)
-
-    return joined.withColumn("_kept", keep(as_bytes(), "_lost_keys")).drop("_lost_id", "_lost_keys", "text").select("*", "_kept.*").drop("_kept")
+            old = batch.column(batch.schema.get_field_index(text_at))
+            texts = [(x.as_buffer().to_pybytes() if x.is_valid else b"").split(b"\n") for x in old]
+            gone = gone_of(batch, texts)
+            kept = [[x for x in t if line_key(x, min_chars) not in g] if g else t for t, g in zip(texts, gone)]
+            left = [b"\n".join(t) for t in kept]
+            new = {text_at: pa.array([x.decode("utf-8", "replace") for x in left], old.type)}
+            changed = pa.array([bool(g) for g in gone])
+            if count:
+                was = batch.column(batch.schema.get_field_index(count))
+                new[count] = pc.if_else(changed, pc.utf8_length(new[text_at]).cast(was.type), was)
+            if not report:  # a text that lost nothing stays as it was, null included
+                new[text_at] = pc.if_else(changed, new[text_at], old)
+            report_columns = [[len(t) for t in texts], [len(t) - len(k) for t, k in zip(texts, kept)], [hashlib.sha256(x).hexdigest() for x in left]]
+            columns = [new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names]
+            columns += [pa.array(v, t) for v, (_, _, t) in zip(report_columns, extra)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(x for x, _, _ in extra)])
+
+    return source.select(*(F.col(f"`{c}`") for c in names), *([lost] if lost else [])).mapInArrow(run, fields)
+
+
+def _name(docs: DataFrame, wanted: str) -> str:
+    return next(c for c in docs.columns if c.lower() == wanted)
+
+
+def _with_lost(docs: DataFrame, lines: DataFrame, filters: Filters, min_chars: int, lost: str) -> DataFrame:
+    """docs with the digests of the lines that each row loses, where these are too many to send to all tasks.
+
+    Rows are known by doc_id and a hash of their text, so that no list is longer than a text has lines.
+    """
+    who, which = new_column(docs, "who"), new_column(docs, "which")
+    key = [F.col("doc_id").cast("bigint").alias("who"), F.xxhash64("text").alias("which")]
+    held = _suspects(docs.select(*key, as_bytes().alias("text")), ["who", "which"], min_chars, filters)
+    held = held.select("who", "which", F.unhex(F.md5("line")).alias("digest")).join(lines, "digest").where(F.col("who").isNull() | (F.col("who") < F.col("keeper")))
+    lists = held.where("keeper is not null").groupBy(F.col("who").alias(who), F.col("which").alias(which)).agg(F.collect_set("digest").alias(lost))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(who)) & (F.xxhash64("text") == F.col(which))
+    return docs.join(lists, same, "left").drop(who, which)
 
 
 ORACLE_SQL = r"""

@@ -39,10 +39,34 @@ def test_equals_brute_force(docs):
 
 def test_empty_table_and_clashing_columns(spark, docs):
     assert run(docs([]).where("doc_id < 0")) == []
-    df = docs(["a line that is long enough to count"] * 3).selectExpr("*", "1 as keys", "2 as key", "3 as share")
-    got = L.drop_repeated_lines(df)
-    assert {"keys", "key", "share", "lang"} <= set(got.columns)
-    assert [r.n_dropped for r in got.orderBy("doc_id").collect()] == [1, 1, 0]
+    names = ["n_lines", "n_dropped", "kept_sha256", "_lost_id", "_lost_keys", "lost", "who", "which", "line", "keeper", "digest", "share"]
+    for bound in (L.KNOWN_LINES, 0):
+        df = docs(["a line that is long enough to count"] * 3).selectExpr("*", *(f"{k} as `{n}`" for k, n in enumerate(names)))
+        got = L.drop_repeated_lines(df, most_known=bound)
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", *names[3:], *names[:3]]
+        rows = got.orderBy("doc_id").collect()
+        assert [r.n_dropped for r in rows] == [1, 1, 0] and {r.which for r in rows} == {7}
+        plain = L.drop_repeated_lines(df, report=False, count="n_chars", most_known=bound)
+        assert plain.dtypes == df.dtypes
+        assert [(r.text, r.n_chars, r.n_dropped) for r in plain.orderBy("doc_id").collect()] == [("", 0, 1), ("", 0, 1), ("a line that is long enough to count", 35, 1)]
+
+
+def test_the_ways_for_few_and_many_lines_agree(docs):
+    rng = random.Random(9)
+    pool = [f"a line that may stand in several documents {k}" for k in range(9)]
+    rows = [(rng.choice([k, k, 3, None]), "\n".join(rng.choices(pool, k=rng.randrange(1, 5)))) for k in range(40)] + [(None, None), (50, "")]
+    df = docs(rows)
+    both = [sorted(map(repr, L.drop_repeated_lines(df, most_known=n).collect())) for n in (L.KNOWN_LINES, 0)]
+    assert both[0] == both[1]
+
+
+def test_digests_that_share_a_half():
+    d = np.array([[5, 1], [5, 9], [2, 2]], np.uint64)
+    known = L.Known(d, np.array([10, 20, 30]))
+    asked = [(5, 9), (5, 1), (5, 4), (2, 2), (7, 7)]
+    assert known.keepers([a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in asked]).tolist()[:2] == [20, 10]
+    assert known.keepers([(2).to_bytes(8, "big") * 2]).tolist() == [30]
+    assert (known.keepers([(5).to_bytes(8, "big") + (4).to_bytes(8, "big")]) < 0).all()
 
 
 def test_repeated_rows_count_as_one_document(docs):
