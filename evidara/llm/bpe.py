@@ -5,8 +5,9 @@ a certain cut: the fragments between such cuts are encoded independently and the
 concatenated. The merges of one fragment never see another one, hence the result equals
 that of the whole word.
 
-Nulls and empty texts give no ids; extra columns of the input are carried along only if
-asked for (``keep``); repeated rows give repeated results.
+Nulls and empty texts give no ids; very long texts and words are encoded whole, in near linear
+time; repeated rows give repeated results, equal texts equal ones; an empty table gives no rows.
+Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from evidara.llm.common import Batches, emit, small_batches
 
+#: From here on every character is the library's to judge: rare, private or unassigned ones to U+10FFFF.
+BEYOND = 0x32400
+
 #: Words that each of a worker's two generations of remembered words holds.
 CACHE_ENTRIES = 250_000
 
@@ -148,8 +152,8 @@ class ForcedBoundaryBpe:
         return ids
 
     def unsure_characters(self) -> frozenset[str]:
-        """Characters that the Unicode tables here and those of the library may treat differently, unassigned ones included."""
-        every = [chr(c) for c in range(128, 0x32400) if not 0xD800 <= c < 0xE000]
+        """Characters below BEYOND that the Unicode tables here and those of the library may treat differently, unassigned ones included."""
+        every = [chr(c) for c in range(128, BEYOND) if not 0xD800 <= c < 0xE000]
         whole = "\0".join(every)
         theirs = self.library.normalizer.normalize_str(whole).split("\0")
         odd = {c for c, t in zip(every, theirs) if self.normal(c) != t} if len(theirs) == len(every) else set(every)
@@ -161,7 +165,7 @@ class ForcedBoundaryBpe:
 
     def words_in(self, text: str) -> list[str]:
         """The words of a text; texts with unsure characters are normalised and split by the library itself."""
-        if not (text.isascii() or self.unsure.isdisjoint(text)):
+        if not (text.isascii() or (max(text) < chr(BEYOND) and self.unsure.isdisjoint(text))):
             plain = self.library.normalizer.normalize_str(text)
             return [w for w, _ in self.library_split.pre_tokenize_str(plain)]
         return self.pattern.findall(self.normal(text))

@@ -3,7 +3,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -11,6 +11,8 @@ from evidara.llm import bpe, common, media, packing, simhash, substring_dedup, t
 
 LIBRARY = Tokenizer.from_file(bpe.default_vocabulary())
 ANY = st.text(alphabet=st.characters(codec="utf-8", max_codepoint=0x2FFF), max_size=200)
+#: Characters of every plane, private and unassigned ones as likely as letters.
+PLANES = st.text(alphabet=st.one_of(st.integers(0, 0x10FFFF).filter(lambda c: not 0xD800 <= c < 0xE000).map(chr), st.sampled_from("ab 1!'é漢")), max_size=60)
 
 
 @settings(max_examples=150, deadline=None)
@@ -20,6 +22,16 @@ def test_bpe_equals_the_library_on_any_text(text):
     assert [i for (i,) in struct.iter_unpack("<I", packed)] == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(PLANES)
+@example("\U00033000a")
+@example("a\U00033000")
+@example("!\U00033000")
+@example("\U0003fc3fb")
+def test_bpe_equals_the_library_on_all_planes(text):
+    test_bpe_equals_the_library_on_any_text.hypothesis.inner_test(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=500))
 def test_images_are_lossless(raw):
