@@ -53,6 +53,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir, or the folder that the session already has; a temporary one only in local mode, as in tests."""
     context = spark.sparkContext
@@ -81,6 +86,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Long vectors of counts are added up in pieces, and the pieces of very many tasks by lanes first.
+PIECES, LANES = 32, 256
+COUNTS_DDL = "piece int, lane int, counts binary"
+
+
+def count_rows(total: np.ndarray) -> pa.RecordBatch:
+    """A task's vector of counts as rows for `added_up`."""
+    from pyspark import TaskContext
+
+    lane = TaskContext.get().partitionId() % LANES
+    rows = [(k, lane, part.astype(np.int64).tobytes()) for k, part in enumerate(np.array_split(total, PIECES))]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["piece", "lane", "counts"])
+
+
+def added_up(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' vectors; a worker holds the pieces of one lane, then those of all lanes."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in group.column("counts"))
+        return pa.table({"piece": group.column("piece")[:1].cast(pa.int32()), "lane": group.column("lane")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    lanes = rows.groupBy("piece", "lane").applyInArrow(add, COUNTS_DDL)
+    found = {r.piece: np.frombuffer(bytes(r.counts), np.int64) for r in lanes.groupBy("piece").applyInArrow(add, COUNTS_DDL).collect()}  # one vector
+    return np.concatenate([found[k] for k in range(PIECES)]) if found else np.zeros(size, np.int64)
+
+
 def as_bytes(col: str = "text"):
     """Whole text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))

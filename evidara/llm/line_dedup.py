@@ -127,31 +127,25 @@ class Filters:
         return hit
 
 
-def _filters(docs: DataFrame, min_chars: int, shares: int) -> dict[int, bytes]:
-    schema = pa.schema([("share", pa.int32()), ("hashes", pa.binary()), ("again", pa.binary())])
-
-    def packed(seen: list[int]) -> pa.RecordBatch:
-        values, counts = np.unique(np.array(seen, np.uint64), return_counts=True)
-        share = (values % np.uint64(shares)).astype(np.int32)
-        rows: list[list] = [[], [], []]
-        for s in np.unique(share):
-            mine = share == s
-            rows[0].append(int(s))
-            rows[1].append(values[mine].tobytes())
-            rows[2].append(values[mine & (counts > 1)].tobytes())
-        return emit(schema, rows)
+BLOCKS = pa.schema([("share", pa.int32()), ("hashes", pa.binary()), ("again", pa.binary())])
+BLOCKS_DDL = "share int, hashes binary, again binary"
 
-    def hashes(batches: Batches) -> Batches:
-        seen: list[int] = []
-        for batch in batches:
-            for text in batch.column(0):
-                seen += [xxhash.xxh3_64_intdigest(k) for k in line_keys(text.as_py(), min_chars)]
-                if len(seen) >= FLUSH:
-                    yield packed(seen)
-                    seen = []
-        if seen:
-            yield packed(seen)
 
+def packed(seen: np.ndarray, shares: int) -> pa.RecordBatch:
+    """Some hashes dealt out by value: for each share the distinct ones, and those that are there twice."""
+    values, counts = np.unique(seen, return_counts=True)
+    share = (values % np.uint64(shares)).astype(np.int32)
+    rows: list[list] = [[], [], []]
+    for s in np.unique(share):
+        mine = share == s
+        rows[0].append(int(s))
+        rows[1].append(values[mine].tobytes())
+        rows[2].append(values[mine & (counts > 1)].tobytes())
+    return emit(BLOCKS, rows)
+
+
+def filled(dealt: DataFrame, shares: int) -> Filters:
+    """The twice-seen filters for blocks of hashes (BLOCKS), gathered under FILTER_BYTES."""
     most = max(64, FILTER_BYTES // shares)
 
     def fill(group: pa.Table) -> pa.Table:
@@ -159,9 +153,29 @@ def _filters(docs: DataFrame, min_chars: int, shares: int) -> dict[int, bytes]:
         bits = twice_seen(*blocks, most)
         return pa.table({"share": pa.array([group.column("share")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    dealt = docs.select(as_bytes().alias("text")).mapInArrow(hashes, "share int, hashes binary, again binary")
     rows = dealt.groupBy("share").applyInArrow(fill, "share int, bits binary").collect()  # FILTER_BYTES at most
-    return {r.share: bytes(r.bits) for r in rows}
+    return Filters(shares, {r.share: bytes(r.bits) for r in rows})
+
+
+def shares_of(docs: DataFrame) -> int:
+    return max(parts(docs.sparkSession), -(-input_bytes(docs) // SHARE_BYTES))
+
+
+def _filters(docs: DataFrame, min_chars: int) -> Filters:
+    shares = shares_of(docs)
+
+    def hashes(batches: Batches) -> Batches:
+        seen: list[int] = []
+        for batch in batches:
+            for text in batch.column(0):
+                seen += [xxhash.xxh3_64_intdigest(k) for k in line_keys(text.as_py(), min_chars)]
+                if len(seen) >= FLUSH:
+                    yield packed(np.array(seen, np.uint64), shares)
+                    seen = []
+        if seen:
+            yield packed(np.array(seen, np.uint64), shares)
+
+    return filled(docs.select(as_bytes().alias("text")).mapInArrow(hashes, BLOCKS_DDL), shares)
 
 
 def _suspects(docs: DataFrame, key: list[str], min_chars: int, filters: Filters) -> DataFrame:
@@ -230,8 +244,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shares = max(parts(spark), -(-input_bytes(docs) // SHARE_BYTES))
-    filters = Filters(shares, _filters(docs, min_chars, shares))
+    filters = _filters(docs, min_chars)
     lines = checkpointed(repeated_lines(docs, filters, min_chars, min_docs))
     sent = spark.sparkContext.broadcast((filters, _known(lines) if lines.count() <= most_known else None))
     lost, source = None, docs

@@ -35,5 +35,6 @@ def test_every_query_takes_nulls(spark, folder, name):
 
 
 def test_the_pipeline_takes_nulls(spark, folder):
-    got = [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()]
-    assert set(got) <= {None, 3, 4, 5}
+    # no letters: 1, 2, 6 and the null text; 4 keeps the common line, which is the benchmark's, and goes with it;
+    # without that line the two rows of 3 are empty and one stays, the row without an id has "x" left
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in corpus_pipeline.run(spark, folder).collect()) == [(0, True), (3, False), (5, True)]
