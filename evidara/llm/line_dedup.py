@@ -27,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from evidara.llm.common import Batches, as_bytes, checkpointed, emit, input_bytes, new_column, parts, small_batches
+from evidara.llm.common import Batches, as_bytes, checkpointed, emit, input_bytes, mix64, new_column, parts, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -109,6 +110,11 @@ def twice_seen(hashes: list[np.ndarray], again: list[np.ndarray], most_bytes: in
     return twice.bits
 
 
+def _dealt(hashes: np.ndarray, shares: int) -> np.ndarray:
+    """The share of each hash and 32 other bits of it, as one number; shares grow with the input, so 32 bits stay enough."""
+    return hashes % np.uint64(shares) << np.uint64(32) | hashes // np.uint64(shares) & np.uint64(0xFFFFFFFF)
+
+
 class Filters:
     """The twice-seen filters of all shares."""
 
@@ -116,31 +122,43 @@ class Filters:
         self.shares, self.bits = shares, bits
 
     def hold(self, hashes: np.ndarray) -> np.ndarray:
-        share = (hashes % np.uint64(self.shares)).astype(np.int64)
+        dealt = _dealt(hashes, self.shares)
+        share, key = (dealt >> np.uint64(32)).astype(np.int64), mix64(dealt & np.uint64(0xFFFFFFFF))
         order = np.argsort(share, kind="stable")
         edges = np.flatnonzero(np.diff(share[order], prepend=-1, append=-1))
         hit = np.zeros(len(hashes), dtype=bool)
         for a, b in zip(edges[:-1], edges[1:]):
             bits = self.bits.get(int(share[order[a]]))
             if bits is not None:
-                hit[order[a:b]] = BloomFilter(np.frombuffer(bits, np.uint8)).holds(hashes[order[a:b]])
+                hit[order[a:b]] = BloomFilter(np.frombuffer(bits, np.uint8)).holds(key[order[a:b]])
         return hit
 
 
+def _pressed(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as compressed steps."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpressed(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 BLOCKS = pa.schema([("share", pa.int32()), ("hashes", pa.binary()), ("again", pa.binary())])
 BLOCKS_DDL = "share int, hashes binary, again binary"
 
 
 def packed(seen: np.ndarray, shares: int) -> pa.RecordBatch:
     """Some hashes dealt out by value: for each share the distinct ones, and those that are there twice."""
-    values, counts = np.unique(seen, return_counts=True)
-    share = (values % np.uint64(shares)).astype(np.int32)
+    values, counts = np.unique(_dealt(seen, shares), return_counts=True)
+    share, rest = (values >> np.uint64(32)).astype(np.int32), (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    edges = np.flatnonzero(np.diff(share, prepend=-1, append=-1))
     rows: list[list] = [[], [], []]
-    for s in np.unique(share):
-        mine = share == s
-        rows[0].append(int(s))
-        rows[1].append(values[mine].tobytes())
-        rows[2].append(values[mine & (counts > 1)].tobytes())
+    for a, b in zip(edges[:-1], edges[1:]):
+        rows[0].append(int(share[a]))
+        rows[1].append(_pressed(rest[a:b]))
+        rows[2].append(_pressed(rest[a:b][counts[a:b] > 1]))
     return emit(BLOCKS, rows)
 
 
@@ -149,7 +167,7 @@ def filled(dealt: DataFrame, shares: int) -> Filters:
     most = max(64, FILTER_BYTES // shares)
 
     def fill(group: pa.Table) -> pa.Table:
-        blocks = [[np.frombuffer(x.as_py(), np.uint64) for x in group.column(c)] for c in ("hashes", "again")]
+        blocks = [[mix64(_unpressed(x.as_py()).astype(np.uint64)) for x in group.column(c)] for c in ("hashes", "again")]
         bits = twice_seen(*blocks, most)
         return pa.table({"share": pa.array([group.column("share")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
