@@ -7,14 +7,18 @@ so every word of the whole text is labelled. A document's language is the label
 largest mean marginal over its words, its score that mean.
 
 The model is learned from a bounded sample of labelled rows: ``SAMPLE_DOCS`` per language,
-in the order of a hash of doc_id, and at most ``SAMPLE_WORDS`` words of each language's. Every
-label is learned; where there are so many that this would exceed ``SAMPLE_ROWS``, each has an
-equal share of those, one row at least. Only
-rows outside the held-out quarter are learned from. Only text is an input of a prediction.
-
-Null text, or text without a letter: `und` with score 0. Rows without a doc_id are predicted, not
-learned from. If there is nothing to learn
-from, every row is `und`. Ties go to the language that sorts first.
+in the order of a hash of doc_id and text, of these the shorter ones first up to ``SAMPLE_BYTES``,
+and at most ``SAMPLE_WORDS`` words of each language's. Every label is learned; where there are so
+many that this would exceed ``SAMPLE_ROWS``, each has an equal share of those, one row at least.
+Only rows outside the held-out quarter are learned from. Only text is an input of a prediction.
+A document has one label, so lines that change language are made for learning: some chains are
+cut up and spliced with those of other languages, which is where transitions are learned from.
+
+Null or empty text, or text without a letter: `und` with score 0. Rows without a doc_id are
+predicted, not learned from; nulls in other columns do not matter. Very long texts are labelled
+whole. Rows that repeat doc_id and text are learned from once and predicted alike. If there is
+nothing to learn from, every row is `und`. Ties go to the language that sorts first. An empty table
+gives no rows. Only doc_id, text and lang are read, or all columns kept as they are.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import LOWER, Batches, as_bytes, byte_chunks, emit, mix64, range_hashes, small_batches, words_of
+from evidara.llm.common import LOWER, Batches, as_bytes, byte_chunks, checkpointed, emit, mix64, range_hashes, small_batches, words_of
 
 CHAIN = 96
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 50_000
-SAMPLE_ROWS, HASH_RANGES = 80_000, 1 << 12
+SAMPLE_ROWS, SAMPLE_BYTES, HASH_RANGES = 80_000, 1_000_000, 1 << 12
+#: Every SWITCHED-th chain is cut into stretches of SWITCH words, which are spliced to lines of several languages.
+SWITCHED, SWITCH = 4, 16
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
 EPOCHS, STEPS, RATE, DECAY = 6, 6, 0.35, 1e-6
@@ -186,6 +192,30 @@ def forward_backward(emit_scores: np.ndarray, first: np.ndarray, length: np.ndar
     return gamma, pairs, gamma[first].sum(axis=0)
 
 
+def switched(chains: list[tuple[bytes, int]]) -> list[tuple[bytes, np.ndarray]]:
+    """Chains (text, label) as lines with a label for each word; every SWITCHED-th one is cut up and spliced with others, so that languages change in a line."""
+    lines, parts = [], []
+    for k, (text, label) in enumerate(chains):
+        words = text.split()
+        if k % SWITCHED:
+            lines.append((text, np.full(len(words), label)))
+        else:
+            parts += [(b" ".join(words[at : at + SWITCH]), np.full(len(words[at : at + SWITCH]), label)) for at in range(0, len(words), SWITCH)]
+    by = np.argsort(mix64(np.arange(len(parts), dtype=np.uint64)), kind="stable")
+    for at in range(0, len(parts), CHAIN // SWITCH):
+        some = [parts[k] for k in by[at : at + CHAIN // SWITCH]]
+        lines.append((b" ".join(t for t, _ in some), np.concatenate([y for _, y in some])))
+    return lines
+
+
+def seen_transitions(y: np.ndarray, heads: np.ndarray, n_langs: int) -> np.ndarray:
+    """How often each label follows each within the chains that begin at heads."""
+    inside = np.ones(len(y), bool)
+    inside[heads] = False
+    at = np.flatnonzero(inside)
+    return np.bincount(y[at - 1] * n_langs + y[at], minlength=n_langs * n_langs).reshape(n_langs, n_langs).astype(float)
+
+
 def fit(texts: list[bytes], labels: list[str]) -> Crf | None:
     """Learns by adaptive gradient steps on the conditional likelihood of the word labels."""
     langs = sorted(set(labels))
@@ -215,20 +245,20 @@ def fit(texts: list[bytes], labels: list[str]) -> Crf | None:
     for k in range(n_langs):
         mine = order[y_chain[order] == k]
         kept.append(mine[: int(np.searchsorted(np.cumsum(length[mine]), SAMPLE_WORDS, side="right")) + 1])
-    chains = np.concatenate(kept)
     values, counts = np.unique(np.concatenate(hashes), return_counts=True)
     lexicon = values[counts > 1]
     del hashes, values, counts
+    lines = switched([(texts_of[c], int(y_chain[c])) for c in np.concatenate(kept)])
     w, t, s = np.zeros((BUCKETS, n_langs), np.float32), np.zeros((n_langs, n_langs)), np.zeros(n_langs)
     gw, gt, gs = (np.full_like(x, 1e-6) for x in (w, t, s))
     prepared = []
-    for piece in (chains[k::STEPS] for k in range(STEPS)):  # each piece's text by itself, a line for each chain
-        part = np.frombuffer(b"\n".join(texts_of[c] for c in piece), np.uint8)
+    for piece in (lines[k::STEPS] for k in range(STEPS)):  # each piece's text by itself, a line for each chain
+        part = np.frombuffer(b"\n".join(text for text, _ in piece), np.uint8)
         begin, stop, inside = words_of(part, np.array([0, len(part)]))
         heads, n = chains_of(part, begin, inside)
         owner, b = features(part, begin, stop, lexicon)
-        prepared.append((owner.astype(np.int32), b.astype(np.int32), np.repeat(y_chain[piece], n), heads, n))
-    del texts_of
+        prepared.append((owner.astype(np.int32), b.astype(np.int32), np.concatenate([np.zeros(0, np.int64), *(y for _, y in piece)]), heads, n))
+    del texts_of, lines
     for _ in range(EPOCHS):
         for owner, b, y, heads, n in prepared:
             if not len(y):
@@ -238,8 +268,7 @@ def fit(texts: list[bytes], labels: list[str]) -> Crf | None:
             gamma[np.arange(len(y)), y] -= 1
             gamma /= len(y)
             grad = np.stack([np.bincount(b, weights=gamma[owner, k], minlength=BUCKETS) for k in range(n_langs)], axis=1) + DECAY * w
-            seen_pairs = np.diag(np.bincount(y, minlength=n_langs) - np.bincount(y[heads], minlength=n_langs)).astype(float)
-            seen_first = np.bincount(y[heads], minlength=n_langs)
+            seen_pairs, seen_first = seen_transitions(y, heads, n_langs), np.bincount(y[heads], minlength=n_langs)
             for x, g, acc in ((w, grad, gw), (t, (pairs - seen_pairs) / len(y) + 1e-3 * t, gt), (s, (begun - seen_first) / len(heads) + 1e-3 * s, gs)):
                 acc += g * g
                 x -= RATE * g / np.sqrt(acc)
@@ -275,28 +304,31 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
-    """Whole texts of SAMPLE_DOCS labelled rows of each language, and their labels."""
+    """Whole texts of SAMPLE_DOCS labelled rows of each language, no more than SAMPLE_BYTES and one text of them, and their labels."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    langs = rows.select("lang").distinct().count()
-    each = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // max(1, langs)))
-    named = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    named = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
     named = named.withColumn("part", F.shiftright("h", 64 - (HASH_RANGES.bit_length() - 1)))
     # up to which range of hashes a language's first rows reach; only those are put in order
-    counts = named.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(named.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")))
+    langs = counts.select("lang").distinct().count()
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // max(1, langs)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     reach = counts.withColumn("before", before).where(F.col("before") < each).select("lang", "part")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    wanted = named.join(reach, ["lang", "part"]).withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang").distinct()
-    texts = rows.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")  # SAMPLE_ROWS ids, or one per language
-    found = sorted((r.doc_id, bytes(r.text), r.lang) for r in texts.select("doc_id", "lang", as_bytes().alias("text")).collect())
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    placed = named.join(F.broadcast(reach), ["lang", "part"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)  # about `each` ranges a language at most
+    placed = placed.withColumn("bytes", F.sum("size").over(Window.partitionBy("lang").orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)))
+    wanted = placed.where(F.coalesce("bytes", F.lit(0)) < SAMPLE_BYTES).select(F.col("doc_id").alias("id"), "lang", "h").distinct()
+    same = (F.col("doc_id").cast("bigint") == F.col("id")) & (rows.lang == wanted.lang) & (F.xxhash64("doc_id", "text") == F.col("h"))
+    texts = rows.join(F.broadcast(wanted), same, "left_semi").select("doc_id", "lang", as_bytes().alias("text")).dropDuplicates()  # SAMPLE_ROWS ids, or one per language
+    found = sorted((r.doc_id, bytes(r.text), r.lang) for r in texts.collect())
     return [x[1] for x in found if x[1]], [x[2] for x in found if x[1]]
 
 
-def predict_batch(crf: Crf | None, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """The language and score of every row of a batch."""
-    pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+def predict_batch(crf: Crf | None, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The language and score of every row of a batch, and by how much the score exceeds the runner-up's."""
+    pred, score, margin = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
     if crf is None:
-        return pred, score
+        return pred, score, margin
     for a, b, data, offsets in byte_chunks(batch, column):
         _, _, doc, gamma = label_words(crf, data, offsets)
         if not len(doc):
@@ -306,8 +338,10 @@ def predict_batch(crf: Crf | None, batch: pa.RecordBatch, column: str) -> tuple[
         sure = has_letter(data, offsets) & (count > 0)
         best = total.argmax(axis=1)
         pred[a:b][sure] = np.array(crf.langs, object)[best[sure]]
-        score[a:b][sure] = np.clip(total[np.arange(b - a), best][sure] / count[sure], 0, 1)
-    return pred, score
+        mean = np.sort(np.pad(total, ((0, 0), (1, 0))), axis=1)[sure] / count[sure][:, None]
+        score[a:b][sure] = np.clip(mean[:, -1], 0, 1)
+        margin[a:b][sure] = mean[:, -1] - mean[:, -2]
+    return pred, score, margin
 
 
 def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
@@ -319,22 +353,22 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            pred, score = predict_batch(sent.value, batch, "text")
+            pred, score, _ = predict_batch(sent.value, batch, "text")
             yield emit(schema, [batch.column(0), batch.column(1), pred.tolist(), score])
 
     cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), as_bytes().alias("text"))
     return cols.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_told(docs: DataFrame, least_score: float) -> DataFrame:
-    """The rows whose language is told with a score of least_score or more, all columns as they are."""
+def keep_told(docs: DataFrame, least_margin: float) -> DataFrame:
+    """The rows whose language is told, its score that much over any other's, whatever the number of languages; all columns as they are."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs)))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            pred, score = predict_batch(sent.value, batch, "text")
-            yield batch.filter(pa.array((pred != UNKNOWN) & (score >= least_score)))
+            pred, _, margin = predict_batch(sent.value, batch, "text")
+            yield batch.filter(pa.array((pred != UNKNOWN) & (margin >= least_margin)))
 
     return docs.mapInArrow(run, docs.schema)
 

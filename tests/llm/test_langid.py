@@ -55,6 +55,79 @@ def test_words_of_switched_text():
     assert labels[:12].count("en") >= 10 and labels[12:].count("de") >= 10
 
 
+def test_switches_are_learned_from_spliced_lines():
+    rng = random.Random(13)
+    chains = [(" ".join(f"{lang}{k}" for k in range(rng.randrange(1, 90))).encode(), n) for n, lang in enumerate("abc") for _ in range(30)]
+    lines = L.switched(chains)
+    assert all(len(t.split()) == len(y) <= L.CHAIN for t, y in lines)
+    words = lambda xs: sorted((w, int(n)) for t, y in xs for w, n in zip(t.split(), y))
+    assert words(lines) == words([(t, np.full(len(t.split()), n)) for t, n in chains])
+    y, heads = np.concatenate([y for _, y in lines]), np.cumsum([0, *(len(y) for _, y in lines[:-1])])
+    pairs = L.seen_transitions(y, heads, 3)
+    want = np.zeros((3, 3))
+    for _, line in lines:
+        for a, b in zip(line, line[1:]):
+            want[a, b] += 1
+    assert (pairs == want).all() and (want > 0).all() and np.trace(want) > want.sum() / 2
+    rows = corpus()
+    model = L.fit([t.encode() for _, t, _ in rows], [lang for *_, lang in rows])
+    right = total = 0
+    for _ in range(20):
+        langs = [rng.choice(list(WORDS)) for _ in range(6)]
+        text = " ".join(sentence(rng, lang, 5) for lang in langs).encode()
+        gamma = L.label_words(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[3]
+        right += sum(model.langs[k] == langs[i // 5] for i, k in enumerate(gamma.argmax(axis=1)))
+        total += len(gamma)
+    assert right >= 0.9 * total
+
+
+def test_labels_and_scores_equal_a_plain_version(spark):
+    """Every word's features one by one, plain forward and backward sums, means over the document."""
+    df = table(spark, corpus(60) + [(901, None, "en"), (902, "", None), (903, "1 2", "fr"), (904, "Der\n\nTHE le " * 60, None)])
+    model = L.fit(*L.sample(df))
+    known, k = set(model.lexicon.tolist()), len(model.langs)
+    hashed = lambda raw: int(L.range_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0])
+    bucket = lambda raw, tag: int(L._bucket(np.array([int.from_bytes(raw, "big")], np.uint32), tag)[0])
+
+    def emission(w):
+        f = [bucket(w[i : i + n], n) for n in L.GRAMS for i in range(len(w) - n + 1)]
+        f += [bucket(x, tag + n) for n in (1, 2, 3) if len(w) >= n for x, tag in ((w[:n], 10), (w[-n:], 20))]
+        f += [int(L._lexicon_bucket(np.array([hashed(w)], np.uint64))[0])] * (hashed(w) in known)
+        return model.weights[f].astype(float).sum(axis=0)
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total, n = np.zeros(k), 0
+        for line in text.lower().encode().split(b"\n"):
+            words = line.split()
+            for at in range(0, len(words), L.CHAIN):
+                e = [emission(w) for w in words[at : at + L.CHAIN]]
+                m = len(e)
+                a, b = np.zeros((m, k)), np.zeros((m, k))
+                a[0] = model.start + e[0]
+                for t in range(1, m):
+                    a[t] = [e[t][y] + np.logaddexp.reduce(a[t - 1] + model.trans[:, y]) for y in range(k)]
+                for t in range(m - 2, -1, -1):
+                    b[t] = [np.logaddexp.reduce(model.trans[y] + e[t + 1] + b[t + 1]) for y in range(k)]
+                total += np.exp(a + b - np.logaddexp.reduce(a[-1])).sum(axis=0)
+                n += m
+        return model.langs[int(total.argmax())], total.max() / n
+
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = L.identify(df).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        lang, score = plain(texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_a_language_gives_a_bounded_number_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 500)
+    texts, langs = L.sample(table(spark, [(k, "wort " * 60, "de") for k in range(40)] + [(k, "mot " * 2_000, "fr") for k in range(40, 60)]))
+    assert langs.count("de") == 2 and langs.count("fr") == 1
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(5)
     e, t, s = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
@@ -102,7 +175,7 @@ def test_sample_is_the_first_rows_by_hash(spark, monkeypatch):
 
     monkeypatch.setattr(L, "SAMPLE_DOCS", 15)
     df = table(spark, corpus())
-    rows = df.where(~L.held_out()).orderBy(F.xxhash64("doc_id")).collect()
+    rows = df.where(~L.held_out()).orderBy(F.xxhash64("doc_id", "text")).collect()
     want = sorted((r.doc_id, r.lang, r.text.encode()) for lang in WORDS for r in [r for r in rows if r.lang == lang][:15])
     texts, langs = L.sample(df)
     assert list(zip(langs, texts)) == [(lang, t) for _, lang, t in want]
