@@ -37,6 +37,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Lets a Python worker's matrix products run in its own thread, unless the session says otherwise: tasks share out the cores already."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
 def parts(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)
 
