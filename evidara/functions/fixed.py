@@ -152,6 +152,26 @@ TAX_ACTS = [
 ]
 TAX_REGULATIONS = ["income tax assessment", "taxation administration", "fringe benefits tax", "a new tax system (goods and services tax)", "superannuation industry (supervision)"]
 
+# What stands before a ruling's reference in a heading.
+RULING_PREFIXES = ["taxation ruling", "taxation determination", "miscellaneous taxation ruling", "class ruling", "product ruling"]
+
+# Other labels and patterns of headings that carry no evidence.
+STATISTICS_LABELS = [" statistics", "episode ", "key messages"]
+QUESTION_HEADING = r"(?i)^question\s+\d+$"
+FORM_LINE = r"(?i)^(?:[A-Z]?\d+[A-Z]?\s+(?:subtotal|total|item|label)|step\s+\d+|table\s+\d+)"
+PERCENT_MATRIX = r"(?:\d+(?:\.\d+)?%\s*){4,}"
+DOT_LEADERS = r"\.{4,}"
+DEFINITION_WITHOUT_TERM = r"(?i)\bdefinition:\s*(?:[^A-Za-z\s]|$)"
+LONG_IDENTIFIER = r"\b[0-9a-f]{8}(?:[-_ ][0-9a-f]{4}){3}"
+
+# Names of issue dates.
+ISSUE_DATES = ["issue_date", "issued", "published", "decision_date"]
+
+# Passages.
+PASSAGE_LEAST, PASSAGE_MOST = 120, 650
+METHOD_STATEMENT = "method statement"
+METHOD_STEP = r"(?i)\bStep\s+(\d+)\."
+
 # Fields that every gold case has.
 GOLD_FIELDS = [
     "id", "question", "category", "expected_jurisdictions", "as_of_date",

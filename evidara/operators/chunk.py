@@ -197,31 +197,30 @@ def audit(children: DataFrame, sections: DataFrame, most: int = fixed.CHILD_MAX)
     return repeats.unionByName(flat).unionByName(located)
 
 
-def bounded_passage(text: str | None) -> tuple[str, int] | None:
-    """A passage of whole sentences, 120 to 650 characters; a method statement is taken whole if it has two steps or more."""
-    clean = (text or "").strip()
-    at = clean.lower().find("method statement")
-    if at >= 0:
-        heads = [m.end() - len(m.group().lstrip("\n")) for m in re.finditer(r"(?:^|\n)\(\d+\)", clean[:at])]
-        start = heads[-1] if heads else 0
-        after = re.search(r"\n\(\d+\)", clean[at + 1 :])
-        passage = clean[start : at + 1 + after.start() if after else len(clean)].strip()
-        steps = set(map(int, re.findall(r"(?i)\bStep\s+(\d+)\.", passage)))
-        return (passage, clean.index(passage, start)) if len(steps) >= 2 and passage[-1:] in ".!?" else None
-    ends = [m.end() for m in re.finditer(r"[.!?](?=\s|$)", clean[:650])]
-    return (clean[: ends[-1]].strip(), 0) if ends and ends[-1] >= 120 else None
+def bounded_passage(text: Column) -> Column:
+    """struct(passage, starts_at) of a text, or null.
+
+    Where it has a method statement: the numbered part that holds it, if that names two steps or more and ends with a
+    sentence. Else the whole sentences at its head, as many as fit into PASSAGE_MOST characters, if they make PASSAGE_LEAST.
+    """
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    begins = F.instr(F.lower(clean), fixed.METHOD_STATEMENT)  # counted from 1, 0 for none
+    above = F.regexp_extract(F.substring(clean, F.lit(1), begins - 1), r"(?s)^(.*\n|)\(\d+\)", 1)
+    below = F.substring(clean, begins + 1, F.length(clean))
+    inner = F.when(below.rlike(r"\n\(\d+\)"), F.regexp_extract(below, r"(?s)^(.*?)\n\(\d+\)", 1)).otherwise(below)
+    part = F.rtrim(F.substring(clean, F.length(above) + 1, begins + F.length(inner) - F.length(above)))
+    part = F.regexp_replace(part, r"(?U)\s+$", "")
+    steps = F.array_distinct(F.transform(F.regexp_extract_all(part, F.lit(fixed.METHOD_STEP), F.lit(1)), lambda n: n.cast("decimal(38)")))
+    method = F.when((F.size(steps) >= 2) & part.rlike(r"[.!?]\z"), F.struct(part.alias("passage"), F.length(above).cast("int").alias("starts_at")))
+    head = F.regexp_extract(F.substring(clean, 1, fixed.PASSAGE_MOST), r"(?sU)^(.*[.!?])(?=\s|\z)", 1)
+    plain = F.when(F.length(head) >= fixed.PASSAGE_LEAST, F.struct(head.alias("passage"), F.lit(0).alias("starts_at")))
+    return F.when(begins > 0, method).otherwise(plain)
 
 
 def passages(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, passage, starts_at) of the first bounded passage of each text that has one."""
-    schema = pa.schema([(key, pa.int64()), ("passage", pa.string()), ("starts_at", pa.int32())])
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            rows = [(k, *p) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (p := bounded_passage(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema[c].type) for c in range(3)], schema=schema)
-
-    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} bigint, passage string, starts_at int")
+    """(key, passage, starts_at) of the bounded passage of each text that has one."""
+    found = docs.select(F.col(key).cast("bigint").alias(key), bounded_passage(F.col(text)).alias("p")).where("p is not null")
+    return found.select(key, "p.passage", "p.starts_at")
 
 
 def table_locator_fault(children: DataFrame, tables: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidara.functions import fixed
 from evidara.functions.stats import recall_at
+from evidara.operators.lineage import checkpointed
 
 
 def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:
@@ -116,18 +118,40 @@ def reviewed_claims(claims: DataFrame) -> DataFrame:
 
 
 def quota_sample(rows: DataFrame, group: str, order: list[Column], unique: list[str], quotas: dict[str, int]) -> DataFrame:
-    """Rows in a fixed order taken until each group's quota is full, skipping rows whose unique keys a taken row has.
+    """Rows taken group by group, in the order of the quotas, until each quota is full: (*, taken).
 
-    A key belongs to the first row that has it, so the skips are row numbers per key; what is
-    left is ranked within its group. Fails if a group falls short.
+    A row is passed over if a row that was taken before it, in this group or an earlier one, has one of its unique
+    keys; rows that were not taken block none. Raises if a group falls short.
     """
     from evidara.operators.retrieve import top
 
-    df = rows
-    for u in unique:
-        df = top(df, [u], order, 1, "_first").drop("_first")
-    limits = F.coalesce(*(F.when(F.col(group) == g, q) for g, q in quotas.items()), F.lit(0))
-    return top(df, [group], order, max(quotas.values()), "taken").where(F.col("taken") <= limits)
+    found, taken_keys = None, {u: None for u in unique}
+    for name, quota in quotas.items():
+        left, mine = rows.where(F.col(group) == name), None
+        for u, keys in taken_keys.items():
+            left = left if keys is None else left.join(keys, u, "left_anti")
+        while True:  # rows that are the first for all of their keys are taken, what shares a key with them is not
+            firsts = left
+            for k, u in enumerate(unique):
+                firsts = firsts.withColumn(f"_first{k}", F.row_number().over(Window.partitionBy(u).orderBy(*order)))
+            sure = firsts.where(" and ".join(f"_first{k} = 1" for k in range(len(unique))) or "true").drop(*(f"_first{k}" for k in range(len(unique))))
+            mine = sure if mine is None else mine.unionByName(sure)
+            if len(unique) < 2:
+                break
+            mine = checkpointed(mine)
+            for u in unique:
+                left = left.join(mine.select(u).distinct(), u, "left_anti")
+            left = checkpointed(left)
+            if left.isEmpty():
+                break
+        mine = checkpointed(top(mine.withColumn("_all", F.lit(1)), ["_all"], order, quota, "taken").drop("_all"))
+        if (n := mine.count()) < quota:
+            raise ValueError(f"{name}: {n} rows for a quota of {quota}")
+        for u in unique:
+            own = mine.select(u).distinct()
+            taken_keys[u] = own if taken_keys[u] is None else taken_keys[u].unionByName(own)
+        found = mine if found is None else found.unionByName(mine)
+    return found
 
 
 def set_faults(name: str, df: DataFrame, needed: list[str], column: str) -> DataFrame:

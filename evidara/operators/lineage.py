@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's spark.checkpoint.dir; in a folder of our own only where that is unset (tests)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "evidara-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+    """A reliable checkpoint in the cluster's spark.checkpoint.dir; in a temporary folder only in local mode, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "evidara-checkpoints"))
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ def with_model_spans(spans: DataFrame, observations: DataFrame) -> DataFrame:
     return spans.select("span_id", "parent_span_id", "trace_id", "name", "start_ns", "end_ns").unionByName(child)
 
 
-def depths(spans: DataFrame, most: int = 32) -> DataFrame:
+def depths(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, depth, path): level by level from the roots, a join for each level that has spans, each level written before the next."""
     spans = checkpointed(spans.select("trace_id", "span_id", "parent_span_id", "name"))
     level = spans.where("parent_span_id is null or parent_span_id = ''").select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("name").alias("path"))
     found = level
-    for k in range(1, most):
+    for k in count(1):
         up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("path").alias("up"))
         level = checkpointed(spans.join(up, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(k).alias("depth"), F.concat_ws("/", "up", "name").alias("path")))
         if level.isEmpty():
@@ -49,9 +51,11 @@ def safe_attributes(attributes: Column) -> Column:
 def encoded(spans: DataFrame) -> DataFrame:
     """(trace_id, payload): the spans of a trace as one JSON payload; traces without a valid id drop out."""
     ok = F.col("trace_id").rlike("^[0-9a-f]{32}$") & (F.col("trace_id") != "0" * 32)
+    said = F.col("attributes") if "attributes" in spans.columns else F.lit(None).cast("map<string,string>")
     one = F.struct(
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", F.lit(1).alias("kind"),
         F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.coalesce("end_ns", "start_ns").cast("string").alias("endTimeUnixNano"),
+        F.coalesce(safe_attributes(said), F.array().cast("array<struct<key:string,value:struct<stringValue:string>>>")).alias("attributes"),
     )
     return spans.where(ok).groupBy("trace_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("spans"))).alias("payload"))
 
@@ -66,6 +70,3 @@ def trace_attributes(records: DataFrame) -> DataFrame:
     }
     return records.select("query_id", F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))).alias("attributes"))
 
-
-def kept_fields() -> list[str]:
-    return list(fixed.KEPT_METADATA)

@@ -38,7 +38,7 @@ def exists_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Chunks of a document: windows of 400 characters every 300; passages: 80 characters from a third of it.
 _WINDOWS = "SELECT doc_id, k AS chunk, k * 300 AS char_start, k * 300 + 400 AS char_end FROM (SELECT doc_id, unnest(range(0, greatest(1, length(text) // 300))) AS k FROM documents)"
-_PASSAGES = "SELECT doc_id, length(text) // 3 AS p_start, length(text) // 3 + 80 AS p_end FROM documents WHERE doc_id % 3 = 0"
+_PASSAGES = "SELECT doc_id, length(text) // 3 AS p_start, length(text) // 3 + 80 AS p_end FROM documents"
 
 
 @query(f"SELECT w.doc_id, w.chunk::INTEGER AS chunk, (char_end - char_start)::INTEGER AS width FROM ({_WINDOWS}) w JOIN ({_PASSAGES}) p ON w.doc_id = p.doc_id AND char_start <= p_start AND char_end >= p_end")
@@ -48,7 +48,7 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [F.col("doc_id").alias("document_id"), F.lit("v").alias("version_id"), F.lit("s").alias("section_id")]
     chunks = d.select(*keys, k.alias("chunk")).select("*", (F.col("chunk") * 300).alias("char_start"), (F.col("chunk") * 300 + 400).alias("char_end"), F.lit(None).cast("string").alias("table_id"))
     start = F.floor(F.length("text") / 3).cast("int")
-    passages = d.where("doc_id % 3 = 0").select(*keys, start.alias("char_start"), (start + 80).alias("char_end"), F.lit(None).cast("string").alias("table_id"))
+    passages = d.select(*keys, start.alias("char_start"), (start + 80).alias("char_end"), F.lit(None).cast("string").alias("table_id"))
     return evaluate.containing(chunks, passages).select(F.col("document_id").alias("doc_id"), "chunk", (F.col("char_end") - F.col("char_start")).alias("width"))
 
 
@@ -204,9 +204,10 @@ def hash_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT doc_id, lang, sha256(text) AS k, sha256('seed' || doc_id::VARCHAR) AS h FROM documents),
-f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY h) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS taken FROM f)
-SELECT doc_id, lang, taken::INTEGER AS taken FROM r WHERE taken <= CASE lang WHEN 'en' THEN 40 WHEN 'fr' THEN 20 WHEN 'de' THEN 10 ELSE 0 END""")
+a AS (SELECT doc_id, lang, k, row_number() OVER (ORDER BY h) AS taken FROM (SELECT * FROM o WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY k ORDER BY h) = 1) QUALIFY taken <= 40),
+b AS (SELECT doc_id, lang, k, row_number() OVER (ORDER BY h) AS taken FROM (SELECT * FROM o WHERE lang = 'fr' AND k NOT IN (SELECT k FROM a) QUALIFY row_number() OVER (PARTITION BY k ORDER BY h) = 1) QUALIFY taken <= 20),
+c AS (SELECT doc_id, lang, k, row_number() OVER (ORDER BY h) AS taken FROM (SELECT * FROM o WHERE lang = 'de' AND k NOT IN (SELECT k FROM a UNION SELECT k FROM b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY h) = 1) QUALIFY taken <= 10)
+SELECT doc_id, lang, taken::INTEGER AS taken FROM (FROM a UNION ALL FROM b UNION ALL FROM c)""")
 def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("k"))
     order = [F.sha2(F.concat(F.lit("seed"), F.col("doc_id").cast("string")), 256)]

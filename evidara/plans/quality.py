@@ -47,6 +47,8 @@ LABELS = [
     (10, "Contents.....5", ["Leaf"], None, False),
     (11, "Guide", ["Definition: entity"], None, True),
     (12, "Id 1a2b3c4d-1a2b-1a2b-1a2b", ["Leaf"], None, False),
+    (13, "Guide", ["Class Determination CR 2020/1"], "CR 2020/1", True),
+    (14, "Guide", ["Product  Ruling PR 2020/1"], "PR 2020/1", False),
 ]
 
 

@@ -81,11 +81,16 @@ def test_rtf_is_skipped_and_numbering_is_deterministic(spark):
     assert {r["check"]: r.failures for r in C.audit(broken, sections).collect()}["locator"] > 0
 
 
-def test_passages():
-    text = "A sentence that goes on. " * 40
-    p, at = C.bounded_passage("  " + text)
-    assert at == 0 and 120 <= len(p) <= 650 and p.endswith(".")
-    assert C.bounded_passage("Short.") is None and C.bounded_passage(None) is None
+def test_passages(spark):
     method = "(1) Method statement\nStep 1. Do this.\nStep 2. Do that.\n(2) Next"
-    assert C.bounded_passage(method)[0].endswith("Do that.")
-    assert C.bounded_passage("Method statement\nStep 1. Only one.") is None
+    texts = [
+        "  " + "A sentence that goes on. " * 40, "Short.", None, method, "Method statement\nStep 1. Only one.", "Intro.\n(7) Of what\n(8) method STATEMENT\nStep 10. One!\nstep 2. Two?\n(9) x",
+        "\x1f x" + "y" * 130 + ". And what is cut off " + "z" * 600, "x" * 119 + ".", "x" * 118 + ". ",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string")
+    got = {r.k: (r.passage, r.starts_at) for r in C.passages(df, "k", "text").collect()}
+    assert sorted(got) == [0, 3, 5, 6, 7] and all(C.passages(df, "k", "text").dtypes[n] == t for n, t in enumerate([("k", "bigint"), ("passage", "string"), ("starts_at", "int")]))
+    assert got[0] == (("A sentence that goes on. " * 26).strip()[:649], 0) and 120 <= len(got[0][0]) <= 650 and got[0][0].endswith(".")
+    assert got[3] == (method[: method.index("\n(2)")], 0)
+    assert got[5] == ("(8) method STATEMENT\nStep 10. One!\nstep 2. Two?", 19)
+    assert got[6] == ("x" + "y" * 130 + ".", 0) and got[7] == ("x" * 119 + ".", 0)

@@ -116,3 +116,47 @@ def test_span_trees(spark):
     assert (kid.start_ns, kid.end_ns) == (10, 50)
     assert {(r.depth, r.path) for r in telemetry.depths(whole).collect()} == {(0, "root"), (1, "root/kid"), (2, "root/kid/model.m")}
     assert len(json.loads(telemetry.encoded(whole).first().payload)["spans"]) == 3
+
+
+def test_spans_of_any_depth(spark):
+    rows = [("t", f"s{k}", f"s{k - 1}" if k else None, "n") for k in range(40)]
+    got = telemetry.depths(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string")).collect()
+    assert sorted(r.depth for r in got) == list(range(40))
+
+
+def test_payloads_carry_the_allowed_attributes(spark):
+    import json
+
+    rows = [("a" * 32, "s1", None, "root", 1, 2, {"version": "7", "secret": "x"}), ("a" * 32, "s2", "s1", "kid", 1, 2, None)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string, start_ns bigint, end_ns bigint, attributes map<string,string>")
+    spans = {x["spanId"]: x["attributes"] for x in json.loads(telemetry.encoded(df).first().payload)["spans"]}
+    assert spans == {"s1": [{"key": "version", "value": {"stringValue": "7"}}], "s2": []}
+
+
+def test_quotas_are_filled_group_by_group(spark):
+    from evidara.operators import evaluate
+
+    take = lambda rows, quotas, keys=("k",): sorted(r.n for r in evaluate.quota_sample(spark.createDataFrame(rows, "n int, g string, k string, q string"), "g", [F.asc("n")], list(keys), quotas).collect())
+    rows = [(1, "a", "k1", "q1"), (2, "a", "k2", "q2"), (3, "b", "k2", "q3"), (4, "z", "k3", "q4"), (5, "b", "k3", "q5")]
+    assert take(rows, {"a": 1, "b": 2}) == [1, 3, 5]
+    with pytest.raises(ValueError, match="b: 1 rows for a quota of 2"):
+        take(rows, {"a": 2, "b": 2})
+    # 2 shares a key with 1 and goes; it was not taken, so its other key blocks neither 3 nor 4
+    assert take([(1, "a", "k1", "q1"), (2, "a", "k1", "q2"), (3, "a", "k3", "q2"), (4, "b", "k4", "q2"), (5, "b", "k3", "q9"), (6, "b", "k6", "q6")], {"a": 2, "b": 1}, ("k", "q")) == [1, 3, 6]
+
+
+def test_blocks_of_pages_and_files():
+    import io
+    import zipfile
+
+    from evidara.operators import court
+
+    page = "<title>A &amp; B</title><nav><p>no</p></nav><p>one <b>two</b><li>three</li> lost</p><script>x</script><td></td><h1>four<p>five</p><p>open"
+    assert court.html_blocks(page) == ("A & B", ["A & B", "three", "five"])
+    assert court.html_blocks(None) == ("", [])
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = f"<w:document {w}><w:body><w:p><w:r><w:t>a &amp; b</w:t><w:tab/><w:t>c</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>d</w:t></w:r></w:p></w:body></w:document>"
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", body)
+    assert court.docx_blocks(raw.getvalue()) == ["a & b c", "d"]
