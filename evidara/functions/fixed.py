@@ -153,7 +153,7 @@ TAX_ACTS = [
 TAX_REGULATIONS = ["income tax assessment", "taxation administration", "fringe benefits tax", "a new tax system (goods and services tax)", "superannuation industry (supervision)"]
 
 # What stands before a ruling's reference in a heading.
-RULING_PREFIXES = ["taxation ruling", "taxation determination", "miscellaneous taxation ruling", "class ruling", "product ruling"]
+HEADING_PREFIXES = ["taxation ruling", "taxation determination", "miscellaneous taxation ruling", "class ruling", "product ruling"]
 
 # Other labels and patterns of headings that carry no evidence.
 STATISTICS_LABELS = [" statistics", "episode ", "key messages"]
