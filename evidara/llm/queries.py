@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import bpe, decontaminate, langid, line_dedup, media, packing, simhash, substring_dedup, token_counts, url_filter
+from evidara.llm import bpe, decontaminate, langid, line_dedup, media, packing, ranked_search, simhash, substring_dedup, token_counts, url_filter
 from evidara.llm.common import table
 
 
@@ -50,7 +50,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_substring_dedup, op2_token_counts, op3_line_dedup, op4_decontaminate, op5_url_filter, op6_packing, op7_media, op8_bpe, op9_simhash, op10_language_id)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = (op1_substring_dedup, op2_token_counts, op3_line_dedup, op4_decontaminate, op5_url_filter, op6_packing, op7_media, op8_bpe, op9_simhash, op10_language_id, op12_ranked_search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -58,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filter": url_filter.oracle_sql()}
+    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filter": url_filter.oracle_sql(), "op12_ranked_search": ranked_search.ORACLE_SQL}
