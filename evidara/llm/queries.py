@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidara.llm import bpe, decontaminate, langid, line_dedup, media, packing, ranked_search, simhash, substring_dedup, token_counts, url_filter
+from evidara.llm import bpe, decontaminate, hard_negatives, langid, license_scan, line_dedup, media, packing, ranked_search, simhash, substring_dedup, token_counts, url_filter
 from evidara.llm.common import table
 
 
@@ -50,11 +51,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id are moved on by one; anchors are the ids divisible by 50."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(table(spark, sf_dir, "embeddings"), moved), F.col("id") % 50 == 0)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = (op1_substring_dedup, op2_token_counts, op3_line_dedup, op4_decontaminate, op5_url_filter, op6_packing, op7_media, op8_bpe, op9_simhash, op10_language_id, op12_ranked_search)
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_substring_dedup, op2_token_counts, op3_line_dedup, op4_decontaminate, op5_url_filter, op6_packing, op7_media, op8_bpe, op9_simhash, op10_language_id, op11_hard_negatives, op12_ranked_search, op13_license_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filter": url_filter.oracle_sql(), "op12_ranked_search": ranked_search.ORACLE_SQL}
+    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filter": url_filter.oracle_sql(), "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_ranked_search": ranked_search.ORACLE_SQL, "op13_license_scan": license_scan.oracle_sql()}
