@@ -8,9 +8,9 @@ window for each positive over rows of other labels, which gives the negatives.
 
 By Cauchy-Schwarz no row of a bucket scores more than the anchor's norm times the bucket's largest
 one. So an anchor needs no bucket whose norm falls short of its least need - a window's lower limit, or its running
-k-th score, if higher - divided by its own norm. Shelves are searched in waves of growing size,
-longest norms first; after a wave the needs are those of all that was found, and blocks that need nothing more
-drop out. A block meets the buckets of a shelf in a join on (shelf, group of blocks), a pair of block and bucket to a
+k-th score, if higher - divided by its own norm. Shelves are searched in up to three waves of growing
+size, longest norms first; after a wave the needs are those of all that was found, and anchors that need nothing
+more drop out. A block meets the buckets of a shelf in a join on (shelf, group of blocks), a pair of block and bucket to a
 row: no task holds more than a block, a bucket and the block's best rows.
 
 Rows with a null label, a null vector, or any null or non-finite component take no part, nor do
@@ -23,6 +23,7 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -37,9 +38,6 @@ from evidara.llm.common import Batches, emit, one_thread, shared_folder
 #: Rows of a bucket, buckets of a shelf; anchors of a block, blocks that meet a shelf in one group.
 BUCKET, SHELF, BLOCK, GROUP = 2_048, 8, 256, 16
 
-#: Each wave takes so many times the shelves of the last.
-GROWTH = 8
-
 #: Norms and needs are doubles: bounds are loosened by this share.
 SLACK = 1e-9
 
@@ -119,9 +117,9 @@ def shelved(rows: DataFrame, folder: str) -> DataFrame:
     return rows.sparkSession.read.schema(_ddl(_BUCKETS)).parquet(folder)
 
 
-def _blocks(anchors: DataFrame, n: int) -> DataFrame:
-    """Anchors (id, label, q, norm, ratio, windows) of similar needs in blocks."""
-    ranged = anchors.repartitionByRange(max(1, -(-n // (BLOCK * GROUP))), "ratio", F.xxhash64("id")).sortWithinPartitions("ratio")
+def _blocks(anchors: DataFrame, groups: int) -> DataFrame:
+    """Anchors (id, label, q, norm, ratio, windows) in groups, and in each group those of similar needs in blocks."""
+    ranged = anchors.repartition(groups, "id").sortWithinPartitions("ratio")
 
     def pack(batches: Batches) -> Batches:
         k = TaskContext.get().partitionId() << 32
@@ -196,55 +194,56 @@ class _Best:
         return emit(_FOUND, [self.ids[self.at[window]], self.window[window], self.found[window, place], self.score[window, place]])
 
 
-def _search(anchors: DataFrame, windows: DataFrame, buckets: DataFrame, k: int, same: bool, folder: str) -> DataFrame:
-    """(anchor_id, window, found_id, score, place): the k best rows of each window (anchor_id, window, low, high)."""
+def _waves(shelves: int) -> list[tuple[int, int]]:
+    """Shelves in up to three runs, the first one alone: so many rounds whatever the number of shelves."""
+    ends = sorted({min(shelves, n) for n in (1, 1 + math.isqrt(shelves) if shelves > 8 else shelves, shelves)})
+    return [(at, to - 1) for at, to in zip([0, *ends], ends) if at < to]
+
+
+def _search(anchors: DataFrame, n: int, buckets: DataFrame, k: int, same: bool, folder: str) -> DataFrame:
+    """(anchor_id, window, found_id, score, place): the k best rows of each window of n anchors (id, label, q, norm, windows: window, low, high)."""
     spark = anchors.sparkSession
     norms = {r.shelf: r.norm for r in buckets.groupBy("shelf").agg(F.max("norm").alias("norm")).collect()}  # a number for each shelf
-    last, at, size, wave = max(norms, default=-1), 0, 1, 0
-    found = spark.createDataFrame([], _ddl(_FOUND) + ", place int")
+    groups = max(1, -(-n // (BLOCK * GROUP)))
+    found = None
 
     def meet(batches: Batches) -> Batches:
         best, at = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                b = {name: batch.column(i)[r].as_py() for i, name in enumerate(batch.schema.names) if name in ("block", "shelf", "dim", "norm", "ids", "labels", "vectors")}
+                b = {name: batch.column(i)[r].as_py() for i, name in enumerate(batch.schema.names) if not name.startswith("block_")}
                 if at != (b["block"], b["shelf"]):
                     if best:
                         yield best.rows()
                     at = (b["block"], b["shelf"])
-                    own = [batch.column(f"block_{n}")[r].as_py() for n in ("ids", "labels", "vectors", "windows")]
+                    own = [batch.column(batch.schema.get_field_index(f"block_{c}"))[r].as_py() for c in ("ids", "labels", "vectors", "windows")]
                     best = _Best(*own, b["dim"], k, same)
                 ids = np.frombuffer(b["ids"], np.int64)
                 best.meet(b["norm"], ids, np.frombuffer(b["labels"], np.int64), np.frombuffer(b["vectors"], np.int32).reshape(len(ids), b["dim"]))
         if best:
             yield best.rows()
 
-    while at <= last:
-        to = min(last, at + size - 1)
-        reach = max((norms[s] for s in range(at, to + 1) if s in norms), default=0.0)
-        kth = found.where(F.col("place") == k).select("anchor_id", "window", "score")
-        need = F.greatest("low", F.coalesce("score", "low"))
-        # ratio: the norm that a row has to have at least
-        lists = windows.join(kth, ["anchor_id", "window"], "left").select("anchor_id", F.struct("window", "low", "high", need.alias("need")).alias("w")).groupBy("anchor_id").agg(F.collect_list("w").alias("windows"))  # as many as positives
+    for wave, (at, to) in enumerate(_waves(max(norms, default=-1) + 1)):
+        asked, need = anchors, lambda w: w["low"]
+        if found is not None:
+            kth = found.where(F.col("place") == k).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("kth"))  # as many as windows
+            asked, need = anchors.join(kth, anchors.id == kth.anchor_id, "left").drop("anchor_id"), lambda w: F.greatest(w["low"], F.coalesce(F.try_element_at("kth", w["window"]), w["low"]))
+        asked = asked.withColumn("windows", F.transform("windows", lambda w: F.struct(w["window"].alias("window"), w["low"].alias("low"), w["high"].alias("high"), need(w).alias("need"))))  # noqa: B023
         least = F.array_min(F.transform("windows", lambda w: w["need"])).cast("double")
+        # the norm that a row has to have at least
         ratio = F.when(F.col("norm") > 0, least / F.col("norm") * (1 - F.signum(least) * SLACK)).otherwise(F.when(least <= 0, -1.0).otherwise(float("inf")))
-        asked = anchors.join(lists, anchors.id == lists.anchor_id).drop("anchor_id").withColumn("ratio", ratio).where(F.col("ratio") <= reach)
-        n = asked.count()
-        if not n:
-            break
-        groups = max(1, -(-n // (BLOCK * GROUP)))
-        own = _blocks(asked, n).withColumn("salt", F.pmod(F.shiftright("block", 32), F.lit(groups))).withColumn("shelf", F.explode(F.sequence(F.lit(at), F.lit(to))))
+        asked = asked.withColumn("ratio", ratio).where(F.col("ratio") <= max((norms[s] for s in range(at, to + 1) if s in norms), default=0.0))
+        own = _blocks(asked, groups).withColumn("salt", F.pmod(F.shiftright("block", 32), F.lit(groups))).withColumn("shelf", F.explode(F.sequence(F.lit(at), F.lit(to))))
         own = own.select("salt", "shelf", "dim", "block", "ratio", *(F.col(c).alias(f"block_{c}") for c in ("ids", "labels", "vectors", "windows")))
         theirs = buckets.where(F.col("shelf").between(at, to)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
         pairs = own.join(theirs, (own.salt == theirs.salt) & (own.shelf == theirs.shelf) & (own.dim == theirs.dim) & (own.ratio <= theirs.norm))
         pairs = pairs.select(own.block, own.shelf, own.dim, "block_ids", "block_labels", "block_vectors", "block_windows", "norm", "ids", "labels", "vectors")
-        more = pairs.mapInArrow(meet, _ddl(_FOUND))
+        best = pairs.mapInArrow(meet, _ddl(_FOUND))
+        best = best if found is None else best.unionByName(found.drop("place"))
         order = Window.partitionBy("anchor_id", "window").orderBy(F.desc("score"), F.asc("found_id"))
-        best = found.drop("place").unionByName(more).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-        best.write.parquet(f"{folder}-{wave}")
+        best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).write.parquet(f"{folder}-{wave}")
         found = spark.read.schema(_ddl(_FOUND) + ", place int").parquet(f"{folder}-{wave}")
-        at, size, wave = to + 1, size * GROWTH, wave + 1
-    return found
+    return spark.createDataFrame([], _ddl(_FOUND) + ", place int") if found is None else found
 
 
 def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
@@ -259,13 +258,13 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
     rows = spark.read.schema("id bigint, label bigint, q array<int>, norm double").parquet(f"{folder}/rows")
     buckets = shelved(rows, f"{folder}/buckets")
     anchors = rows.where(anchor)
-    far = 1 << 62
-    everything = anchors.select(F.col("id").alias("anchor_id"), F.lit(0).cast("bigint").alias("window"), F.lit(-far).alias("low"), F.lit(far).alias("high"))
-    own = _search(anchors, everything, buckets, positives, True, f"{folder}/positives")
+    n, far = anchors.count(), 1 << 62
+    window = lambda *w: F.struct(*(x.cast("bigint").alias(c) for x, c in zip(w, ("window", "low", "high"))))
+    own = _search(anchors.withColumn("windows", F.array(window(F.lit(0), F.lit(-far), F.lit(far)))), n, buckets, positives, True, f"{folder}/positives")
     own = own.select("anchor_id", F.col("found_id").alias("window"), F.col("score").alias("positive_score"))
     share = lambda p: F.col("positive_score").cast("decimal(20,0)") * p / 100
-    windows = own.withColumn("low", F.ceil(share(low)).cast("bigint")).withColumn("high", F.floor(share(high)).cast("bigint"))
-    other = _search(anchors, windows.where("low <= high").drop("positive_score"), buckets, negatives, False, f"{folder}/negatives")
+    windows = own.select("anchor_id", window(F.col("window"), F.ceil(share(low)), F.floor(share(high))).alias("w")).where("w.low <= w.high").groupBy("anchor_id").agg(F.collect_list("w").alias("windows"))  # as many as positives
+    other = _search(anchors.join(windows, anchors.id == windows.anchor_id).drop("anchor_id"), n, buckets, negatives, False, f"{folder}/negatives")
     found = other.join(own, ["anchor_id", "window"])
     return found.select("anchor_id", F.col("window").alias("positive_id"), F.col("place").alias("rank"), F.col("found_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

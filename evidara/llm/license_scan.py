@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import Batches, as_bytes, emit, small_batches
+from evidara.llm.common import CHUNK_BYTES, Batches, as_bytes, emit, small_batches
 from evidara.llm.words import Vocabulary, word_chunks, word_ranges
 
 
@@ -234,6 +234,45 @@ _MATCH = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("template", p
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("matches", pa.list_(_MATCH))])
 
 
+def matched(batch: pa.RecordBatch, automaton: Automaton, templates: tuple[Template, ...], limit: int = CHUNK_BYTES) -> pa.RecordBatch:
+    """Word counts and matches of a batch (doc_id, text as bytes)."""
+    label, base = np.array([t.label for t in templates], object), np.array([t.base for t in templates])
+    n = np.zeros(batch.num_rows, np.int64)
+    found: list[tuple[np.ndarray, ...]] = []
+    held: list = []  # a text that comes in pieces: its row and the symbols so far
+
+    def close() -> None:
+        if held:
+            place, template, length = automaton.matches(np.concatenate([*held[1:], np.array([automaton.end], np.int32)]))
+            found.append((np.full(len(place), held[0]), template, place, length))
+            held.clear()
+
+    for first, end, data, offsets in word_chunks(batch, "text", limit):
+        start, stop, doc = word_ranges(data, offsets)
+        number = automaton.vocabulary.numbers(data, start, stop)
+        symbols = np.where(number >= 0, number, automaton.other).astype(np.int32)
+        count = np.bincount(doc, minlength=end - first)
+        n[first:end] += count
+        if held and held[0] != first:
+            close()
+        if end - first == 1:
+            held.extend([symbols] if held else [first, symbols])
+            continue
+        whole = np.full(len(symbols) + len(count), automaton.end, np.int32)
+        whole[np.arange(len(symbols)) + doc] = symbols
+        place, template, length = automaton.matches(whole)
+        begins = np.cumsum(count) - count + np.arange(len(count))
+        at = np.searchsorted(begins, place, side="right") - 1
+        found.append((first + at, template, place - begins[at], length))
+    close()
+    row, template, place, length = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4))
+    order = np.lexsort((template, place, row))
+    row, template, place, length = row[order], template[order], place[order], length[order]
+    columns = [pa.array(label[template], pa.string()), pa.array(base[template], pa.bool_()), pa.array(template, pa.int32()), pa.array(place, pa.int64()), pa.array(length, pa.int64())]
+    lists = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32), pa.StructArray.from_arrays(columns, fields=list(_MATCH)))
+    return emit(_FOUND, [batch.column(0), n, lists])
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, matches: label, base, template, first_word, words) of every whole text: a map over the scan."""
     small_batches(docs.sparkSession)
@@ -242,43 +281,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
 
     def run(batches: Batches) -> Batches:
         automaton = Automaton(templates)
-        label, base = np.array([t.label for t in templates], object), np.array([t.base for t in templates])
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            found: list[tuple[np.ndarray, ...]] = []
-            held: list = []  # a text that comes in pieces: its row and the symbols so far
-
-            def close(held=held, found=found) -> None:  # noqa: ANN001
-                if held:
-                    row, symbols = held[0], np.concatenate([*held[1:], np.array([automaton.end], np.int32)])
-                    place, template, length = automaton.matches(symbols)
-                    found.append((np.full(len(place), row), template, place, length))
-                    held.clear()
-
-            for first, end, data, offsets in word_chunks(batch, "text"):
-                start, stop, doc = word_ranges(data, offsets)
-                number = automaton.vocabulary.numbers(data, start, stop)
-                symbols = np.where(number >= 0, number, automaton.other).astype(np.int32)
-                count = np.bincount(doc, minlength=end - first)
-                n[first:end] += count
-                if held and held[0] != first:
-                    close()
-                if end - first == 1:
-                    held.extend([symbols] if held else [first, symbols])
-                    continue
-                whole = np.full(len(symbols) + len(count), automaton.end, np.int32)
-                whole[np.arange(len(symbols)) + doc] = symbols
-                place, template, length = automaton.matches(whole)
-                begins = np.cumsum(count) - count + np.arange(len(count))
-                at = np.searchsorted(begins, place, side="right") - 1
-                found.append((first + at, template, place - begins[at], length))
-            close()
-            row, template, place, length = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4))
-            order = np.lexsort((template, place, row))
-            row, template, place, length = row[order], template[order], place[order], length[order]
-            columns = [pa.array(label[template], pa.string()), pa.array(base[template], pa.bool_()), pa.array(template, pa.int32()), pa.array(place, pa.int64()), pa.array(length, pa.int64())]
-            lists = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32), pa.StructArray.from_arrays(columns, fields=list(_MATCH)))
-            yield emit(_FOUND, [batch.column(0), n, lists])
+            yield matched(batch, automaton, templates)
 
     kind = "array<struct<label:string,base:boolean,template:int,first_word:bigint,words:bigint>>"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes().alias("text")).mapInArrow(run, f"doc_id bigint, n_words bigint, matches {kind}")

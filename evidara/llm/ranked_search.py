@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidara.llm.common import Batches, as_bytes, emit, shared_folder, small_batches
+from evidara.llm.common import CHUNK_BYTES, Batches, as_bytes, emit, shared_folder, small_batches
 from evidara.llm.words import Vocabulary, word_chunks, word_ranges
 
 #: Results of each item.
@@ -61,41 +61,50 @@ def _terms(text: str | None) -> list[bytes]:
     return sorted(found)
 
 
+def count_asked(batch: pa.RecordBatch, vocabulary: Vocabulary, limit: int = CHUNK_BYTES) -> pa.RecordBatch:
+    """Counts of a batch (doc_id, text as bytes): each document's terms, and its terms of the vocabulary; documents without terms go."""
+    size = max(1, len(vocabulary.words))
+    n = np.zeros(batch.num_rows, np.int64)
+    keys, counts = [], []
+    held: tuple[int, np.ndarray] | None = None  # row and counts of a text that comes in pieces
+
+    def close() -> None:
+        if held is not None:
+            key = np.flatnonzero(held[1])
+            keys.append(held[0] * size + key)
+            counts.append(held[1][key])
+
+    for first, end, data, offsets in word_chunks(batch, "text", limit):
+        start, stop, doc = word_ranges(data, offsets)
+        n[first:end] += np.bincount(doc, minlength=end - first)
+        number = vocabulary.numbers(data, start, stop)
+        asked = number >= 0
+        if held is not None and held[0] != first:
+            close()
+            held = None
+        if end - first == 1:
+            tf = np.bincount(number[asked], minlength=size)
+            held = (first, tf if held is None else held[1] + tf)
+        else:
+            key, tf = np.unique((first + doc[asked]) * size + number[asked], return_counts=True)
+            keys.append(key)
+            counts.append(tf)
+    close()
+    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    tf = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    ends = np.searchsorted(key, np.arange(batch.num_rows + 1) * size).astype(np.int32)
+    whole = emit(_COUNTED, [batch.column(0), n, pa.ListArray.from_arrays(ends, (key % size).astype(np.int32)), pa.ListArray.from_arrays(ends, tf.astype(np.int64))])
+    return whole.filter(pa.array(n > 0))
+
+
 def _counted(docs: DataFrame, words: list[bytes]) -> DataFrame:
     """(doc_id, n, term, tf): the number of a document's terms, and its asked terms with their counts."""
     sent = docs.sparkSession.sparkContext.broadcast(words)  # the terms of a block of items
 
     def run(batches: Batches) -> Batches:
-        vocabulary, size = Vocabulary(sent.value), max(1, len(sent.value))
+        vocabulary = Vocabulary(sent.value)
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            keys, counts, held = [], [], None  # held: counts of a text that comes in pieces
-            for first, end, data, offsets in word_chunks(batch, "text"):
-                start, stop, doc = word_ranges(data, offsets)
-                n[first:end] += np.bincount(doc, minlength=end - first)
-                number = vocabulary.numbers(data, start, stop)
-                asked = number >= 0
-                if held is not None and held[0] != first:
-                    key = np.flatnonzero(held[1])
-                    keys.append(held[0] * size + key)
-                    counts.append(held[1][key])
-                    held = None
-                if end - first == 1:
-                    tf = np.bincount(number[asked], minlength=size)
-                    held = (first, tf if held is None else held[1] + tf)
-                else:
-                    key, tf = np.unique((first + doc[asked]) * size + number[asked], return_counts=True)
-                    keys.append(key)
-                    counts.append(tf)
-            if held is not None:
-                key = np.flatnonzero(held[1])
-                keys.append(held[0] * size + key)
-                counts.append(held[1][key])
-            key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            tf = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            ends = np.searchsorted(key, np.arange(batch.num_rows + 1) * size).astype(np.int32)
-            whole = emit(_COUNTED, [batch.column(0), n, pa.ListArray.from_arrays(ends, (key % size).astype(np.int32)), pa.ListArray.from_arrays(ends, tf.astype(np.int64))])
-            yield whole.filter(pa.array(n > 0))
+            yield count_asked(batch, vocabulary)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes().alias("text")).mapInArrow(run, "doc_id bigint, n bigint, term array<int>, tf array<bigint>")
 
@@ -131,14 +140,11 @@ class Tree:
         return np.concatenate([z_low, total + low - z_low]), np.concatenate([z_high, total + high - z_high])
 
     def bounds(self, level: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """What no document below a node can exceed; at leaves its score."""
-        there = low < high
+        """What no document below a node can exceed, as no impact is below zero; at leaves its score."""
         most = self.flat_impact[(level * max(1, self.n))[:, None] + np.minimum(low, self.n - 1)]
-        most = np.where(there, most, 0)
-        leaf = level == self.levels
-        return np.where(leaf[:, None], most, np.maximum(most, 0)).sum(axis=1)
+        return np.where(low < high, most, 0).sum(axis=1)
 
-    def best(self, low: np.ndarray, high: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, low: np.ndarray, high: np.ndarray, k: int, least: int, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
         """(document numbers, scores) of at least the k best of the documents with a score of `least` or more, ties by number."""
         none = np.zeros(0, np.int64)
         if not len(low) or not self.n:
@@ -147,9 +153,9 @@ class Tree:
         bound = self.bounds(level, low, high)
         docs, scores = none, none
         while len(bound):
-            if len(bound) > NODES:
-                cut = np.argpartition(bound, len(bound) - NODES)
-                front, rest = cut[len(bound) - NODES :], cut[: len(bound) - NODES]
+            if len(bound) > nodes:
+                cut = np.argpartition(bound, len(bound) - nodes)
+                front, rest = cut[len(bound) - nodes :], cut[: len(bound) - nodes]
             else:
                 front, rest = slice(None), slice(0, 0)
             new_low, new_high = self.children(level[front], low[front], high[front])
