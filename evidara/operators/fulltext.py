@@ -6,17 +6,21 @@ count as quoted. Stop words vanish, but keep their places inside quotes. An alte
 wanted word finds nothing. Texts are runs of letters and digits, lower-cased, their places counted from 0.
 
 Only words whose stems are asked for become postings, one row per chunk. Each alternative looks for its rarest stem first;
-chunks that have it are read once more and judged by one fold over their postings.
+chunks that have it and all its other stems are judged by the places of these.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from evidara.functions import fixed
 from evidara.functions.stem import with_stems
+from evidara.operators.lineage import checkpointed
 from evidara.operators.retrieve import top
 
 TERM = r"[\p{L}\p{N}]+"
@@ -51,67 +55,75 @@ def plans(parts: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, stems: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, hits: place, stem) of chunks (key, text) that hold one of the stems; hits in order."""
+    """(key, places: stem -> its places in order) of chunks (key, text) that hold one of the stems."""
     token = chunks.select(key, F.posexplode(words(F.col("text"))).alias("place", "word"))
     known = with_stems(token.select("word").distinct()).join(stems.distinct(), "stem", "left_semi")
-    return token.join(known, "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "stem"))).alias("hits"))  # a chunk's own words
+    # dealt out by chunk once: both groupings are a chunk's own words
+    lists = token.join(known, "word").repartition(key).groupBy(key, "stem").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return lists.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("stem", "places"))).alias("places"))
 
 
-def _ends(hits: Column, parts: Column) -> Column:
-    """hits as (place, ends: the parts whose last term stands here with the others before it, and the number of the hit that they start at)."""
+def density(parts: list[dict], places: dict[str, np.ndarray]) -> float | None:
+    """A chunk's cover density for a query, None if it does not satisfy it.
 
-    def end(hit: Column, at: Column, part: Column) -> Column:
-        last = F.element_at(part["terms"], -1)
-        first = part["terms"][0]
-        span = last["place"] - first["place"]
-        near = F.slice(hits, F.greatest(F.lit(1), at + 1 - span), F.least(at + 1, span + 1))
-        whole = F.forall(part["terms"], lambda t: F.exists(near, lambda h: (h["stem"] == t["stem"]) & (h["place"] == hit["place"] - last["place"] + t["place"])))
-        start = at - F.size(F.filter(near, lambda h: (h["place"] >= hit["place"] - span) & (h["place"] < hit["place"])))
-        return F.when((hit["stem"] == last["stem"]) & whole, F.struct((hit["place"] - span).alias("place"), start.alias("hit")))
-
-    return F.transform(hits, lambda hit, at: F.struct(hit["place"].alias("place"), F.transform(parts, lambda part: end(hit, at, part)).alias("ends")))
-
-
-def _density(ends: Column, parts: Column, fit: Column) -> Column:
-    """The sum over minimal covers of 0.1 / (1 + words in the cover that are not the query's)."""
-    none = F.lit(None).cast("struct<place:int,hit:int>")
-
-    def step(acc: Column, at: Column) -> Column:
-        hit = acc["n"]
-        seen = F.transform(F.arrays_zip(acc["seen"], at["ends"]), lambda z: F.coalesce(z["ends"], z["seen"]))
-
-        def low(alternative: Column) -> Column:
-            own = F.filter(F.arrays_zip(seen, parts), lambda z: ~z["parts"]["excluded"] & (z["parts"]["alternative"] == alternative))
-            starts = F.transform(own, lambda z: z["0"])
-            return F.when(F.forall(starts, lambda s: s.isNotNull()), F.array_min(starts))
-
-        begin = F.array_max(F.transform(fit, low))
-        found = begin.isNotNull() & (begin["place"] > acc["left"])
-        noise = (at["place"] - begin["place"]) - (hit - begin["hit"])
-        return F.struct((hit + 1).alias("n"), seen.alias("seen"), F.when(found, begin["place"]).otherwise(acc["left"]).alias("left"), (acc["score"] + F.when(found, WEIGHT / (1 + noise)).otherwise(0.0)).alias("score"))
-
-    start = F.struct(F.lit(0).alias("n"), F.transform(parts, lambda _: none).alias("seen"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
-    return F.aggregate(ends, start, step, lambda acc: acc["score"])
+    The sum over minimal covers - spans that satisfy the query and hold no smaller such span - of
+    0.1 / (1 + words in the span that are not the query's).
+    """
+    none = np.zeros(0, np.int64)
+    spans: list[tuple[np.ndarray, int]] = []  # first places of a part's occurrences, and how far their last ones are
+    for part in parts:
+        terms = part["terms"]
+        at = places.get(terms[0]["stem"], none)
+        for t in terms[1:]:
+            at = np.intersect1d(at, places.get(t["stem"], none) - (t["place"] - terms[0]["place"]), assume_unique=True)
+        spans.append((at, terms[-1]["place"] - terms[0]["place"]))
+    fit = []
+    for alternative in sorted({p["alternative"] for p in parts}):
+        own = [(p["excluded"], s) for p, s in zip(parts, spans) if p["alternative"] == alternative]
+        wanted = [s for excluded, s in own if not excluded]
+        if wanted and all(bool(len(s[0])) != excluded for excluded, s in own):
+            fit.append(wanted)
+    if not fit:
+        return None
+    held = np.unique(np.concatenate(list(places.values())))
+    ends = np.unique(np.concatenate([at + far for wanted in fit for at, far in wanted]))
+    low = np.full(len(ends), -1)  # the latest place from which a span up to each end satisfies the query
+    for wanted in fit:
+        start = np.full(len(ends), np.iinfo(np.int64).max)
+        for at, far in wanted:
+            last = np.searchsorted(at + far, ends, side="right") - 1
+            start = np.minimum(start, np.where(last >= 0, at[np.maximum(last, 0)], -1))
+        low = np.maximum(low, start)
+    least = (low >= 0) & np.append(True, low[1:] != low[:-1])
+    low, ends = low[least], ends[least]
+    inside = np.searchsorted(held, ends, side="right") - np.searchsorted(held, low)
+    return float((WEIGHT / (2 + ends - low - inside)).sum())
 
 
 def matches(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score): the chunks (key, text) that satisfy a query, with their cover density."""
-    parts = stemmed(parsed(queries))
-    held = postings(chunks, parts.select("stem"), key)
-    frequency = held.select(F.explode(F.array_distinct("hits.stem")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    wanted = parts.where("not excluded").join(frequency, "stem", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    parts = checkpointed(stemmed(parsed(queries)))
+    held = checkpointed(postings(chunks, parts.select("stem"), key))  # read three times
+    stem = held.select(key, F.explode(F.map_keys("places")).alias("stem"))
+    wanted = parts.where("not excluded").join(stem.groupBy("stem").agg(F.count(F.lit(1)).alias("df")), "stem", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = wanted.groupBy("query_id", "alternative").agg(F.min(F.struct("df", "stem")).alias("r")).where("r.df > 0").select("query_id", F.col("r.stem").alias("stem")).distinct()
-    pairs = held.select(key, F.explode(F.array_distinct("hits.stem")).alias("stem")).join(rarest, "stem").select("query_id", key).distinct()
-    both = pairs.join(held, key).join(plans(parts), "query_id")
+    pairs = stem.join(rarest, "stem").select("query_id", key).distinct()
     asked = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["terms"]["stem"])))
-    both = both.withColumn("asked", asked).withColumn("hits", F.filter("hits", lambda h: F.array_contains("asked", h["stem"])))
-    both = both.withColumn("ends", _ends(F.col("hits"), F.col("parts")))
-    # whether each part occurs, then which alternatives have all that they want and nothing that they exclude
-    both = both.withColumn("there", F.transform("parts", lambda p, i: F.exists("ends", lambda e: F.get(e["ends"], i).isNotNull())))
-    zipped = F.arrays_zip("parts", "there")
+    both = pairs.join(held, key).join(plans(parts).withColumn("asked", asked), "query_id")
+    # what an alternative cannot do without is a matter of the chunk's stems; the places of the asked ones are judged after that
     some = F.array_distinct(F.transform(F.filter("parts", lambda p: ~p["excluded"]), lambda p: p["alternative"]))
-    fit = F.filter(some, lambda a: F.forall(zipped, lambda z: (z["parts"]["alternative"] != a) | (z["there"] != z["parts"]["excluded"])))
-    return both.withColumn("fit", fit).where(F.size("fit") > 0).select("query_id", key, _density(F.col("ends"), F.col("parts"), F.col("fit")).alias("score"))
+    whole = F.exists(some, lambda a: F.forall("parts", lambda p: p["excluded"] | (p["alternative"] != a) | F.forall(p["terms"], lambda t: F.map_contains_key("places", t["stem"]))))
+    own = both.where(whole).select("query_id", key, "parts", "asked", F.transform("asked", lambda s: F.coalesce(F.try_element_at("places", s), F.array().cast("array<int>"))).alias("places"))
+    kinds = {f.name: f.dataType for f in own.schema.fields}
+
+    def judge(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4))
+            scores = [density(p, {s: x.values.to_numpy().astype(np.int64) for s, x in zip(a, lists)}) for p, a, lists in rows]
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["query_id", key, "score"])
+            yield found.filter(found.column(2).is_valid())
+
+    return own.mapInArrow(judge, StructType([StructField("query_id", kinds["query_id"]), StructField(key, kinds[key]), StructField("score", DoubleType())]))
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = fixed.LEXICAL_LIMIT, key: str = "chunk_id") -> DataFrame:

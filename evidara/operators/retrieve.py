@@ -38,15 +38,6 @@ def exact_candidates(wanted: DataFrame, index: DataFrame, chunks: DataFrame, k:
     return top(found, ["query_id"], [F.desc("score"), F.asc_nulls_last("authority_rank"), F.asc("chunk_id")], k).drop("authority_rank")
 
 
-def lexical_candidates(terms: DataFrame, postings: DataFrame, k: int = fixed.LEXICAL_LIMIT, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank): rows that hold all terms (query_id, term) of a query, by total term frequency."""
-    asked = terms.distinct()
-    needed = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    hits = postings.join(asked, "term").groupBy("query_id", key).agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("score"))
-    found = hits.join(needed, "query_id").where("matched = needed").select("query_id", key, "score")
-    return top(found, ["query_id"], [F.desc("score"), F.asc(key)], k)
-
-
 def dense_candidates(queries: DataFrame, vectors: DataFrame, k: int = fixed.DENSE_LIMIT, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score, rank): exact cosine search of queries (query_id, embedding) over all vectors (key, embedding).
 
@@ -120,22 +111,5 @@ def resolved_queries(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def hydrated(ranked: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Rows of chunks for ranked ids, in rank order within a query; missing and inactive ones drop out."""
+    """Rows of chunks for ranked ids with their ranks; missing and inactive ones drop out."""
     return ranked.join(chunks.where("is_active"), key)
-
-
-def cover_density(positions: DataFrame, weight: float = 0.1) -> DataFrame:
-    """(query_id, chunk_id, score) from term positions (query_id, chunk_id, needed, hits: array of (pos, term)).
-
-    The sum over minimal covers - spans that hold all needed terms and no smaller such span - of one
-    over their length, after the published cover-density ranking.
-    """
-
-    def step(acc: Column, h: Column) -> Column:
-        seen = F.map_concat(F.map_filter(acc["seen"], lambda k, _: k != h["term"]), F.map_from_arrays(F.array(h["term"]), F.array(h["pos"])))
-        low = F.array_min(F.map_values(seen))
-        full = (F.size(seen) == F.col("needed")) & (low > acc["left"])
-        return F.struct(seen.alias("seen"), F.when(full, low).otherwise(acc["left"]).alias("left"), (acc["score"] + F.when(full, weight / (h["pos"] - low + 1)).otherwise(0.0)).alias("score"))
-
-    start = F.struct(F.expr("cast(map() as map<string,int>)").alias("seen"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
-    return positions.select("query_id", "chunk_id", F.aggregate(F.sort_array("hits"), start, step, lambda acc: acc["score"]).alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import fixed
-from evidara.operators import candidates, chunk, court, evaluate, providers, retrieve
+from evidara.operators import candidates, chunk, court, evaluate, providers
 from evidara.plans.operations import documents
 from evidara.plans.registry import query, quoted, table, values
 
@@ -127,25 +127,6 @@ def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", "input_sha256", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3).alias("norm"))
 
 
-@query("""
-WITH t AS (SELECT item_id AS query_id, list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda w: length(w) BETWEEN 3 AND 6))), 1, 2) AS ts FROM benchmark),
-d AS (SELECT doc_id AS chunk_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents)),
-h AS (SELECT query_id, chunk_id, pos, len(ts) AS needed, max(pos) FILTER (term = ts[1]) OVER w AS a, max(pos) FILTER (term = ts[2]) OVER w AS b FROM d JOIN t ON list_contains(ts, term) WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY pos)),
-l AS (SELECT query_id, chunk_id, pos, CASE WHEN needed = 1 THEN a WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END AS low FROM h),
-c AS (SELECT query_id, chunk_id, low, min(pos) AS pos FROM l WHERE low IS NOT NULL GROUP BY ALL),
-s AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (pos - low + 1)), 9) AS score FROM c GROUP BY ALL)
-SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50""")
-def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items' first two short words in all documents, scored by how close together they stand."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w).between(3, 6)))), 1, 2)).alias("term"))
-    needed = asked.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("needed"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.posexplode(words).alias("pos", "term"))
-    hits = docs.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("pos", "term")).alias("hits"))
-    scored = retrieve.cover_density(hits.join(needed, "query_id").where("size(array_distinct(transform(hits, h -> h.term))) = needed"))
-    return retrieve.top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], 50).withColumn("score", F.round("score", 9))
-
-
 @query("SELECT page_id, contains(url, '://') AND starts_with(url, 'https:') AND regexp_matches(url, '^https://[A-Za-z0-9.\\-]*example\\.org[/?#]') AS allowed FROM pages")
 def allowed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Https pages of hosts of one domain, the hosts being those that the table has."""

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from evidara.functions import fixed
 from evidara.functions import text as T
-from evidara.operators import answer, index, rerank, retrieve
-
+from evidara.operators import answer, fulltext, index, rerank, retrieve
+from evidara.plans.fulltext_sql import matches_sql, search_sql
 from evidara.plans.registry import query, quoted, table, values
-from evidara.plans.text import LETTERS, identifiers_sql
+from evidara.plans.text import LETTERS, identifiers_sql, terms_sql
 
 # Chunks of the test tables: a document is a chunk of its source; every seventh one is inactive.
-_CHUNKS = "SELECT doc_id AS chunk_id, 'doc' || doc_id AS document_id, '[DOCUMENT: ' || lang || ' ' || source || ']' AS contextual_header, source AS canonical_reference_id, source || '#' || lang AS section_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 4)::INTEGER END AS authority_rank, doc_id % 7 <> 0 AS is_active FROM documents"
+_CHUNKS = "SELECT doc_id AS chunk_id, 'doc' || doc_id AS document_id, '[DOCUMENT: ' || lang || ' ' || source || ']' AS contextual_header, source AS canonical_reference_id, source || '#' || lang AS section_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 4)::INTEGER END AS authority_rank, doc_id % 7 <> 0 AS is_active, text FROM documents"
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc"), "doc_id").alias("document_id"), F.concat(F.lit("[DOCUMENT: "), "lang", F.lit(" "), "source", F.lit("]")).alias("contextual_header"),
-        F.col("source").alias("canonical_reference_id"), F.concat("source", F.lit("#"), "lang").alias("section_id"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 4).cast("int")).alias("authority_rank"), (F.col("doc_id") % 7 != 0).alias("is_active"),
+        F.col("source").alias("canonical_reference_id"), F.concat("source", F.lit("#"), "lang").alias("section_id"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 4).cast("int")).alias("authority_rank"), (F.col("doc_id") % 7 != 0).alias("is_active"), "text",
     )
 
 
@@ -64,27 +64,19 @@ def exact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact(spark, sf_dir)
 
 
-_TERMS = "SELECT item_id AS query_id, unnest(list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda w: length(w) BETWEEN 3 AND 6))), 1, 3)) AS term FROM benchmark"
-_POSTINGS = "SELECT term, chunk_id, count(*) AS tf FROM (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents) GROUP BY ALL"
-_LEXICAL = f"""
-WITH t AS (SELECT DISTINCT * FROM ({_TERMS})), p AS ({_POSTINGS}), n AS (SELECT query_id, count(*) AS needed FROM t GROUP BY query_id),
-h AS (SELECT query_id, chunk_id, count(*) AS matched, sum(tf) AS score FROM p JOIN t USING (term) GROUP BY ALL),
-r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h JOIN n USING (query_id) WHERE matched = needed)
-SELECT query_id, chunk_id, score::BIGINT AS score, rank::INTEGER AS rank FROM r WHERE rank <= {fixed.LEXICAL_LIMIT}"""
+_ITEMS = "SELECT item_id AS query_id, text AS query FROM benchmark"
+_WANTED_WORDS = f"SELECT query_id, terms AS query FROM ({terms_sql(_ITEMS)})"
+_LEXICAL = f"SELECT query_id, chunk_id, round(score, 9) AS score, rank::INTEGER AS rank FROM ({search_sql(_WANTED_WORDS, _CHUNKS)})"
 
 
-def _words(c: str = "text"):
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(T.TERM), F.lit(0))
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.slice(F.array_sort(F.array_distinct(F.filter(_words(), lambda w: F.length(w).between(3, 6)))), 1, 3)
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(short).alias("term"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    # only terms that are asked for are counted: the small side goes to the documents, not the postings to it
-    asked = terms.select("term").distinct()
-    found = docs.select("chunk_id", F.explode(_words()).alias("term")).join(asked, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return retrieve.lexical_candidates(terms, found)
+    """Whole items as queries, without generic words and identifiers."""
+    found = fulltext.search(items(spark, sf_dir).withColumn("query", T.lexical_terms(F.col("query"))), chunks(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 9))
 
 
 @query(_LEXICAL)
@@ -92,6 +84,30 @@ def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir)
 
 
+# Box queries of an item: its first two words in quotes, or its third and fourth word without the fifth, or its last two words and the first.
+_WORDS = "regexp_extract_all(text, '[\\p{L}\\p{N}]+')"
+_BOX = f"""SELECT item_id AS query_id, '"' || w[1] || ' ' || w[2] || '" or ' || w[3] || ' ' || w[4] || ' -' || w[5] || ' OR "' || w[-2] || ' ' || w[-1] || '" ' || w[1] AS query FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)"""
+
+
+def box_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.regexp_extract_all("text", F.lit(fulltext.TERM), F.lit(0))
+    at = lambda k: F.try_element_at(w, F.lit(k))
+    said = F.concat(F.lit('"'), at(1), F.lit(" "), at(2), F.lit('" or '), at(3), F.lit(" "), at(4), F.lit(" -"), at(5), F.lit(' OR "'), at(-2), F.lit(" "), at(-1), F.lit('" '), at(1))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), said.alias("query"))
+
+
+@query(f"SELECT query_id, chunk_id, round(score, 9) AS score, rank::INTEGER AS rank FROM ({search_sql(_BOX, _CHUNKS)})")
+def websearch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes, alternatives and exclusions, ranked among active chunks."""
+    return fulltext.search(box_queries(spark, sf_dir), chunks(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT query_id, chunk_id, round(score, 9) AS score FROM ({matches_sql(_BOX, _CHUNKS)})")
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk that satisfies a box query, scored by how close together its words stand."""
+    return fulltext.matches(box_queries(spark, sf_dir), chunks(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
 _DOT = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))"
 _DENSE = """
 SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (
@@ -165,18 +181,19 @@ def order_preserving_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.hydrated(top, chunks(spark, sf_dir)).select("query_id", "chunk_id", "rank", "document_id")
 
 
-# Candidates to rerank: for every item the first 12 documents of a deterministic order, as classes of authority.
+# Candidates to rerank: the fused retrieval's chunks that are active, numbered anew, with a class of authority each.
 CLASSES = list(fixed.AUTHORITY_WEIGHTS) + ["other"]
-_CANDIDATES = f"""SELECT item_id AS query_id, b.text AS query, row_number() OVER (PARTITION BY item_id ORDER BY doc_id)::INTEGER AS rank, doc_id, d.text AS content, '[DOCUMENT: ' || lang || ']' AS contextual_header,
-  ([{", ".join(map(quoted, CLASSES))}])[(doc_id % {len(CLASSES)})::INTEGER + 1] AS source_class FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40"""
+_CANDIDATES = f"""SELECT r.query_id, b.text AS query, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank)::INTEGER AS rank, c.chunk_id AS doc_id, c.text AS content, c.contextual_header, r.ranks,
+  ([{", ".join(map(quoted, CLASSES))}])[(c.chunk_id % {len(CLASSES)})::INTEGER + 1] AS source_class FROM ({_FUSED.replace("{k}", str(fixed.CANDIDATE_LIMIT))}) r JOIN ({_CHUNKS}) c ON c.chunk_id = r.chunk_id AND c.is_active JOIN benchmark b ON b.item_id = r.query_id"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 40).alias("k"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.lit("[DOCUMENT: "), "lang", F.lit("]")).alias("contextual_header"), (F.col("doc_id") % 40).alias("k"))
+    """(query_id, query, rank, doc_id, content, contextual_header, ranks, source_class): ids are ranked first, texts fetched for what is left."""
+    found = _shown(_fused(spark, sf_dir, fixed.CANDIDATE_LIMIT)).select("query_id", "chunk_id", "ranks", "rank")
     kinds = F.array(*map(F.lit, CLASSES))
-    pairs = docs.join(items, "k").withColumn("source_class", F.get(kinds, (F.col("doc_id") % len(CLASSES)).cast("int"))).drop("k")
-    return retrieve.top(pairs, ["query_id"], [F.asc("doc_id")], fixed.CANDIDATE_LIMIT)
+    live = chunks(spark, sf_dir).select("chunk_id", "is_active", "contextual_header", F.col("text").alias("content"))
+    rows = retrieve.hydrated(found, live).join(items(spark, sf_dir), "query_id").withColumn("source_class", F.get(kinds, (F.col("chunk_id") % len(CLASSES)).cast("int")))
+    return retrieve.top(rows.withColumnRenamed("rank", "fused"), ["query_id"], [F.asc("fused")], fixed.CANDIDATE_LIMIT).withColumnRenamed("chunk_id", "doc_id").select("query_id", "query", "rank", "doc_id", "content", "contextual_header", "ranks", "source_class")
 
 
 _WEIGHT = "CASE source_class " + " ".join(f"WHEN {quoted(c)} THEN {w}" for c, w in fixed.AUTHORITY_WEIGHTS.items()) + f" ELSE {fixed.OTHER_AUTHORITY} END"
@@ -187,7 +204,7 @@ t AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]{{2,}}')
 s AS (SELECT *, round(least(1.0::DOUBLE, len(list_intersect(q, h))::DOUBLE / greatest(1, len(q)) * 1.2::DOUBLE), 4) AS relevant,
   round(least(1.0::DOUBLE, 0.4::DOUBLE + markers::DOUBLE / greatest(1, words) * 3.0::DOUBLE) * CASE WHEN words < 15 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 4) AS bearing,
   ({_WEIGHT})::DOUBLE AS fit, CASE WHEN contains(content, '1997') OR contains(content, '202') THEN 0.95::DOUBLE ELSE 0.85::DOUBLE END AS fresh FROM t)
-SELECT query_id, doc_id, rank, round(0.45::DOUBLE * relevant + 0.30::DOUBLE * bearing + 0.15::DOUBLE * fit + 0.10::DOUBLE * fresh, 6) AS composite FROM s"""
+SELECT *, round(0.45::DOUBLE * relevant + 0.30::DOUBLE * bearing + 0.15::DOUBLE * fit + 0.10::DOUBLE * fresh, 6) AS composite FROM s"""
 
 
 @query(f"SELECT query_id, doc_id, rank, composite, reranked::INTEGER AS reranked FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, rank) AS reranked FROM ({_SIGNALS})) WHERE reranked <= {fixed.CHILD_LIMIT}")
@@ -241,18 +258,17 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = rerank.reranked(candidates(spark, sf_dir), 5)
     unit = F.struct(
         "reranked", F.concat(F.lit("E"), "reranked").alias("evidence_id"), F.concat(F.lit("doc"), "doc_id").alias("document_id"), F.lit("v1").alias("version_id"), F.concat(F.lit("p"), "doc_id").alias("parent_id"), F.col("source_class").alias("citation_label"),
-        F.col("contextual_header").alias("title"), F.lit("https://example.org/").alias("source_url"), F.lit(None).cast("string").alias("section_id"), F.when(F.col("doc_id") % 2 == 0, "dense+lexical+reranker").otherwise("dense+reranker").alias("retrieval_reason"), F.col("composite").alias("reranker_score"), F.col("content").alias("text"),
+        F.col("contextual_header").alias("title"), F.lit("https://example.org/").alias("source_url"), F.lit(None).cast("string").alias("section_id"), F.concat(F.regexp_replace("ranks", ":[0-9]+", ""), F.lit("+reranker")).alias("retrieval_reason"), F.col("composite").alias("reranker_score"), F.col("content").alias("text"),
     )
     return five.groupBy("query_id").agg(F.first("query").alias("query"), F.sort_array(F.collect_list(unit)).alias("evidence"))
 
 
-_UNITS = f"""SELECT r.query_id, b.text AS query, r.doc_id, r.reranked, r.composite, d.text AS content, '[DOCUMENT: ' || d.lang || ']' AS title, ([{", ".join(map(quoted, CLASSES))}])[(r.doc_id % {len(CLASSES)})::INTEGER + 1] AS label
-  FROM ({_RERANKED}) r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.doc_id WHERE r.reranked <= 5"""
+_UNITS = f"SELECT query_id, query, doc_id, reranked, composite, content, contextual_header AS title, source_class AS label, contains(ranks, '+') AND regexp_matches(ranks, 'exact|lexical') AS agrees FROM ({_RERANKED}) WHERE reranked <= 5"
 _STOP = "[" + ", ".join(map(quoted, fixed.STOP_WORDS)) + "]"
 
 
 @query(f"""
-WITH e AS (SELECT query_id, trim(query) AS q, string_agg(lower(content), ' ' ORDER BY reranked) AS corpus, max(composite) AS best, bool_or(doc_id % 2 = 0) AS agreement, flatten(list([label, title])) AS labels FROM ({_UNITS}) GROUP BY ALL),
+WITH e AS (SELECT query_id, trim(query) AS q, string_agg(lower(content), ' ' ORDER BY reranked) AS corpus, max(composite) AS best, bool_or(agrees) AS agreement, flatten(list([label, title])) AS labels FROM ({_UNITS}) GROUP BY ALL),
 w AS (SELECT *, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x) AND length(x) > 2) AS words, list_filter({identifiers_sql("q")}, lambda x: x <> '') AS asked,
   list_transform(labels, lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS known, {LETTERS} AS plain FROM e),
 c AS (SELECT *, len(list_filter(words, lambda x: contains(corpus, x))) / len(words) AS coverage FROM w)

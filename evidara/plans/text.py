@@ -53,7 +53,7 @@ def identity_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.stable_hash(F.col("doc_id"), T.identity_text(F.col("text"))).alias("identity"))
 
 
-def _terms_sql(source: str) -> str:
+def terms_sql(source: str) -> str:
     value = "query"
     for p, _ in fixed.IDENTIFIER_PATTERNS:
         value = f"regexp_replace({value}, {quoted(p)}, ' ', 'g')"
@@ -70,7 +70,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark).unionByName(items)
 
 
-@query(_terms_sql(_ASKED))
+@query(terms_sql(_ASKED))
 def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("query_id", T.lexical_terms(F.col("query")).alias("terms"))
 

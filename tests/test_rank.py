@@ -62,13 +62,6 @@ def test_dense_search_equals_built_in_functions(spark):
     assert key(retrieve.dense_candidates(asked, normal.repartition(5), 20)) == key(retrieve.dense_candidates_sql(normal.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), normal, 20))
 
 
-def test_cover_density(spark):
-    hits = lambda *x: [{"pos": p, "term": t} for p, t in x]
-    df = spark.createDataFrame([(1, 1, 2, hits((1, "a"), (2, "b"), (9, "a"))), (1, 2, 2, hits((1, "a"), (50, "b"))), (1, 3, 2, hits((1, "a")))], "query_id int, chunk_id int, needed int, hits array<struct<pos:int,term:string>>")
-    got = {r.chunk_id: r.score for r in retrieve.cover_density(df).collect()}
-    assert got[1] == pytest.approx(0.1 / 2 + 0.1 / 8) and got[2] == pytest.approx(0.1 / 50) and got[3] == 0
-
-
 def test_percentile_definitions(spark):
     rng = random.Random(4)
     for n in (1, 2, 5, 20, 21, 101):
