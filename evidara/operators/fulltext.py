@@ -57,7 +57,8 @@ def plans(parts: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, stems: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, places: stem -> its places in order) of chunks (key, text) that hold one of the stems."""
     token = chunks.select(key, F.posexplode(words(F.col("text"))).alias("place", "word"))
-    known = with_stems(token.select("word").distinct()).join(stems.distinct(), "stem", "left_semi")
+    distinct = token.select("word").distinct().repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much to do for each
+    known = with_stems(distinct).join(stems.distinct(), "stem")
     # dealt out by chunk once: both groupings are a chunk's own words
     lists = token.join(known, "word").repartition(key).groupBy(key, "stem").agg(F.sort_array(F.collect_list("place")).alias("places"))
     return lists.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("stem", "places"))).alias("places"))
