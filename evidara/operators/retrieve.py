@@ -58,19 +58,26 @@ def dense_candidates(queries: DataFrame, vectors: DataFrame, k: int = fixed.DENS
 
         def search(batches, sent=sent):  # noqa: ANN001, ANN202
             qids, q = sent.value
-            best_s = np.full((len(qids), 0), 0.0)
-            best_k = np.full((len(qids), 0), 0)
+            row, best_s, best_k = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # the k best of each query so far
+            least = np.full(len(qids), -np.inf)
             for batch in batches:
                 col = batch.column(1)
                 if not len(qids) or not batch.num_rows:
                     continue
                 v = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.concatenate([best_s, q @ v.T], axis=1)
-                keys = np.concatenate([best_k, np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), (len(qids), batch.num_rows))], axis=1)
-                order = np.lexsort((keys, -s), axis=1)[:, :k]
-                best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(keys, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best_s.shape[1])), pa.array(best_k.ravel().astype(np.int64)), pa.array(best_s.ravel())], schema=schema)
+                s = q @ v.T
+                if batch.num_rows > k:
+                    least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+                at, new = np.nonzero(s >= least[:, None])  # ties included
+                row, best_s, best_k = np.concatenate([row, at]), np.concatenate([best_s, s[at, new]]), np.concatenate([best_k, batch.column(0).to_numpy(zero_copy_only=False)[new]])
+                order = np.lexsort((best_k, -best_s, row))
+                row, best_s, best_k = row[order], best_s[order], best_k[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, best_s, best_k = row[kept], best_s[kept], best_k[kept]
+                full = np.bincount(row, minlength=len(qids)) >= k
+                least[full] = np.maximum(least[full], best_s[np.searchsorted(row, np.flatnonzero(full), side="right") - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_k.astype(np.int64)), pa.array(best_s)], schema=schema)
 
         part = vectors.where("embedding is not null").select(F.col(key).cast("bigint").alias(key), "embedding").mapInArrow(search, f"query_id bigint, {key} bigint, score double")
         found = part if found is None else found.unionByName(part)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from evidara.functions import fixed
 from evidara.functions import text as T
-from evidara.operators import answer, fulltext, index, rerank, retrieve
+from evidara.operators import answer, fulltext, index, rerank, retrieve, vector_index
+from evidara.operators.lineage import scratch_folder
 from evidara.plans.fulltext_sql import matches_sql, search_sql
 from evidara.plans.registry import query, quoted, table, values
 from evidara.plans.text import LETTERS, identifiers_sql, terms_sql
@@ -126,6 +127,33 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.dense_candidates(asked, _vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+ANN_RECALL, ANN_K = 0.95, 20
+
+
+def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all vectors, with as many probes as the recall asks for."""
+    folder = f"{scratch_folder(spark)}/index"
+    vectors = _vectors(spark, sf_dir)
+    vector_index.build(vectors, folder)
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.search(asked, folder, vector_index.calibrated(vectors, folder, ANN_RECALL, ANN_K), ANN_K)
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours of every vector whose id is divisible by 50, over all vectors."""
+    return _ann(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT count(*)::BIGINT AS wanted, true AS enough FROM (SELECT query_id FROM ({_DENSE.format(query='q.vec_id', dot=_DOT, where='q.vec_id % 50 = 0', k=ANN_K)}))")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds ANN_RECALL of the exact neighbours."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = retrieve.dense_candidates(asked, _vectors(spark, sf_dir), ANN_K).select("query_id", "chunk_id")
+    found = exact.join(_ann(spark, sf_dir).select("query_id", "chunk_id", F.lit(1).alias("found")), ["query_id", "chunk_id"], "left")
+    return found.agg(F.count(F.lit(1)).alias("wanted"), (F.count("found") >= ANN_RECALL * F.count(F.lit(1))).alias("enough"))
+
+
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id")
     asked = items.join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "embedding")
