@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from evidara.functions import fixed
 
-TOKEN = re.compile(r"\w+(?:['’\-]\w+)*|[^\w\s]")
-BLANK_LINE = re.compile(r"\n\s*\n")
+TOKEN = re.compile(fixed.CHUNK_TOKEN)
+BLANK_LINE = re.compile(fixed.BLANK_LINE)
 STOPS = frozenset(".!?;")
 VERSION = "structure-1"
 
@@ -223,6 +223,37 @@ def passages(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.select(key, "p.passage", "p.starts_at")
 
 
+def paragraphs(sections: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, paragraph, char_start, char_end, content) of sections (keys, text): texts parted at blank lines, ends stripped; a row's keys name its section.
+
+    Offsets run on by each paragraph and the two characters after it. They come from lengths alone, within
+    the section's row, so nothing is shuffled.
+    """
+    parts = F.split(F.coalesce(text, F.lit("")), "\n\n")
+    size = F.transform("_parts", lambda p: F.length(p) + 2)
+    ends = F.aggregate(size, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["all"], a["at"]).alias("all")), lambda a: a["all"])
+    rows = sections.withColumn("_parts", parts).withColumn("_starts", ends).select(*keys, F.posexplode(F.arrays_zip("_parts", "_starts")).alias("paragraph", "p"))
+    lead = F.length("p._parts") - F.length(F.regexp_replace("p._parts", r"(?U)^[\s\x1c-\x1f]+", ""))
+    content = F.regexp_replace("p._parts", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    start = F.col("p._starts") + lead
+    return rows.select(*keys, "paragraph", start.alias("char_start"), (start + F.length(content)).alias("char_end"), content.alias("content"))
+
+
+def first_passages(sections: DataFrame, fit: Callable[[Column], Column], document: str = "document_id", section: str = "section_order") -> DataFrame:
+    """(document, section, paragraph, char_start, char_end, passage): of each document (document, section, text) the first passage that fits.
+
+    Paragraphs of PASSAGE_LEAST characters and more without table bars are bounded; `fit` tells a passage of substance. Tests come
+    before the choice, and a document's first passage is a minimum, so only one row a document and task is shuffled.
+    """
+    rows = paragraphs(sections, [document, section]).where((F.length("content") >= fixed.PASSAGE_LEAST) & ~F.col("content").contains("|"))
+    # exploded, so that tests read the passage instead of making it again each
+    bounded = rows.select("*", F.explode(F.array_compact(F.array(bounded_passage(F.col("content"))))).alias("b"))
+    found = bounded.where(fit(F.col("b.passage")))
+    start = F.col("char_start") + F.col("b.starts_at")
+    row = F.struct(section, "paragraph", start.alias("char_start"), (start + F.length("b.passage")).alias("char_end"), F.col("b.passage").alias("passage"))
+    return found.groupBy(document).agg(F.min_by(row, F.struct(section, "paragraph")).alias("r")).select(document, "r.*")
+
+
 def table_locator_fault(children: DataFrame, tables: DataFrame) -> DataFrame:
     """(chunk_id, fault) of table chunks: null where the located rows hold the chunk's text. tables: document_id, table_id, lines."""
     j = children.where("chunk_type = 'table'").join(tables.select("document_id", "table_id", "lines"), ["document_id", "table_id"], "left")
@@ -246,3 +277,48 @@ def lines_of_tables(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return documents.select("document_id", "tables").mapInArrow(run, "document_id string, table_id string, lines array<string>")
+
+
+def locator_faults(children: DataFrame, documents: DataFrame, sections: DataFrame, tables: DataFrame) -> DataFrame:
+    """(chunk_id, fault) of children (chunk_id, document_id, chunk_type, text, source_locator as JSON): the first reason why a locator does not hold, or null.
+
+    documents: document_id; sections: document_id, section_id, text; tables: document_id, table_id, lines. Thirteen
+    reasons in order: of the locator, the document and the kind of chunk, then of the section and its
+    characters, or of the table and its rows. Sources meet chunks in joins on their ids.
+    """
+    v = F.try_parse_json("source_locator")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    whole = lambda name: F.when(kind(name) == "BIGINT", F.try_variant_get(v, f"$.{name}", "bigint"))
+    said = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    rows = children.select(
+        "chunk_id", "document_id", "chunk_type", "text", (F.col("source_locator").isNull() | (F.schema_of_variant(v) == "VOID")).alias("missing"), F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("valid"),
+        said("section_id").alias("section_id"), said("table_id").alias("table_id"), said("locator_precision").alias("precision"), *(whole(n).alias(n) for n in ("char_start", "char_end", "row_start", "row_end")),
+    )
+    known = documents.select("document_id", F.lit(True).alias("known")).distinct()
+    rows = rows.join(known, "document_id", "left").join(sections.select("document_id", "section_id", F.col("text").alias("source")), ["document_id", "section_id"], "left").join(tables.select("document_id", "table_id", "lines"), ["document_id", "table_id"], "left")
+    start, end, first, last = F.col("char_start"), F.col("char_end"), F.col("row_start"), F.col("row_end")
+    in_text = (0 <= start) & (start <= end) & (end <= F.length("source"))
+    in_table = (1 <= first) & (first <= last) & (last <= F.size("lines"))
+    of_text = (
+        F.when(F.col("source").isNull(), "missing_source_section")
+        .when(~F.coalesce(in_text, F.lit(False)), "invalid_character_span")
+        .when(~F.substring("source", (start + 1).cast("int"), (end - start).cast("int")).eqNullSafe(F.col("text")), "inexact_character_span")
+        .when(~F.col("precision").eqNullSafe("exact"), "invalid_text_locator_precision")
+    )
+    claimed = F.array_join(F.slice("lines", first.cast("int"), (last - first + 1).cast("int")), "\n\n")
+    of_table = (
+        F.when(F.col("lines").isNull(), "missing_source_table")
+        .when(F.size("lines") == 0, "empty_source_table")
+        .when(~F.coalesce(in_table, F.lit(False)), "invalid_table_row_range")
+        .when(~F.col("precision").eqNullSafe("table_rows"), "invalid_table_locator_precision")
+        .when(~F.coalesce(claimed.contains(F.col("text")), F.lit(False)), "inexact_table_rows")
+    )
+    fault = (
+        F.when(F.col("missing"), "missing_source_locator")
+        .when(~F.col("valid"), "invalid_source_locator")
+        .when(F.col("known").isNull(), "unknown_document_id")
+        .when(F.col("chunk_type").eqNullSafe("text"), of_text)
+        .when(F.col("chunk_type").eqNullSafe("table"), of_table)
+        .otherwise("unknown_chunk_type")
+    )
+    return rows.select("chunk_id", fault.alias("fault"))

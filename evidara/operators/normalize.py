@@ -94,13 +94,13 @@ def citation_from_url(url: Column) -> Column:
     named = F.when(whole.contains("filename="), F.substring_index(F.regexp_replace(whole, r"(?s)^.*?filename=", ""), "&", 1)).otherwise(whole)
     plain = F.regexp_replace(F.substring_index(F.substring_index(named, "?", 1), "#", 1), r"/+$", "")
     name = F.regexp_replace(F.substring_index(plain, "/", -1), r"(?i)\.pdf$", "")
-    of_file = r"^([A-Za-z]+)(\d{4})-(\d+)"
+    of_file = fixed.CITATION_IN_FILE
     prefix = F.upper(F.regexp_extract(name, of_file, 1))
     by_file = F.when(
         prefix.isin(fixed.RULING_PREFIXES),
         F.concat(prefix, F.lit(" "), F.regexp_extract(name, of_file, 2), F.lit("/"), F.regexp_extract(name, of_file, 3).cast("bigint").cast("string")),
     )
-    of_id = r"(?i)(?:docid=|/)(?:[A-Z]+/)?([A-Za-z]+)(\d{3,})(?:/|&|$)"
+    of_id = fixed.CITATION_IN_ID
     kind, digits = F.upper(F.regexp_extract(whole, of_id, 1)), F.regexp_extract(whole, of_id, 2)
     cut = F.when(digits.rlike("^(19|20)"), 4).otherwise(2)
     year, number = F.substring(digits, F.lit(1), cut), F.substring(digits, cut + 1, F.lit(100))
@@ -163,7 +163,7 @@ def legislation_section(document_id: Column, url: Column, declared: Column) -> C
     stated = _text(declared)
     fragment = F.when(_text(url).contains("#"), F.regexp_replace(_text(url), r"(?s)^[^#]*#", "")).otherwise("")
     low, value = F.lower(section), F.lower(fragment)
-    shape = r"^(.+?)-def-(.+)$"
+    shape = fixed.DEFINITION_ID
     head, slug = F.regexp_extract(low, shape, 1), F.regexp_extract(low, shape, 2)
     rendered = (
         F.when(low == value, F.struct(fragment.alias("section"), F.lit(None).cast("string").alias("definition")))
@@ -190,9 +190,28 @@ def with_sections(docs: DataFrame) -> DataFrame:
     return out.withColumn("sections", F.when(F.col("section_id_resolution").isNotNull() & (F.size("sections") > 0), rewritten).otherwise(F.col("sections")))
 
 
+def with_citation(docs: DataFrame) -> DataFrame:
+    """canonical_reference_id and canonical_reference by the rules in force.
+
+    Rows of the current version stay. Rows of an earlier one are resolved anew only on evidence: the title's
+    form of the citation, or an id that earlier versions did not read, says something else than the row does.
+    """
+    if "canonical_reference" not in docs.columns:
+        first = F.col("canonical_reference_id")
+        out = docs.withColumn("canonical_reference", resolved_citation(F.col("title"), F.col("source_url"), first))
+        return out.withColumn("canonical_reference_id", F.col("canonical_reference.value"))
+    current, prior = F.col("canonical_reference_id"), F.col("canonical_reference")
+    derived = citation_from_url(F.col("source_url"))
+    titled = citation_in_title(F.col("title"), derived)
+    by_title = titled.isNotNull() & ~titled.eqNullSafe(current)
+    by_id = F.coalesce(derived.rlike("^(?:MT|TD) "), F.lit(False)) & (~derived.eqNullSafe(current) | ~prior["evidence"].eqNullSafe("source_url"))
+    stays = prior["rule_version"].isNotNull() & ((prior["rule_version"] == CITATION_VERSION) | ~(by_title | by_id))
+    out = docs.withColumn("_stays", F.coalesce(stays, F.lit(False)))
+    anew = resolved_citation(F.col("title"), F.col("source_url"), F.coalesce(prior["original"], current))
+    out = out.withColumn("canonical_reference", F.when(F.col("_stays"), prior).otherwise(anew))
+    return out.withColumn("canonical_reference_id", F.when(F.col("_stays"), current).otherwise(F.col("canonical_reference.value"))).drop("_stays")
+
+
 def normalized(docs: DataFrame) -> DataFrame:
     """Sections, authority and citation in turn; applying it again changes nothing."""
-    df = with_authority(with_sections(docs))
-    first = F.coalesce(F.col("canonical_reference.original"), F.col("canonical_reference_id")) if "canonical_reference" in docs.columns else F.col("canonical_reference_id")
-    df = df.withColumn("canonical_reference", resolved_citation(F.col("title"), F.col("source_url"), first))
-    return df.withColumn("canonical_reference_id", F.col("canonical_reference.value"))
+    return with_citation(with_authority(with_sections(docs)))

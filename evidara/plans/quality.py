@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import fixed
 from evidara.operators import candidates, chunk, court, evaluate, providers
 from evidara.plans.operations import documents
-from evidara.plans.registry import query, quoted, table, values
+from evidara.plans.registry import planted, planted_sql, query, quoted, table
 
 _BLOCKED = "[" + ", ".join(map(quoted, fixed.BLOCKED_TEXT)) + "]"
 _OPEN = "[" + ", ".join(map(quoted, fixed.OPENINGS_WITHOUT_SUBSTANCE)) + "]"
 
 
-@query(rf"""
-WITH w AS (SELECT doc_id, text, lower(text) AS low, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS words FROM documents)
-SELECT doc_id, len(list_filter({_BLOCKED}, lambda p: contains(low, p))) = 0 AND len(words) >= 28 AND len(list_distinct(words)) >= 16 AND regexp_matches(rtrim(text), '[.!?]$')
-  AND regexp_matches(ltrim(text), '^[A-Z0-9(\-•]') AND NOT regexp_matches(text, '(?s)^\s*1\s+[A-Za-z].*\b2\s+[A-Za-z]') AND len(list_filter({_OPEN}, lambda p: starts_with(low, p))) = 0 AS substantive FROM w""")
+def _substantive_sql(c: str) -> str:
+    """Whether a text in a column is of substance, for a clean title and heading."""
+    words = f"regexp_extract_all(lower({c}), '[a-z]{{3,}}')"
+    return rf"""(len(list_filter({_BLOCKED}, lambda p: contains(lower({c}), p))) = 0 AND len({words}) >= 28 AND len(list_distinct({words})) >= 16 AND regexp_matches(rtrim({c}), '[.!?]$')
+  AND regexp_matches(ltrim({c}), '^[A-Z0-9(\-•]') AND NOT regexp_matches({c}, '(?s)^\s*1\s+[A-Za-z].*\b2\s+[A-Za-z]') AND len(list_filter({_OPEN}, lambda p: starts_with(lower({c}), p))) = 0)"""
+
+
+def _substance(passage: Column) -> Column:
+    return candidates.passage_is_substantive(passage, F.lit("A clean title"), F.array(F.lit("Part"), F.lit("Leaf")), F.lit(None).cast("string"), F.lit("Which?"))
+
+
+@query(f"SELECT doc_id, {_substantive_sql('text')} AS substantive FROM documents")
 def substantive_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.lit("A clean title"), F.array(F.lit("Part"), F.lit("Leaf")), F.lit(None).cast("string"), F.lit("Which?")
-    return table(spark, sf_dir, "documents").select("doc_id", candidates.passage_is_substantive(F.col("text"), *plain).alias("substantive"))
+    return table(spark, sf_dir, "documents").select("doc_id", _substance(F.col("text")).alias("substantive"))
+
+
+# Four rows are the sections of a document; a line that ends a sentence ends a paragraph.
+_SECTIONS = "SELECT doc_id // 4 AS document_id, doc_id AS section_order, regexp_replace(text, '\\.\\n', '.' || chr(10) || chr(10), 'g') AS text FROM documents"
+_PARAGRAPHS = rf"""SELECT document_id, section_order, paragraph::INTEGER AS paragraph, (at_ + length(p) - length(regexp_replace(p, '^\s+', '')))::INTEGER AS char_start, regexp_replace(p, '^\s+|\s+$', '', 'g') AS content FROM (
+  SELECT *, coalesce(sum(length(p) + 2) OVER (PARTITION BY section_order ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM (SELECT document_id, section_order, unnest(s) AS p, unnest(range(len(s))) AS paragraph FROM (SELECT *, string_split(coalesce(text, ''), chr(10) || chr(10)) AS s FROM ({_SECTIONS}))))"""
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.floor(F.col("doc_id") / 4).alias("document_id"), F.col("doc_id").alias("section_order"), F.regexp_replace("text", r"\.\n", ".\n\n").alias("text"))
+
+
+@query(f"SELECT section_order, paragraph, char_start, char_start + length(content) AS char_end, sha256(content) AS digest FROM ({_PARAGRAPHS})")
+def paragraph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every paragraph of every section stands."""
+    return chunk.paragraphs(sections(spark, sf_dir), ["section_order"]).select("section_order", "paragraph", "char_start", "char_end", F.sha2("content", 256).alias("digest"))
+
+
+@query(rf"""
+WITH b AS (SELECT *, regexp_extract(substr(content, 1, {fixed.PASSAGE_MOST}), '(?s)^(.*[.!?])(?:\s|$)', 1) AS passage FROM ({_PARAGRAPHS}) WHERE length(content) >= {fixed.PASSAGE_LEAST} AND NOT contains(content, '|')),
+f AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section_order, paragraph) AS k FROM b WHERE length(passage) >= {fixed.PASSAGE_LEAST} AND {_substantive_sql("passage")})
+SELECT document_id, section_order, paragraph, char_start, char_start + length(passage) AS char_end, passage FROM f WHERE k = 1""")
+def first_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first passage of substance, with its section, paragraph, start and end."""
+    return chunk.first_passages(sections(spark, sf_dir), _substance)
 
 
 @query(r"SELECT item_id, length(q) BETWEEN 25 AND 260 AND length(q) - length(replace(q, '?', '')) = 1 AND ends_with(q, '?') AS sound FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN substr(text, 1, 60) || '?' ELSE text END AS q FROM benchmark)")
@@ -52,11 +85,11 @@ LABELS = [
 ]
 
 
-@query(f"SELECT n, clean FROM {values([(r[0], r[4]) for r in LABELS], ['n', 'clean'])}")
+@query(f"SELECT doc_id, n, clean FROM {planted_sql([(r[0], r[4]) for r in LABELS], ['n', 'clean'])}")
 def label_cleanliness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against the outcomes worked out by hand for each case."""
-    df = spark.createDataFrame([r[:4] for r in LABELS], "n int, title string, path array<string>, reference string")
-    return df.select("n", candidates.label_is_clean(F.col("title"), F.col("path"), F.col("reference")).alias("clean"))
+    """Every document with one of the cases, held against the outcomes worked out by hand for each."""
+    df = planted(spark, sf_dir, [r[:4] for r in LABELS], "n int, title string, path array<string>, reference string")
+    return df.select("doc_id", "n", candidates.label_is_clean(F.col("title"), F.col("path"), F.col("reference")).alias("clean"))
 
 
 @query("""
@@ -180,10 +213,61 @@ def prompt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", answer.prompt(F.col("text"), F.array(one, two)).alias("prompt"))
 
 
-@query("SELECT * FROM (VALUES (1, ''), (2, 'missing limitations, needs_human_review; unknown extra'), (3, 'not JSON; missing answer_markdown, claims, limitations, needs_human_review')) AS v(n, faults)")
+@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '' WHEN 1 THEN 'missing limitations, needs_human_review; unknown extra' WHEN 2 THEN 'not JSON; missing answer_markdown, claims, limitations, needs_human_review' ELSE 'missing answer_markdown, claims, limitations, needs_human_review; unknown role, text' END AS faults FROM conversations""")
 def answer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against the outcomes worked out by hand for each case."""
+    """Turns as answers: whole, with fields missing and one too many, cut off, or as they are."""
     from evidara.operators import answer
 
-    rows = [(1, '{"answer_markdown": "x", "claims": [], "limitations": [], "needs_human_review": false}'), (2, '{"answer_markdown": "x", "claims": [], "extra": 1}'), (3, "{not json")]
-    return spark.createDataFrame(rows, "n int, payload string").select("n", F.array_join(answer.answer_faults(F.col("payload")), "; ").alias("faults"))
+    k, none = (F.col("conv_id") + F.col("turn")) % 4, F.array().cast("array<string>")
+    whole = F.to_json(F.struct(F.col("text").alias("answer_markdown"), none.alias("claims"), none.alias("limitations"), F.lit(False).alias("needs_human_review")))
+    odd = F.to_json(F.struct(F.col("text").alias("answer_markdown"), none.alias("claims"), F.lit(1).alias("extra")))
+    payload = F.when(k == 0, whole).when(k == 1, odd).when(k == 2, F.concat(F.lit("{"), F.substring("text", 1, 9))).otherwise(F.to_json(F.struct("role", "text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(answer.answer_faults(payload), "; ").alias("faults"))
+
+
+@query(
+    "SELECT item_id, array_to_string(list_filter([" + ", ".join(map(quoted, fixed.GOLD_FIELDS)) + "], lambda f: NOT CASE item_id % 4 WHEN 3 THEN false WHEN 2 THEN f IN ('id', 'question') ELSE f <> 'review_status' OR item_id % 4 = 0 END), ', ') AS missing FROM benchmark"
+)
+def gold_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as gold cases: whole, without a review, with the question alone, or not an object at all."""
+    k = F.col("item_id") % 4
+    case = lambda fields: F.to_json(F.struct(*((F.col("item_id") if f == "id" else F.col("text") if f == "question" else F.lit("")).alias(f) for f in fields)))
+    said = F.when(k == 0, case(fixed.GOLD_FIELDS)).when(k == 1, case([f for f in fixed.GOLD_FIELDS if f != "review_status"])).when(k == 2, case(["id", "question"])).otherwise(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(candidates.missing_gold_fields(said), ", ").alias("missing"))
+
+
+# A chunk for every document, by doc_id % 16 sound or with one fault planted.
+_LOCATED = """SELECT doc_id AS chunk_id, CASE k WHEN 3 THEN 'nowhere' ELSE 'd' || doc_id END AS document_id, CASE WHEN k = 4 THEN 'image' WHEN k BETWEEN 9 AND 14 THEN 'table' ELSE 'text' END AS chunk_type,
+  CASE WHEN k IN (7, 13) THEN 'other words' WHEN k BETWEEN 9 AND 14 THEN string_split(text, chr(10))[1] ELSE substr(text, 3, 9) END AS text,
+  CASE k WHEN 1 THEN NULL WHEN 2 THEN '[1, 2]' ELSE '{"section_id": "' || CASE k WHEN 5 THEN 'x' ELSE 's' END || '", "char_start": ' || CASE k WHEN 15 THEN '"2"' ELSE '2' END || ', "char_end": ' || CASE k WHEN 6 THEN length(text) + 1 ELSE 2 + length(substr(text, 3, 9)) END
+    || ', "table_id": "' || CASE k WHEN 9 THEN 'y' WHEN 10 THEN 'e' ELSE 't' END || '", "row_start": 1, "row_end": ' || CASE k WHEN 11 THEN len(string_split(text, chr(10))) + 1 ELSE 1 END || ', "locator_precision": "' || CASE k WHEN 8 THEN 'near' WHEN 12 THEN 'exact' ELSE CASE WHEN k BETWEEN 9 AND 14 THEN 'table_rows' ELSE 'exact' END END || '"}' END AS source_locator
+  FROM (SELECT *, doc_id % 16 AS k FROM documents WHERE length(text) > 11)"""
+
+
+@query(f"""
+WITH c AS ({_LOCATED}), j AS (SELECT c.*, d.text AS source, string_split(d.text, chr(10)) AS own, l ->> '$.section_id' AS section_id, l ->> '$.table_id' AS table_id, l ->> '$.locator_precision' AS precision,
+  CASE WHEN json_type(l, '$.char_start') IN ('UBIGINT', 'BIGINT') THEN (l ->> '$.char_start')::BIGINT END AS a, CASE WHEN json_type(l, '$.char_end') IN ('UBIGINT', 'BIGINT') THEN (l ->> '$.char_end')::BIGINT END AS b, (l ->> '$.row_start')::BIGINT AS f, (l ->> '$.row_end')::BIGINT AS g
+  FROM (SELECT *, source_locator::JSON AS l FROM c) c LEFT JOIN documents d ON c.document_id = 'd' || d.doc_id)
+SELECT chunk_id, CASE WHEN source_locator IS NULL THEN 'missing_source_locator' WHEN json_type(l) <> 'OBJECT' THEN 'invalid_source_locator' WHEN source IS NULL THEN 'unknown_document_id'
+  WHEN chunk_type = 'text' THEN CASE WHEN section_id <> 's' THEN 'missing_source_section' WHEN a IS NULL OR b IS NULL OR a < 0 OR a > b OR b > length(source) THEN 'invalid_character_span' WHEN substr(source, a + 1, b - a) <> text THEN 'inexact_character_span' WHEN precision <> 'exact' THEN 'invalid_text_locator_precision' END
+  WHEN chunk_type = 'table' THEN CASE WHEN table_id NOT IN ('t', 'e') THEN 'missing_source_table' WHEN table_id = 'e' THEN 'empty_source_table' WHEN f < 1 OR f > g OR g > len(own) THEN 'invalid_table_row_range' WHEN precision <> 'table_rows' THEN 'invalid_table_locator_precision'
+    WHEN NOT contains(array_to_string(list_slice(own, f, g), chr(10) || chr(10)), text) THEN 'inexact_table_rows' END
+  ELSE 'unknown_chunk_type' END AS fault FROM j""")
+def locator_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reason why a chunk's locator does not hold in its document, every reason being planted."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 11).withColumn("k", F.col("doc_id") % 16)
+    k, lines = F.col("k"), F.split("text", "\n")
+    own, of_table = F.concat(F.lit("d"), "doc_id"), F.col("k").between(9, 14)
+    pick = lambda cases, other: F.coalesce(*(F.when(k == n, c if isinstance(c, Column) else F.lit(c)) for n, c in cases.items()), other if isinstance(other, Column) else F.lit(other))
+    piece = F.substring("text", 3, 9)
+    json = F.concat(
+        F.lit('{"section_id": "'), pick({5: "x"}, "s"), F.lit('", "char_start": '), pick({15: '"2"'}, "2"), F.lit(', "char_end": '), pick({6: F.length("text") + 1}, 2 + F.length(piece)).cast("string"), F.lit(', "table_id": "'), pick({9: "y", 10: "e"}, "t"),
+        F.lit('", "row_start": 1, "row_end": '), pick({11: F.size(lines) + 1}, 1).cast("string"), F.lit(', "locator_precision": "'), pick({8: "near", 12: "exact"}, F.when(of_table, "table_rows").otherwise("exact")), F.lit('"}'),
+    )
+    children = d.select(
+        F.col("doc_id").alias("chunk_id"), pick({3: "nowhere"}, own).alias("document_id"), pick({4: "image"}, F.when(of_table, "table").otherwise("text")).alias("chunk_type"),
+        pick({7: "other words", 13: "other words"}, F.when(of_table, F.get(lines, F.lit(0))).otherwise(piece)).alias("text"), F.when(k != 1, pick({2: "[1, 2]"}, json)).alias("source_locator"),
+    )
+    every = table(spark, sf_dir, "documents").select(own.alias("document_id"), "text")
+    rows = F.explode(F.array(F.struct(F.lit("t").alias("table_id"), F.split("text", "\n").alias("lines")), F.struct(F.lit("e").alias("table_id"), F.array().cast("array<string>").alias("lines"))))
+    return chunk.locator_faults(children, every, every.withColumn("section_id", F.lit("s")), every.select("document_id", rows.alias("t")).select("document_id", "t.*"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +36,13 @@ def values(rows: list[tuple], columns: list[str]) -> str:
     """A VALUES list as a derived table of text, number and boolean columns."""
     one = lambda v: quoted(v) if v is None or isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS v({', '.join(columns)})"
+
+
+def planted(spark: SparkSession, sf_dir: str, cases: list[tuple], schema: str) -> DataFrame:
+    """Every document with one of the cases, in turn by doc_id."""
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], f"case_ bigint, {schema}")
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(cases)).alias("case_")).join(F.broadcast(rows), "case_").drop("case_")  # a list in this file
+
+
+def planted_sql(cases: list[tuple], columns: list[str]) -> str:
+    return f"(SELECT doc_id, {', '.join(columns)} FROM documents JOIN {values([(k, *c) for k, c in enumerate(cases)], ['case_', *columns])} ON doc_id % {len(cases)} = case_)"

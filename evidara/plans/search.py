@@ -10,7 +10,7 @@ from evidara.functions import text as T
 from evidara.operators import answer, fulltext, index, rerank, retrieve, vector_index
 from evidara.operators.lineage import scratch_folder
 from evidara.plans.fulltext_sql import matches_sql, search_sql
-from evidara.plans.registry import query, quoted, table, values
+from evidara.plans.registry import query, quoted, table
 from evidara.plans.text import LETTERS, identifiers_sql, terms_sql
 
 # Chunks of the test tables: a document is a chunk of its source; every seventh one is inactive.
@@ -337,17 +337,14 @@ def citation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.citations(answers(spark, sf_dir))
 
 
-_STATES = values([("q1", "ok"), ("q2", "none"), ("q3", "unknown")], ["query_id", "kind"])
-
-
-@query(f"SELECT query_id, CASE kind WHEN 'ok' THEN 'SUPPORTED' WHEN 'none' THEN 'INSUFFICIENT_EVIDENCE' ELSE 'PARTIALLY_SUPPORTED' END AS evidence_state, CASE kind WHEN 'ok' THEN 0 WHEN 'none' THEN 2 ELSE 1 END AS n_errors FROM {_STATES}")
+@query("SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'PARTIALLY_SUPPORTED' END AS evidence_state, CASE item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS n_errors FROM benchmark")
 def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against the outcomes worked out by hand for each case."""
-    unit = ("E1", "d", "v", "p", "label", "title", "https://example.org/", None, "exact", 0.5, "text")
-    rows = [
-        ("q1", "said", [("c1", "a claim", ["E1"])], [unit]),
-        ("q2", "said", [("c1", "a claim", ["E1"])], []),
-        ("q3", "said", [("c1", "a claim", ["E1", "E9"])], [unit]),
-    ]
-    df = spark.createDataFrame(rows, f"query_id string, answer_markdown string, claims {answer.CLAIMS}, evidence {answer.EVIDENCE}")
-    return df.select("query_id", answer.validation(F.col("answer_markdown"), F.col("claims"), F.col("evidence")).alias("v")).select("query_id", "v.evidence_state", F.size("v.errors").alias("n_errors"))
+    """Items as claims: with their evidence, without any, or with a citation of evidence that is not there."""
+    k = F.col("item_id") % 3
+    values_ = ("E1", "d", "v", "p", "label", "title", "https://example.org/", None, "exact", 0.5)
+    names = [f.split(":")[0] for f in answer.EVIDENCE.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    unit = F.struct(*(F.lit(v).cast("string" if v is None else "double" if isinstance(v, float) else "string").alias(n) for v, n in zip(values_, names)), F.col("text").alias(names[-1]))
+    evidence_ = F.when(k == 1, F.array().cast(answer.EVIDENCE)).otherwise(F.array(unit))
+    said = F.array(F.struct(F.lit("c1").alias("claim_id"), F.col("text"), F.when(k == 2, F.array(F.lit("E1"), F.lit("E9"))).otherwise(F.array(F.lit("E1"))).alias("evidence_ids")))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), answer.validation(F.lit("said"), said, evidence_).alias("v"))
+    return rows.select("query_id", "v.evidence_state", F.size("v.errors").alias("n_errors"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from evidara.functions import fixed
 from evidara.functions import text as T
 from evidara.operators import gates, normalize
-from evidara.plans.registry import query, quoted, table, values
+from evidara.operators.lineage import checkpointed
+from evidara.plans.registry import planted, planted_sql, query, quoted, table, values
 
 W = r"[\p{L}\p{M}\p{Nd}\p{Nl}_]"
 
@@ -36,11 +37,14 @@ QUESTIONS = [
 ]
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "query_id string, query string")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation, followed by one of the questions."""
+    asked = spark.createDataFrame([(k, q) for k, (_, q) in enumerate(QUESTIONS)], "k bigint, question string")
+    turns = table(spark, sf_dir, "conversations").withColumn("k", (F.col("conv_id") + F.col("turn")).cast("bigint") % len(QUESTIONS)).join(F.broadcast(asked), "k")  # a list in this file
+    return turns.select(F.concat("conv_id", F.lit("-"), "turn").alias("query_id"), F.concat("text", F.lit(" "), "question").alias("query"))
 
 
-QUESTION_ROWS = values(QUESTIONS, ["query_id", "query"])
+QUESTION_ROWS = f"(SELECT conv_id || '-' || turn AS query_id, text || ' ' || question AS query FROM conversations JOIN {values([(k, q) for k, (_, q) in enumerate(QUESTIONS)], ['k', 'question'])} ON (conv_id + turn) % {len(QUESTIONS)} = k)"
 
 
 @query(rf"SELECT doc_id, len(regexp_extract_all(text, '{W}+(?:[''’\-]{W}+)*|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}_\s]'))::INTEGER AS n_tokens FROM documents")
@@ -67,7 +71,7 @@ _ASKED = f"SELECT query_id, query FROM {QUESTION_ROWS} UNION ALL SELECT 'b' || i
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), F.col("text").alias("query"))
-    return questions(spark).unionByName(items)
+    return questions(spark, sf_dir).unionByName(items)
 
 
 @query(terms_sql(_ASKED))
@@ -90,7 +94,7 @@ def identifiers_sql(column: str) -> str:
 )
 def identifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = T.identifiers(F.col("query"))
-    return questions(spark).select("query_id", F.array_join(ids, " ").alias("identifiers"), T.prefers_opening(ids).alias("opening"))
+    return questions(spark, sf_dir).select("query_id", F.array_join(ids, " ").alias("identifiers"), T.prefers_opening(ids).alias("opening"))
 
 
 @query(
@@ -98,7 +102,7 @@ def identifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"FROM {QUESTION_ROWS}"
 )
 def acronym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark).select("query_id", T.expand_acronym(F.col("query")).alias("expanded"))
+    return questions(spark, sf_dir).select("query_id", T.expand_acronym(F.col("query")).alias("expanded"))
 
 
 #: Word boundaries of the SQL engine know ASCII letters only, so other letters are replaced by one.
@@ -114,7 +118,7 @@ _TALK = f"SELECT query_id, trim(query) AS q FROM {QUESTION_ROWS} UNION ALL SELEC
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("query_id"), F.col("text").alias("query"))
-    return questions(spark).unionByName(turns)
+    return questions(spark, sf_dir).unionByName(turns)
 
 
 @query(
@@ -206,25 +210,27 @@ LAWS = [
 _LAW_COLUMNS = ["document_id", "title", "canonical_reference_id", "source_url", "source_class", "page_status", "binding_effect", "authority_rank"]
 
 
-def laws(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LAWS, "document_id string, title string, canonical_reference_id string, source_url string, source_class string, page_status string, binding_effect string, authority_rank int")
+def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the metadata of one of the cases; its text goes on from the title."""
+    cases = planted(spark, sf_dir, LAWS, "document_id string, title string, canonical_reference_id string, source_url string, source_class string, page_status string, binding_effect string, authority_rank int")
+    return cases.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("title", F.concat("title", F.lit(" "), F.substring("text", 1, 40))).drop("text")
 
 
 @query(f"""
-WITH d AS (SELECT *, concat_ws(' ', coalesce(title, ''), coalesce(canonical_reference_id, ''), url_decode(coalesce(source_url, ''))) AS e, lower(coalesce(page_status, '')) AS said FROM {values(LAWS, _LAW_COLUMNS)}),
+WITH d AS (SELECT *, concat_ws(' ', coalesce(title, ''), coalesce(canonical_reference_id, ''), url_decode(coalesce(source_url, ''))) AS e, lower(coalesce(page_status, '')) AS said FROM (SELECT l.* REPLACE (title || ' ' || substr(text, 1, 40) AS title) FROM {planted_sql(LAWS, _LAW_COLUMNS)} l JOIN documents USING (doc_id))),
 s AS (SELECT *, CASE WHEN said = 'withdrawn' OR regexp_matches(e, {quoted(fixed.WITHDRAWN_REFERENCE)}) THEN 'withdrawn'
     WHEN said = 'draft' OR contains(lower(e), '{fixed.DRAFT_PHRASE}') OR regexp_matches(e, {quoted(fixed.DRAFT_REFERENCE)}) THEN 'draft' ELSE coalesce(nullif(page_status, ''), 'current') END AS status,
   CASE WHEN source_class IS DISTINCT FROM 'primary_legislation' THEN source_class
     WHEN contains(lower(e), 'docid=pac/') AND regexp_matches(title, {quoted(fixed.REGULATION_TITLE)}) THEN 'commonwealth_regulation'
     WHEN contains(lower(e), 'docid=pac/') AND regexp_matches(title, {quoted(fixed.ACT_TITLE)}) THEN 'commonwealth_statute' ELSE 'ato_public_guidance' END AS class FROM d)
-SELECT document_id, class AS source_class, status AS page_status,
+SELECT doc_id, document_id, class AS source_class, status AS page_status,
   CASE WHEN status = 'withdrawn' THEN 'withdrawn' WHEN status = 'draft' THEN 'non_binding_draft' WHEN class IN ('commonwealth_statute', 'commonwealth_regulation') THEN 'binding_law'
     WHEN class = 'ato_public_guidance' THEN 'non_binding_guidance' ELSE binding_effect END AS binding_effect,
   CASE WHEN status = 'withdrawn' THEN 90 WHEN status = 'draft' THEN 80 WHEN class IN ('commonwealth_statute', 'commonwealth_regulation') THEN 10
     WHEN class = 'ato_public_guidance' THEN 40 ELSE authority_rank END AS authority_rank FROM s
 """)
 def authority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.with_authority(laws(spark)).select("document_id", "source_class", "page_status", "binding_effect", "authority_rank")
+    return normalize.with_authority(laws(spark, sf_dir)).select("doc_id", "document_id", "source_class", "page_status", "binding_effect", "authority_rank")
 
 
 CITED = [
@@ -245,11 +251,31 @@ CITED = [
 ]
 
 
-@query(f"SELECT document_id, value, resolution, evidence FROM {values([(r[0], r[4], r[5], r[6]) for r in CITED], ['document_id', 'value', 'resolution', 'evidence'])}")
+@query(f"SELECT doc_id, document_id, value, resolution, evidence FROM {planted_sql([(r[0], r[4], r[5], r[6]) for r in CITED], ['document_id', 'value', 'resolution', 'evidence'])}")
 def citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against the outcomes worked out by hand for each case."""
-    df = spark.createDataFrame([r[:4] for r in CITED], "document_id string, title string, source_url string, reference string")
-    return df.select("document_id", normalize.resolved_citation(F.col("title"), F.col("source_url"), F.col("reference")).alias("c")).select("document_id", "c.value", "c.resolution", "c.evidence")
+    """Every document with one of the cases, held against the outcomes worked out by hand for each."""
+    df = planted(spark, sf_dir, [r[:4] for r in CITED], "document_id string, title string, source_url string, reference string")
+    return df.select("doc_id", "document_id", normalize.resolved_citation(F.col("title"), F.col("source_url"), F.col("reference")).alias("c")).select("doc_id", "document_id", "c.value", "c.resolution", "c.evidence")
+
+
+# Cases whose evidence moves a row of an earlier version on to the current one.
+MOVED = ["c03", "c04", "c11", "c12"]
+
+
+@query(f"""
+WITH c AS (SELECT *, (doc_id // {len(CITED)}) % 3 AS k FROM {planted_sql([(r[0], *r[3:]) for r in CITED], ['document_id', 'reference', 'value', 'resolution', 'evidence'])}),
+m AS (SELECT *, k = 0 OR k = 1 AND document_id IN ({", ".join(map(quoted, MOVED))}) AS anew FROM c)
+SELECT doc_id, document_id, CASE WHEN anew THEN value ELSE reference END AS value, CASE WHEN anew THEN resolution ELSE 'confirmed' END AS resolution, CASE WHEN anew THEN evidence ELSE 'source_url' END AS evidence,
+  CASE WHEN anew OR k = 2 THEN {quoted(normalize.CITATION_VERSION)} ELSE 'earlier' END AS version FROM m""")
+def rule_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose citations no, an earlier, or the current version of the rules has judged, run through the rules twice."""
+    df = planted(spark, sf_dir, [r[:4] for r in CITED], "document_id string, title string, source_url string, canonical_reference_id string").withColumn("k", F.floor(F.col("doc_id") / len(CITED)) % 3)
+    one, none = F.col("canonical_reference_id"), F.lit(None).cast("string")
+    said = F.struct(one.alias("original"), one.alias("value"), F.lit("confirmed").alias("resolution"), F.lit("source_url").alias("evidence"), F.when(F.col("k") == 1, "earlier").otherwise(normalize.CITATION_VERSION).alias("rule_version"))
+    blank = F.struct(one.alias("original"), one.alias("value"), none.alias("resolution"), none.alias("evidence"), none.alias("rule_version"))
+    df = df.withColumn("canonical_reference", F.when(F.col("k") == 0, blank).otherwise(said))
+    out = normalize.with_citation(checkpointed(normalize.with_citation(df)))
+    return out.select("doc_id", "document_id", F.col("canonical_reference_id").alias("value"), "canonical_reference.resolution", "canonical_reference.evidence", F.col("canonical_reference.rule_version").alias("version"))
 
 
 SECTIONS = [
@@ -265,8 +291,8 @@ SECTIONS = [
 ]
 
 
-@query(f"SELECT n, value, definition FROM {values([(k, r[3], r[4]) for k, r in enumerate(SECTIONS)], ['n', 'value', 'definition'])}")
+@query(f"SELECT doc_id, n, value, definition FROM {planted_sql([(k, r[3], r[4]) for k, r in enumerate(SECTIONS)], ['n', 'value', 'definition'])}")
 def section_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against the outcomes worked out by hand for each case."""
-    df = spark.createDataFrame([(k, *r[:3]) for k, r in enumerate(SECTIONS)], "n int, document_id string, source_url string, register_id string")
-    return df.select("n", normalize.legislation_section(F.col("document_id"), F.col("source_url"), F.col("register_id")).alias("s")).select("n", "s.value", "s.definition")
+    """Every document with one of the cases, held against the outcomes worked out by hand for each."""
+    df = planted(spark, sf_dir, [(k, *r[:3]) for k, r in enumerate(SECTIONS)], "n int, document_id string, source_url string, register_id string")
+    return df.select("doc_id", "n", normalize.legislation_section(F.col("document_id"), F.col("source_url"), F.col("register_id")).alias("s")).select("doc_id", "n", "s.value", "s.definition")

@@ -94,3 +94,46 @@ def test_passages(spark):
     assert got[3] == (method[: method.index("\n(2)")], 0)
     assert got[5] == ("(8) method STATEMENT\nStep 10. One!\nstep 2. Two?", 19)
     assert got[6] == ("x" + "y" * 130 + ".", 0) and got[7] == ("x" * 119 + ".", 0)
+
+
+def test_first_passages_equal_a_loop(spark):
+    rng = random.Random(3)
+    words = [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(6) for b in range(6)]
+    some = lambda n: "The " + " ".join(rng.choice(words) for _ in range(n)) + rng.choice([".", "", "?"])
+    made = lambda: rng.choice(["", " ", "\t"]) + rng.choice([some(30), some(4), some(40) + " " + some(5), "| " + some(30), "", some(120)]) + rng.choice(["", "  "])
+    rows = [(d, s, "\n\n".join(made() for _ in range(rng.randrange(0, 6)))) for d in range(30) for s in range(3)] + [(90, 0, None), (91, 0, "Step words\n\n(1) A method statement. Step 1. One. Step 2. Two.\n(2) next " + "x " * 60)]
+    want, offsets = {}, set()
+    for d, s, text in rows:
+        at = 0
+        for k, p in enumerate((text or "").split("\n\n")):
+            start, clean = at + len(p) - len(p.lstrip()), p.strip()
+            at += len(p) + 2
+            offsets.add((d, s, k, start, start + len(clean), clean))
+            assert not clean or text[start : start + len(clean)] == clean
+            ends = [m.end() for m in re.finditer(r"[.!?](?=\s|$)", clean[:650])]
+            if d not in want and len(clean) >= 120 and "|" not in clean and "method statement" not in clean and ends and ends[-1] >= 120 and "worda" in clean[: ends[-1]]:
+                want[d] = (s, k, start, start + ends[-1], clean[: ends[-1]])
+    df = spark.createDataFrame(rows, "document_id int, section_order int, text string")
+    assert {tuple(r) for r in C.paragraphs(df, ["document_id", "section_order"]).collect()} == offsets
+    fit = lambda p: p.contains("worda")
+    assert {r.document_id: tuple(r)[1:] for r in C.first_passages(df, fit).collect()} == want and len(want) > 10
+    method = C.first_passages(df.where("document_id = 91"), lambda p: p.contains("Step")).first()
+    assert method.passage == "(1) A method statement. Step 1. One. Step 2. Two." and method.char_start == 12
+
+
+def test_every_locator_reason_comes_first_in_its_order(spark):
+    text = '{"section_id": "s", "char_start": 0, "char_end": 3, "locator_precision": "exact"}'
+    rows = '{"table_id": "t", "row_start": 1, "row_end": 2, "locator_precision": "table_rows"}'
+    cases = [
+        ("d", "text", "abc", text, None), ("d", "table", "r1\n\nr2", rows, None), ("d", "table", "r2", rows, None), (None, "text", "abc", None, "missing_source_locator"), ("d", "text", "abc", "null", "missing_source_locator"), ("x", "image", "abc", "[]", "invalid_source_locator"), ("d", "text", "abc", "{no", "invalid_source_locator"),
+        ("d", "text", "abc", '"s"', "invalid_source_locator"), ("x", "image", "abc", text, "unknown_document_id"), (None, "text", "abc", text, "unknown_document_id"), ("d", "image", "abc", text, "unknown_chunk_type"), ("d", None, "abc", text, "unknown_chunk_type"), ("d", "text", "abc", "{}", "missing_source_section"),
+        ("d", "text", "abc", text.replace(": 3", ": 7"), "invalid_character_span"), ("d", "text", "abc", text.replace(": 3", ": 2.5"), "invalid_character_span"), ("d", "text", "abc", text.replace(": 3", ': "3"'), "invalid_character_span"), ("d", "text", "abc", text.replace(": 0", ": 4"), "invalid_character_span"),
+        ("d", "text", "abd", text, "inexact_character_span"), ("d", "text", None, text, "inexact_character_span"), ("d", "text", "abc", text.replace("exact", "near"), "invalid_text_locator_precision"), ("d", "table", "r1", rows.replace('"t"', '"u"'), "missing_source_table"), ("d", "table", "r1", rows.replace('"t"', '"e"'), "empty_source_table"),
+        ("d", "table", "r1", rows.replace(": 1", ": 0"), "invalid_table_row_range"), ("d", "table", "r1", rows.replace(": 2", ": 4"), "invalid_table_row_range"), ("d", "table", "r1", rows.replace("table_rows", "exact"), "invalid_table_locator_precision"), ("d", "table", "r3", rows, "inexact_table_rows"),
+    ]
+    children = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "chunk_id int, document_id string, chunk_type string, text string, source_locator string")
+    docs = spark.createDataFrame([("d",), ("d",)], "document_id string")
+    sections = spark.createDataFrame([("d", "s", "abcdef")], "document_id string, section_id string, text string")
+    tables = spark.createDataFrame([("d", "t", ["r1", "r2", "r3"]), ("d", "e", [])], "document_id string, table_id string, lines array<string>")
+    got = {r.chunk_id: r.fault for r in C.locator_faults(children, docs, sections, tables).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[4] for c in cases] and len({c[4] for c in cases}) == 14

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import text as T
 from evidara.operators import normalize as N
-from evidara.plans.text import CITED, LAWS, SECTIONS, laws
+from evidara.plans.text import CITED, LAWS, MOVED, SECTIONS
 
 
 def plain_key(url):
@@ -35,14 +35,15 @@ def test_citations_and_sections(spark):
 def test_normalising_again_changes_nothing(spark):
     kind = "sections array<struct<section_id:string,source_section_id:string,text:string>>"
     rows = [(*r, None, [("old", None, "t")]) for r in LAWS] + [("leg-c1c1-8-1-ff", "Act 1997", "TR 20/22", "https://x.gov/files/TR2022-3.pdf#8-1", "primary_legislation", None, None, None, None, [("old", None, "t")])]
-    df = spark.createDataFrame(rows, "document_id string, title string, canonical_reference_id string, source_url string, source_class string, page_status string, binding_effect string, authority_rank int, register_id string, " + kind)
+    kinds = "document_id string, title string, canonical_reference_id string, source_url string, source_class string, page_status string, binding_effect string, authority_rank int"
+    df = spark.createDataFrame(rows, f"{kinds}, register_id string, {kind}")
     once = N.normalized(df)
     twice = N.normalized(once)
     cols = sorted(once.columns)
     assert sorted(map(str, once.select(cols).collect())) == sorted(map(str, twice.select(cols).collect()))
     leg = once.where("document_id like 'leg%'").first()
     assert leg.sections[0].section_id == "C1C1#8-1" and leg.sections[0].source_section_id == "old" and leg.canonical_reference_id == "TR 2022/3"
-    assert N.with_authority(laws(spark)).where("document_id = 'd1'").first().classification_resolution.original_source_class == "primary_legislation"
+    assert N.with_authority(spark.createDataFrame(LAWS, kinds)).where("document_id = 'd1'").first().classification_resolution.original_source_class == "primary_legislation"
 
 
 def test_text_helpers(spark):
@@ -57,3 +58,14 @@ def test_text_helpers(spark):
     assert "WARNING" in r.w and r.w.endswith("</untrusted_legal_evidence>") and len(r.h) == 64
     assert r.m["n"] == "12" and r.m["scores"] == "[1]" and r.m["x"].startswith("[REDACTED_CONTENT") and r.m["y"] == "[REDACTED_COMPLEX_DATA]"
     assert r["head"].splitlines()[1] == "[SOURCE: Unknown]" and r["head"].splitlines()[-1] == "[CITATION: TR 1/2]" and "[PATH: A > B]" in r["head"]
+
+
+def test_rows_of_earlier_versions_move_on_evidence_only(spark):
+    kind = "canonical_reference struct<original:string,value:string,resolution:string,evidence:string,rule_version:string>"
+    rows = [(*r[:4], (r[3], r[3], "confirmed", "source_url", version)) for r in CITED for version in ("earlier", N.CITATION_VERSION)]
+    df = spark.createDataFrame(rows, f"document_id string, title string, source_url string, canonical_reference_id string, {kind}")
+    once = N.with_citation(df)
+    moved = {(r.document_id, r.canonical_reference.resolution) for r in once.collect() if r.canonical_reference.rule_version == N.CITATION_VERSION and (r.canonical_reference_id, r.canonical_reference.resolution, r.canonical_reference.evidence) != (r.canonical_reference.original, "confirmed", "source_url")}
+    assert {d for d, _ in moved} == set(MOVED) - {"c03"}  # c03 is resolved anew to what it was
+    assert once.where("canonical_reference.rule_version = 'earlier'").count() == len(CITED) - len(MOVED)
+    assert sorted(map(str, N.with_citation(once).collect())) == sorted(map(str, once.collect()))
