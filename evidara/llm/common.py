@@ -42,6 +42,17 @@ def one_thread(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Lets Python workers give memory back: large arrays go to the system when they are freed, instead of staying with a worker that waits for its next task.
+
+    All of a session's operators should ask for the same, before the first of them runs, as Spark keeps
+    other workers for other environments.
+    """
+    one_thread(spark)
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def parts(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)
 

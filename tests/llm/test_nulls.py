@@ -18,16 +18,24 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows, DOCS).write.parquet(str(d / "documents.parquet"))
     spark.createDataFrame([(None, None), (1, None), (None, line), (2, line)], "item_id bigint, text string").write.parquet(str(d / "benchmark.parquet"))
     spark.createDataFrame([(None, None, None), (1, None, "<p>"), (2, "http://a.org/x", None), (2, "http://a.org/x", None)], "page_id bigint, url string, html string").write.parquet(str(d / "pages.parquet"))
+    vectors = [(None, [1.0, 0.0], 1), (0, None, 1), (50, [1.0, 0.5], 1), (50, [1.0, 0.5], 1), (51, [1.0, 0.4], 1), (52, [0.7, 0.4], 2), (53, [0.7, None], 2), (54, [float("nan"), 1.0], 2), (55, [0.7, 0.4], None), (57, [], 3)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(str(d / "embeddings.parquet"))
     return str(d)
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_every_query_takes_nulls(spark, folder, name):
     rows = queries.queries()[name](spark, folder).collect()
-    count = {"op4_decontaminate": None, "op5_url_filter": 4, "op6_packing": None}.get(name, 9)
+    count = {"op4_decontaminate": None, "op5_url_filter": 4, "op6_packing": None, "op11_hard_negatives": 1, "op12_ranked_search": None}.get(name, 9)
     assert len(rows) == count if count is not None else rows
     if name == "op4_decontaminate":
         assert sorted((r.doc_id or 0, r.item_id) for r in rows) == [(0, 2), (3, 2), (3, 2), (4, 2)]
+    if name == "op11_hard_negatives":
+        assert [(r.anchor_id, r.positive_id, r.negative_id) for r in rows] == [(50, 51, 52)]
+    if name == "op12_ranked_search":  # the rows without an id come last, the item without a text finds nothing
+        assert {r.item_id for r in rows} == {None, 2} and [r.doc_id for r in sorted(rows, key=lambda r: r["rank"]) if r.item_id == 2] == [3, 3, None, 4, 5]
+    if name == "op13_license_scan":
+        assert all(r.n_base == 0 and r.first_word is None and r.labels == "" for r in rows)
     if name == "op6_packing":
         assert sorted(i or 0 for r in rows for i, at in zip(r.doc_ids, r.offsets) if at == 0) == [0, 0, 1, 2, 3, 3, 4, 5, 6]
     if name == "op3_line_dedup":
