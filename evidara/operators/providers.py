@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST = 128
@@ -128,3 +128,53 @@ def provider_reranked(candidates: DataFrame, provider: Score, n: int) -> DataFra
     from evidara.functions import fixed
 
     return candidates.where(F.col("rank") <= fixed.CANDIDATE_LIMIT).groupBy("query_id").applyInPandas(run, "query_id bigint, rank int, score double, reranked int")
+
+
+#: Rows of a commit.
+VECTORS = "chunk_id bigint, profile_id string, embedding array<float>, input_sha256 string, batch_tokens bigint, commit int"
+
+
+def _commits(spark: SparkSession, folder: str) -> list[str]:
+    """Folders of finished commits, in order; one that failed half way has no mark and is written over."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/commit-*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(str(f.getPath().getParent().toString()) for f in found or ())
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """(chunk_id, profile_id, embedding, input_sha256, batch_tokens, commit) of all finished commits."""
+    paths = _commits(spark, folder)
+    if not paths:
+        return spark.createDataFrame([], VECTORS)
+    return spark.read.schema(VECTORS).parquet(*paths)
+
+
+def resumable_run(chunks: DataFrame, folder: str, profile: str, provider: Embed, dimension: int, ceiling: int | None = None, rows: int = 100_000, most: int | None = None) -> dict:
+    """Embeds chunks (chunk_id, text, embedding_input_sha256) in commits of about `rows` rows under a folder, and returns the run's ledger row.
+
+    What finished commits hold is left out, by an anti join, so a run that stopped or failed goes on where
+    it was. It stops before a commit once the tokens of all commits reach the ceiling (budget_stopped), or
+    after `most` commits (paused). The rows of a commit are drawn by a hash and embedded by all tasks.
+    """
+    from evidara.operators.index import missing_embeddings
+
+    spark = chunks.sparkSession
+    before = committed(spark, folder).where(F.col("profile_id") == profile)
+    todo = missing_embeddings(chunks, before, profile)
+    tokens = before.agg(F.coalesce(F.sum("batch_tokens"), F.lit(0))).first()[0]
+    left, first = todo.count(), len(_commits(spark, folder))
+    slices, done, embedded_rows, status = -(-left // rows), 0, 0, "complete"
+    for k in range(slices):
+        if most is not None and done >= most:
+            status = "paused"
+            break
+        if ceiling is not None and tokens >= ceiling:
+            status = "budget_stopped"
+            break
+        own = todo.where(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)) == k)
+        new = embedded(own, "chunk_id", "text", provider, dimension)
+        out = f"{folder}/commit-{first + done:08d}"
+        new.select("chunk_id", F.lit(profile).alias("profile_id"), "embedding", "input_sha256", "batch_tokens", F.lit(first + done).alias("commit")).write.mode("overwrite").parquet(out)
+        counts = spark.read.schema(VECTORS).parquet(out).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("batch_tokens"), F.lit(0)).alias("tokens")).first()
+        embedded_rows, tokens, done = embedded_rows + counts.n, tokens + counts.tokens, done + 1
+    return {"profile_id": profile, "status": status, "commits": done, "embedded": embedded_rows, "corpus_tokens": int(tokens)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import fixed
 from evidara.operators import candidates, chunk, court, evaluate, providers
+from evidara.operators.lineage import scratch_folder
 from evidara.plans.operations import documents
 from evidara.plans.registry import planted, planted_sql, query, quoted, table
 
@@ -160,6 +161,16 @@ def provider_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", "input_sha256", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3).alias("norm"))
 
 
+@query("SELECT doc_id, sha256(text) AS input_sha256, 1.0::DOUBLE AS norm, 'paused, complete, complete' AS runs FROM documents WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''")
+def embedding_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents from a run that was stopped after two commits, one that went on, and one that found nothing to do."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.sha2("text", 256).alias("embedding_input_sha256")).where(F.trim("text") != "")
+    folder, size = f"{scratch_folder(spark)}/vectors", max(1, docs.count() // 6)
+    runs = [providers.resumable_run(docs, folder, "local-16", providers.local_embedding(16), 16, rows=size, most=most)["status"] for most in (2, None, None)]
+    norm = F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3)
+    return providers.committed(spark, folder).select(F.col("chunk_id").alias("doc_id"), "input_sha256", norm.alias("norm"), F.lit(", ".join(runs)).alias("runs"))
+
+
 @query("SELECT page_id, contains(url, '://') AND starts_with(url, 'https:') AND regexp_matches(url, '^https://[A-Za-z0-9.\\-]*example\\.org[/?#]') AS allowed FROM pages")
 def allowed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Https pages of hosts of one domain, the hosts being those that the table has."""

@@ -98,3 +98,33 @@ def test_streams_keep_state_between_batches(spark, tmp_path):
     stateful.merged_batches(stream.select("user_id", "event_id", "at"), str(tmp_path / "c2"), stateful.ledger_merge(str(tmp_path / "ledger"), "user_id")).stop()
     led = spark.read.parquet(str(tmp_path / "ledger"))
     assert led.groupBy("user_id").agg(F.max("event_id").alias("e")).orderBy("user_id").collect()[0].e == 4
+
+
+def test_a_run_that_stops_or_fails_goes_on_where_it_was(spark, tmp_path):
+    from evidara.operators import providers as P
+
+    rows = [(k, f"text number {k} " * (k % 4 + 1)) for k in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, text string").withColumn("embedding_input_sha256", F.sha2("text", 256))
+    local = P.local_embedding(8)
+    whole = P.resumable_run(chunks, str(tmp_path / "one"), "p", local, 8, rows=10)
+    assert whole == {"profile_id": "p", "status": "complete", "commits": 6, "embedded": 60, "corpus_tokens": sum(len(t.split()) for _, t in rows)}
+
+    folder = str(tmp_path / "many")
+    assert P.resumable_run(chunks, folder, "p", local, 8, rows=10, most=1)["status"] == "paused"
+    stopped = P.resumable_run(chunks, folder, "p", local, 8, ceiling=1, rows=10)
+    assert (stopped["status"], stopped["commits"]) == ("budget_stopped", 0)
+
+    def broken(texts):
+        if any("number 59" in t for t in texts):
+            raise ValueError("no service")
+        return local(texts)
+
+    with pytest.raises(Exception, match="no service"):
+        P.resumable_run(chunks, folder, "p", broken, 8, rows=10)
+    held = P.committed(spark, folder).count()
+    assert 0 < held < 60
+    rest = P.resumable_run(chunks, folder, "p", local, 8, rows=10)
+    assert rest["embedded"] == 60 - held and rest["corpus_tokens"] == whole["corpus_tokens"]
+    key = lambda f: sorted((r.chunk_id, r.input_sha256, tuple(r.embedding)) for r in P.committed(spark, f).collect())
+    assert key(folder) == key(str(tmp_path / "one"))
+    assert P.resumable_run(chunks.withColumn("embedding_input_sha256", F.lit("changed")).where("chunk_id < 3"), folder, "p", local, 8)["embedded"] == 3
