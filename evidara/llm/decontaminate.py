@@ -3,10 +3,9 @@
 1. Document frequencies of hashed terms over all passages of all documents.
 2. A randomised SVD of TF-IDF passages, distributed: the range of the passage matrix is
    sketched with a random test matrix and sharpened by a power step, each a pass that adds up
-   partial products by group; the right singular vectors span the latent space. The basis is
-   fitted on the items' own passages, so that it reaches every column, and on a bounded sample of
-   the documents' (``SAMPLE``, those of randomly drawn documents); the index and the frequencies cover
-   every passage. Columns are the words of the benchmark; other words count in a passage's mass
+   partial products by task; the right singular vectors span the latent space. The basis is
+   fitted on the items' own passages, so that it reaches every column, and on every passage of the
+   documents, as are the frequencies and the search. Columns are the words of the benchmark; other words count in a passage's mass
    but cannot agree with an item.
 3. Every overlapping passage of every whole document is projected and compared with the
    items' passages, words outside the benchmark counting in its length; one of which the basis
@@ -28,7 +27,7 @@ doc_id and text are read, or all columns kept as they are, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +41,9 @@ from evidara.llm.common import LOWER, Batches, added_up, as_bytes, byte_chunks,
 #: Passages are as long as the shortest item, within these bounds; a third of that is the stride.
 SHORTEST, LONGEST = 8, 24
 TERMS = 1 << 18
-SAMPLE, GROUPS, RANK, OVERSAMPLE = 20_000, 8, 64, 8
+RANK, OVERSAMPLE = 64, 8
+#: Passages that are multiplied at once (not a sample of them: all are), groups that a table of passages may name, and what products are multiplied by to be whole numbers.
+SAMPLE, GROUPS, WHOLE = 64, 8, float(1 << 24)
 ITEMS, LEAST_WORDS = 5_000, 5
 COSINE, SIMILAR, LOOSE = 0.5, 0.8, 0.6
 #: What words outside the benchmark count in a passage's squared length, as paraphrases put some in between.
@@ -57,6 +58,9 @@ SEGMENT = 256
 FAINT = 0.05
 SEED = 20
 
+#: Blocks of TF-IDF rows: the column of every word, that of a passage's last one inverted (~), and the words' weights.
+Blocks = Iterator[tuple[np.ndarray, np.ndarray]]
+
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _PLAIN = np.where(_APART, 32, LOWER).astype(np.uint8)
@@ -121,6 +125,7 @@ class Items:
     vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray  # of hashed terms
     maybe: np.ndarray  # bits of vocabulary hashes, to rule words out at once
+    first: np.ndarray | None = None  # an index of the vocabulary for each of these bits
     basis: np.ndarray | None = None  # vocabulary x rank
     passages: np.ndarray | None = None  # unit latent vectors
     owner: np.ndarray | None = None  # the item of each
@@ -132,10 +137,13 @@ class Items:
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """The vocabulary's index of each hash, or -1."""
         out = np.full(len(h), -1, np.int64)
-        some = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[some]), len(self.vocabulary) - 1)
-        found = self.vocabulary[at] == h[some]
-        out[some[found]] = at[found]
+        bits = (h & np.uint64(0xFFFFF)).astype(np.int64)
+        some = np.flatnonzero(self.maybe[bits])
+        at = self.first[bits[some]].astype(np.int64)  # of the words of equal bits one; the few others are searched
+        other = np.flatnonzero(self.vocabulary[at] != h[some])
+        at[other] = np.minimum(np.searchsorted(self.vocabulary, h[some[other]]), len(self.vocabulary) - 1)
+        at[other[self.vocabulary[at[other]] != h[some[other]]]] = -1
+        out[some] = at
         return out
 
 
@@ -149,39 +157,39 @@ def read_items(rows: list[tuple[int, bytes]], idf: np.ndarray, width: int) -> It
             sequences.append(h)
     vocabulary = np.unique(np.concatenate(sequences)) if sequences else np.zeros(0, np.uint64)
     maybe = np.zeros(1 << 20, bool)
-    maybe[(vocabulary & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    return Items(width, ids, sequences, vocabulary, idf, maybe)
-
-
-def _sample_rows(docs: DataFrame, items: Items, passages: int) -> DataFrame:
-    """(group, cols, weights): TF-IDF rows of the passages of randomly drawn documents, about SAMPLE, over the benchmark's words."""
-    schema = pa.schema([("group", pa.int32()), ("cols", pa.binary()), ("weights", pa.binary())])
-    sent, width = docs.sparkSession.sparkContext.broadcast(items), items.width
-
-    def take(batches: Batches) -> Batches:
-        it = sent.value
-        for batch in batches:
-            for a, b, data, offsets in byte_chunks(batch, "text"):
-                h, doc = words(data, offsets)
-                if not len(h):
-                    continue
-                start, end, _ = windows(doc, b - a, width, width)
-                out: list[list] = [[], [], []]
-                for k in range(len(start)):
-                    hs = h[start[k] : end[k]]
-                    at = it.lookup(hs)
-                    cols, back = np.unique(at[at >= 0], return_inverse=True)
-                    if len(cols):
-                        w = np.bincount(back, weights=it.idf[_column(hs[at >= 0])])
-                        norm = np.sqrt((it.idf[_column(hs)] ** 2).sum())
-                        out[0].append(k % GROUPS)
-                        out[1].append(cols.astype(np.int32).tobytes())
-                        out[2].append((w / norm).astype(np.float32).tobytes())
-                if out[0]:
-                    yield emit(schema, out)
-
-    drawn = docs.sample(share, SEED) if (share := SAMPLE / max(1, passages)) < 1 else docs
-    return drawn.mapInArrow(take, "group int, cols binary, weights binary")
+    maybe[(bits := (vocabulary & np.uint64(0xFFFFF)).astype(np.int64))] = True
+    first = np.zeros(1 << 20, np.int32)
+    first[bits] = np.arange(len(vocabulary))
+    return Items(width, ids, sequences, vocabulary, idf, maybe, first)
+
+
+def _passages_of(items: Items, batches: Batches) -> Blocks:
+    """TF-IDF rows of all passages of texts over the benchmark's words, a block of texts at a time."""
+    plain = items.idf.astype(np.float32)
+    for batch in batches:
+        for a, b, data, offsets in byte_chunks(batch, "text", 500_000):
+            h, doc = words(data, offsets)
+            if not len(h):
+                continue
+            start, end, _ = windows(doc, b - a, items.width, items.width)
+            idf, at = plain[_column(h)], items.lookup(h)
+            scale = 1 / np.sqrt(np.add.reduceat(idf * idf, start))  # passages follow one another without gaps
+            known = np.flatnonzero(at >= 0)
+            passage = np.repeat(np.arange(len(start), dtype=np.int32), end - start)[known]
+            cols = at[known]
+            last = np.flatnonzero(passage[1:] != passage[:-1])
+            cols[last] = ~cols[last]
+            cols[-1:] = ~cols[-1:]
+            yield cols, idf[known] * scale[passage]
+
+
+def _passages_in(batches: Batches) -> Blocks:
+    """TF-IDF rows that a table (cols: int32, weights: float32) holds."""
+    for batch in batches:
+        for c, w in zip(batch.column("cols"), batch.column("weights")):
+            cols = np.frombuffer(c.as_py(), np.int32).astype(np.int64)
+            cols[-1:] = np.where(cols[-1:] < 0, cols[-1:], ~cols[-1:])  # a row's end is a passage's
+            yield cols, np.frombuffer(w.as_py(), np.float32)
 
 
 def _own_rows(items: Items) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -196,39 +204,53 @@ def _own_rows(items: Items) -> list[tuple[np.ndarray, np.ndarray]]:
     return rows
 
 
-def _add_products(total: np.ndarray, m: np.ndarray, rows) -> None:
-    for cols, weights in rows:
-        total[cols] += np.outer(weights, weights @ m[cols])
-
-
-def _gram_times(rows: DataFrame, test: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """A'A times a matrix, A the sampled passages and the items' own: partial products by group, added up."""
-    sent = rows.sparkSession.sparkContext.broadcast(test)
-
-    def multiply(group: pa.Table) -> pa.Table:
-        m = sent.value
-        total = np.zeros_like(m)
-        _add_products(total, m, ((np.frombuffer(c.as_py(), np.int32), np.frombuffer(w.as_py(), np.float32).astype(np.float64)) for c, w in zip(group.column("cols"), group.column("weights"))))
-        return pa.table({"product": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros_like(test)
-    _add_products(out, test, own)
-    for r in rows.groupBy("group").applyInArrow(multiply, "product binary").collect():  # GROUPS matrices of the benchmark's words
-        out += np.frombuffer(bytes(r.product), np.float64).reshape(out.shape)
+def _add_products(total: np.ndarray, m: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> None:
+    """Adds A'A m of passages, SAMPLE of them at once, as a dense matrix over the words that these have."""
+    ends = cols < 0
+    plain, passage, place = np.where(ends, ~cols, cols), np.cumsum(ends) - ends, np.zeros(len(total), np.int64)
+    starts = np.append(0, np.flatnonzero(ends)[:-1] + 1)[:: max(1, SAMPLE)] if ends.any() else np.zeros(0, np.int64)
+    for k, (low, high) in enumerate(zip(starts, np.append(starts[1:], len(cols)))):
+        c, row = plain[low:high], passage[low:high] - k * max(1, SAMPLE)
+        used = np.flatnonzero(np.bincount(c, minlength=len(total)))
+        place[used] = np.arange(len(used))
+        a = np.bincount(row * len(used) + place[c], weights=weights[low:high], minlength=(int(row[-1]) + 1) * len(used)).reshape(-1, len(used)).astype(m.dtype)
+        total[used] += a.T @ (a @ m[used])
+
+
+def _gram_times(rows: DataFrame, test: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], read: Callable[[Batches], Blocks]) -> np.ndarray:
+    """A'A times a matrix, A all passages and the items' own: each task's partial product in whole numbers, added up."""
+    sent, shape = rows.sparkSession.sparkContext.broadcast(test.astype(np.float32)), test.shape
+
+    def multiply(batches: Batches) -> Batches:
+        total = np.zeros(shape)
+        for cols, weights in read(batches):
+            _add_products(total, sent.value, cols, weights)
+        yield count_rows(np.rint(total.ravel() * WHOLE))
+
+    out = added_up(rows.mapInArrow(multiply, common.COUNTS_DDL), test.size).reshape(shape) / WHOLE
+    sent.unpersist()
+    for cols, weights in own:
+        out[cols] += np.outer(weights, weights @ test[cols])
     return out
 
 
-def latent_basis(rows: DataFrame, size: int, own: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+def latent_basis(rows: DataFrame, size: int, own: list[tuple[np.ndarray, np.ndarray]] | None = None, read: Callable[[Batches], Blocks] = _passages_in) -> np.ndarray:
     """The leading right singular vectors of the passages, by a sketch with one power step."""
     width = min(size, RANK + OVERSAMPLE)
     test = np.random.default_rng(SEED).standard_normal((size, width))
-    q, _ = np.linalg.qr(_gram_times(rows, test, own or []))
-    b = _gram_times(rows, q, own or [])
+    q, _ = np.linalg.qr(_gram_times(rows, test, own or [], read))
+    b = _gram_times(rows, q, own or [], read)
     values, vectors = np.linalg.eigh((q.T @ b + b.T @ q) / 2)
     keep = np.argsort(-values)[:RANK]
     return (q @ vectors[:, keep]).astype(np.float32)
 
 
+def _basis(texts: DataFrame, items: Items) -> np.ndarray:
+    """The basis of the items' words, fitted on every passage of every document."""
+    sent = texts.sparkSession.sparkContext.broadcast(items)
+    return latent_basis(texts, len(items.vocabulary), _own_rows(items), lambda batches: _passages_of(sent.value, batches))
+
+
 def _project(items: Items, at: np.ndarray, weights: np.ndarray, length: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Latent vectors of passages [start, end) of words, scaled by the passages' whole length, and which are faint.
 
@@ -489,7 +511,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
         rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", as_bytes().alias("text")).collect()  # a block of the query set
         items = read_items(sorted((r.item_id, bytes(r.text)) for r in rows if r.item_id is not None), idf, width)
         if items.ids:
-            items.basis = latent_basis(checkpointed(_sample_rows(texts, items, passages)), len(items.vocabulary), _own_rows(items))
+            items.basis = _basis(texts, items)
             index_items(items)
             yield items
 

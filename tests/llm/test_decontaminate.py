@@ -174,3 +174,30 @@ def test_blocks_of_a_benchmark_are_taken_one_after_the_other(spark, docs, monkey
     left = D.without_contaminated(docs(texts), bench)
     assert left._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one block in a task
     assert sorted(r.doc_id for r in left.collect()) == list(range(1, 41, 2))
+
+
+def test_basis_is_fitted_on_every_passage(spark, docs, monkeypatch):
+    """A table of far more passages than are multiplied at once, in which a few documents alone join two groups of words."""
+    rng = random.Random(30)
+    items = [" ".join(f"{g}{rng.randrange(12)}" for _ in range(20)) for g in "abcd" for _ in range(3)]
+    texts = [" ".join(f"{rng.choice('abcd')}{rng.randrange(12)}" if rng.random() < 0.5 else word(rng) for _ in range(rng.randrange(0, 900))) for _ in range(60)]
+    df, bench = tables(spark, docs, texts, items)
+    monkeypatch.setattr(D, "RANK", 4)
+    monkeypatch.setattr(D, "SAMPLE", 7)
+    it = next(D.prepare(df, bench))
+    rows = []
+    for t in [*texts, *items]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        h, doc = D.words(data, np.array([0, len(data)]))
+        at, idf = it.lookup(h), it.idf[D._column(h)]
+        for a, b, _ in zip(*D.windows(doc, 1, it.width, it.width)):
+            row = np.zeros(len(it.vocabulary))
+            np.add.at(row, at[a:b][at[a:b] >= 0], idf[a:b][at[a:b] >= 0])
+            rows.append(row / np.sqrt((idf[a:b] ** 2).sum()))
+    a = np.array(rows)
+    assert len(a) > 100 * D.SAMPLE
+    test = np.random.default_rng(D.SEED).standard_normal((a.shape[1], D.RANK + D.OVERSAMPLE))
+    q, _ = np.linalg.qr(a.T @ (a @ test))
+    values, vectors = np.linalg.eigh(q.T @ (a.T @ (a @ q)))
+    want = q @ vectors[:, np.argsort(-values)[: D.RANK]]
+    assert np.allclose(it.basis @ it.basis.T, want @ want.T, atol=1e-4)
