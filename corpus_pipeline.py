@@ -6,9 +6,10 @@ the next one's documents. All but the last return the columns of documents:
 1. language_id: documents whose language cannot be told (no letter, or a mean marginal less than
    ``LEAST_MARGIN`` over the next language's) go;
 2. line_dedup: repeated lines go from the texts;
-3. simhash: of each component of near copies (five-word shingles, Jaccard similarity 0.8 or
-   more, found exactly) the row with the smallest doc_id stays, of rows that repeat doc_id and
-   text any one;
+3. simhash: of each component of near copies the row with the smallest doc_id stays, of rows that
+   repeat doc_id and text any one. Two texts are linked by their SimHash fingerprints, as in operator 9
+   (three-word shingles, 3 bits or fewer), or by a Jaccard similarity of their five-word shingles
+   of 0.8 or more, which fingerprints alone would miss; both kinds are found exactly;
 4. decontaminate: documents that hold a benchmark item go;
 5. bpe: token counts and digests of the texts that are left.
 
@@ -26,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import bpe, decontaminate, langid, line_dedup, near_copies
+from evidara.llm import bpe, decontaminate, langid, line_dedup, near_copies, simhash
 from evidara.llm.common import lean_workers, path_exists, remove_folder, shared_folder, table
 
 LEAST_MARGIN = 0.005
@@ -45,9 +46,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies, that of the smallest doc_id."""
+    """Keeps one row of each group of near copies, by fingerprints or by shingles, that of the smallest doc_id."""
     lean_workers(spark)
-    return near_copies.without_near_copies(docs)
+    return near_copies.without_near_copies(docs, also=simhash.rows_in_groups(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The pipeline's form of operator 9. An inverted index with count filtering as there, but over the
+The pipeline takes these links beside those of operator 9's fingerprints (``also``). An inverted index with count filtering as there, but over the
 shingles themselves: fingerprints of 64 bits cannot guarantee to find a similarity of 0.8, whose
 pairs differ in some ten bits, too many for any shared byte. Exact, by prefix filtering. All
 shingles stand in one order, those of one text only first, then those of less crowded counters;
@@ -247,12 +247,41 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, s
     return joined.select(F.col("own").alias("doc_id"), F.when(F.col("text_hash").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def without_near_copies(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, small: int = SMALL, most_sent: int = SENT_ROWS) -> DataFrame:
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two groupings of rows (doc_id, text_hash, least) as one: rows that either puts together are together."""
+    rows = checkpointed(a.unionByName(b))
+    name = lambda c: F.xxhash64(c["doc_id"].isNull(), F.coalesce(c["doc_id"], F.lit(0)), c["text_hash"])
+    named = rows.select("*", name({"doc_id": F.col("doc_id"), "text_hash": F.col("text_hash")}).alias("row"), name(F.col("least")).alias("of"))
+    roots = checkpointed(connected_components(named.select("row", "of").distinct(), "row", "of"))
+    rooted = named.join(roots, named.row == roots.node, "left").withColumn("root", F.coalesce("root", "row"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return rooted.join(firsts, "root").select("doc_id", "text_hash", F.col("first").alias("least"))
+
+
+def without_near_copies(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, small: int = SMALL, most_sent: int = SENT_ROWS, also: DataFrame | None = None) -> DataFrame:
     """One row of each group of near copies, the first by doc_id, and all rows without copies; all columns as they are.
 
+    also: another grouping of rows (doc_id, text_hash, least) of docs; groups that share a row are one.
     The texts stay where they are as long as there are no more rows to drop than can be sent to them.
     """
-    grouped = _rows_in_groups(docs, words, similar, small).groupBy("doc_id", "text_hash").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("times"))
+    found = _rows_in_groups(docs, words, similar, small)
+    if also is not None:  # rows that repeat doc_id and text are in a group of either kind as often as in the other: they are counted once
+        times = F.count(F.lit(1)).alias("times")
+        own = also.groupBy("doc_id", "text_hash").agg(F.first("least").alias("least"), times)
+        found = checkpointed(found.groupBy("doc_id", "text_hash").agg(F.first("least").alias("least"), times))
+        least = merged(found.drop("times"), own.drop("times")).groupBy("doc_id", "text_hash").agg(F.first("least").alias("least"))
+        both = found.unionByName(own).groupBy("doc_id", "text_hash").agg(F.max("times").alias("times"))
+        pair = lambda d, n: d.withColumnsRenamed({"doc_id": f"{n}_id", "text_hash": f"{n}_hash"})
+        joined = least.join(pair(both, "b"), F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")))
+        return _first_rows(docs, joined.select("doc_id", "text_hash", "least", "times"), most_sent)
+    return _first_rows(docs, found.groupBy("doc_id", "text_hash").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("times")), most_sent)
+
+
+def _first_rows(docs: DataFrame, grouped: DataFrame, most_sent: int) -> DataFrame:
+    """Rows of docs that no group holds, and the first of each group; grouped: (doc_id, text_hash, least, times: rows that repeat both).
+
+    Rows to drop are sent to the texts up to most_sent of them, else joined.
+    """
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     judged = checkpointed(grouped.select("doc_id", "text_hash", stays.alias("stays"), "times").where("not stays or times > 1"))
     own, own_hash = new_column(docs, "own"), new_column(docs, "own_hash")

@@ -58,16 +58,17 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): one signed 64-bit fingerprint per row."""
+    """(doc_id, text_hash, fp): one signed 64-bit fingerprint per row."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            fps = np.array([simhash(x.as_py(), words) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield emit(schema, [batch.column(0), pa.array(fps)])
+            fps = np.array([simhash(x.as_py(), words) for x in batch.column(2)], np.uint64).view(np.int64)
+            yield emit(schema, [batch.column(0), batch.column(1), pa.array(fps)])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes().alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), as_bytes().alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -128,13 +129,29 @@ def links(nodes: DataFrame, small: int = SMALL, small_fine: int = SMALL_FINE) ->
     return found.unionByName(_pairs(fine, small_fine)).unionByName(_stars(fine.where(F.col("n") > small_fine)))
 
 
+def _rooted(nodes: DataFrame, small: int, small_fine: int) -> DataFrame:
+    """nodes (fp, *) with the root of each one's component."""
+    # written first: the optimiser (4.1) fails to carry constraints through a filter over this union
+    roots = connected_components(checkpointed(links(nodes.select("fp"), small, small_fine)), "a", "b")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, words: int = 3, small: int = SMALL, small_fine: int = SMALL_FINE) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that each document reaches."""
-    prints = checkpointed(fingerprints(docs, words))
+    prints = checkpointed(fingerprints(docs, words).select("doc_id", "fp"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # written first: the optimiser (4.1) fails to carry constraints through a filter over this union
-    roots = connected_components(checkpointed(links(nodes.select("fp"), small, small_fine)), "a", "b")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(nodes, small, small_fine)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def rows_in_groups(docs: DataFrame, words: int = 3, small: int = SMALL, small_fine: int = SMALL_FINE) -> DataFrame:
+    """(doc_id, text_hash, least) of the rows in components of two rows or more; least: (no id, doc_id, text_hash) of the component's first row."""
+    prints = checkpointed(fingerprints(docs, words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least")
+    nodes = checkpointed(prints.groupBy("fp").agg(first, F.count(F.lit(1)).alias("times")))
+    rooted = checkpointed(_rooted(nodes, small, small_fine))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("times").alias("times")).where("times > 1")
+    named = rooted.join(groups, "root").select("fp", F.col("first").alias("least"))
+    return prints.join(named, "fp").select("doc_id", "text_hash", "least")

@@ -87,3 +87,19 @@ def test_texts_of_one_template_do_not_meet(spark):
     fits = lambda a, b: 9 * min(a[0] - a[1], b[0] - b[1]) >= 4 * (a[0] + b[0]) and 5 * min(a[0], b[0]) >= 4 * max(a[0], b[0])
     want = {(x, y) for x in sizes for y in sizes if x < y and fits(sizes[x], sizes[y])}
     assert {(r.a, r.b) for r in N._crowded_pairs(met, met, 0.8).collect()} == want and want
+
+
+def test_copies_by_fingerprint_leave_the_corpus_too(spark, docs):
+    """Texts of one repeated phrase with other words at the end: fingerprints agree, few shingles do. Groups of both kinds are one."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    said, plain = "one two three " * 80, words(200)
+    texts = [plain, said + words(12), said + words(12), words(200), edited(rng, plain, 1)]
+    assert len(shingles(texts[1]) & shingles(texts[2])) < 0.5 * len(shingles(texts[1]) | shingles(texts[2]))
+    assert {r.doc_id for r in N.without_near_copies(docs(texts)).collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in C.drop_near_copies(spark, docs(texts), "").collect()} == {1, 2, 4}
+    bridged = docs([(7, texts[1]), (9, texts[2]), (3, edited(rng, texts[2] + " " + words(30), 0)), (3, None), (None, ""), (8, plain), (8, plain)])
+    a = spark.createDataFrame([(1, 1, (False, 1, 1)), (2, 2, (False, 1, 1)), (None, 5, (True, None, 5))], "doc_id bigint, text_hash bigint, least struct<no_id: boolean, doc_id: bigint, text_hash: bigint>")
+    b = spark.createDataFrame([(2, 2, (False, 2, 2)), (3, 3, (False, 2, 2)), (None, 6, (True, None, 5)), (None, 5, (True, None, 5))], a.schema)
+    assert {(r.doc_id, r.text_hash, r.least.doc_id, r.least.text_hash) for r in N.merged(a, b).collect()} == {(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1), (None, 5, None, 5), (None, 6, None, 5)}
+    assert [r.doc_id for r in C.drop_near_copies(spark, bridged, "").orderBy("doc_id").collect()] == [3, 3, 8]
