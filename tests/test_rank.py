@@ -102,3 +102,16 @@ def test_adequacy_rules_in_order(spark):
     cases = [("trust income rates", [unit], "ADEQUATE"), ("trust income", [], "INADEQUATE"), ("HMRC rules", [unit], "INADEQUATE"), ("what does TR 2022/3 say", [unit], "ADEQUATE"), ("what does TR 9999/9 say", [unit], "INADEQUATE"), ("what is the", [unit], "INADEQUATE"), ("trust income rates", [weak], "INADEQUATE"), ("nothing near trust income rates", [weak], "WEAK")]
     df = spark.createDataFrame([(k, q, e) for k, (q, e, _) in enumerate(cases)], f"k int, q string, e {answer.EVIDENCE}")
     assert [r[1] for r in df.select("k", answer.adequacy(F.col("q"), F.col("e"))).orderBy("k").collect()] == [c[2] for c in cases]
+
+
+def test_dense_search_in_small_pieces(spark, monkeypatch):
+    """A batch of vectors meets the queries in pieces of a few scores, ties included, and finds the same."""
+    rng = random.Random(31)
+    rows = [(k, [float(rng.randrange(-2, 3)) for _ in range(3)] if k % 9 else None) for k in range(400)]
+    vectors = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>").coalesce(2)
+    asked = vectors.where("chunk_id % 25 = 1 and embedding is not null").withColumnRenamed("chunk_id", "query_id")
+    found = []
+    for scores in (1, 40, 10**6):
+        monkeypatch.setattr(retrieve, "SCORES", scores)
+        found.append(sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in retrieve.dense_candidates(asked, vectors, 7).collect()))
+    assert [f[:3] for f in found[0]] == [f[:3] for f in found[1]] == [f[:3] for f in found[2]] and len(found[0]) == 7 * asked.count()
