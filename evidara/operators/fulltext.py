@@ -26,6 +26,8 @@ from evidara.operators.retrieve import top
 TERM = r"[\p{L}\p{N}]+"
 PART = r'-?"[^"]+"|[^\s"]+'
 WEIGHT = 0.1
+#: Queries that a task keeps compiled, and words with a wanted stem that are sent to the texts; more are joined.
+COMPILED, SENT_WORDS = 4_096, 500_000
 
 
 def words(text: Column) -> Column:
@@ -58,32 +60,50 @@ def postings(chunks: DataFrame, stems: DataFrame, key: str = "chunk_id") -> Data
     """(key, places: stem -> its places in order) of chunks (key, text) that hold one of the stems."""
     token = chunks.select(key, F.posexplode(words(F.col("text"))).alias("place", "word"))
     distinct = token.select("word").distinct().repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much to do for each
-    known = with_stems(distinct).join(stems.distinct(), "stem")
+    known = checkpointed(with_stems(distinct).join(stems.distinct(), "stem"))
+    if known.count() <= SENT_WORDS:
+        known = F.broadcast(known)  # so that other words are not shuffled
     # dealt out by chunk once: both groupings are a chunk's own words
     lists = token.join(known, "word").repartition(key).groupBy(key, "stem").agg(F.sort_array(F.collect_list("place")).alias("places"))
     return lists.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("stem", "places"))).alias("places"))
 
 
-def density(parts: list[dict], places: dict[str, np.ndarray]) -> float | None:
-    """A chunk's cover density for a query, None if it does not satisfy it.
+def compiled(parts: list[dict]) -> list[tuple[list, list]]:
+    """A query's alternatives in order, each as its wanted and its excluded parts; a part is its stems with their distances from the first one."""
+    out: dict[int, tuple[list, list]] = {}
+    for p in parts:
+        terms = [(t["stem"], t["place"] - p["terms"][0]["place"]) for t in p["terms"]]
+        out.setdefault(p["alternative"], ([], []))[bool(p["excluded"])].append(terms)
+    return [out[k] for k in sorted(out) if out[k][0]]
 
-    The sum over minimal covers - spans that satisfy the query and hold no smaller such span - of
-    0.1 / (1 + words in the span that are not the query's).
-    """
+
+def _occurrences(terms: list[tuple[str, int]], places: dict[str, np.ndarray]) -> np.ndarray:
+    """First places of a part's occurrences, in order."""
     none = np.zeros(0, np.int64)
-    spans: list[tuple[np.ndarray, int]] = []  # first places of a part's occurrences, and how far their last ones are
-    for part in parts:
-        terms = part["terms"]
-        at = places.get(terms[0]["stem"], none)
-        for t in terms[1:]:
-            at = np.intersect1d(at, places.get(t["stem"], none) - (t["place"] - terms[0]["place"]), assume_unique=True)
-        spans.append((at, terms[-1]["place"] - terms[0]["place"]))
+    at = places.get(terms[0][0], none)
+    for stem, far in terms[1:]:
+        if not len(at):
+            break
+        other = places.get(stem, none)
+        if not len(other):
+            return none
+        wanted = at + far
+        at = at[other[np.minimum(np.searchsorted(other, wanted), len(other) - 1)] == wanted]
+    return at
+
+
+def cover(alternatives: list[tuple[list, list]], places: dict[str, np.ndarray]) -> float | None:
+    """`density` of a compiled query."""
     fit = []
-    for alternative in sorted({p["alternative"] for p in parts}):
-        own = [(p["excluded"], s) for p, s in zip(parts, spans) if p["alternative"] == alternative]
-        wanted = [s for excluded, s in own if not excluded]
-        if wanted and all(bool(len(s[0])) != excluded for excluded, s in own):
-            fit.append(wanted)
+    for wanted, excluded in alternatives:
+        own = []
+        for terms in wanted:
+            at = _occurrences(terms, places)
+            if not len(at):
+                break
+            own.append((at, terms[-1][1]))
+        if len(own) == len(wanted) and not any(len(_occurrences(terms, places)) for terms in excluded):
+            fit.append(own)
     if not fit:
         return None
     held = np.unique(np.concatenate(list(places.values())))
@@ -101,6 +121,15 @@ def density(parts: list[dict], places: dict[str, np.ndarray]) -> float | None:
     return float((WEIGHT / (2 + ends - low - inside)).sum())
 
 
+def density(parts: list[dict], places: dict[str, np.ndarray]) -> float | None:
+    """A chunk's cover density for a query, None if it does not satisfy it.
+
+    The sum over minimal covers - spans that satisfy the query and hold no smaller such span - of
+    0.1 / (1 + words in the span that are not the query's).
+    """
+    return cover(compiled(parts), places)
+
+
 def matches(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score): the chunks (key, text) that satisfy a query, with their cover density."""
     parts = checkpointed(stemmed(parsed(queries)))
@@ -114,13 +143,23 @@ def matches(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> Dat
     # what an alternative cannot do without is a matter of the chunk's stems; the places of the asked ones are judged after that
     some = F.array_distinct(F.transform(F.filter("parts", lambda p: ~p["excluded"]), lambda p: p["alternative"]))
     whole = F.exists(some, lambda a: F.forall("parts", lambda p: p["excluded"] | (p["alternative"] != a) | F.forall(p["terms"], lambda t: F.map_contains_key("places", t["stem"]))))
-    own = both.where(whole).select("query_id", key, "parts", "asked", F.transform("asked", lambda s: F.coalesce(F.try_element_at("places", s), F.array().cast("array<int>"))).alias("places"))
+    own = both.where(whole).select("query_id", key, "parts", F.transform("asked", lambda s: F.coalesce(F.try_element_at("places", s), F.array().cast("array<int>"))).alias("places"))
     kinds = {f.name: f.dataType for f in own.schema.fields}
 
     def judge(batches):  # noqa: ANN001, ANN202
+        known: dict = {}  # compiled queries and their stems: a query's rows share one
         for batch in batches:
-            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4))
-            scores = [density(p, {s: x.values.to_numpy().astype(np.int64) for s, x in zip(a, lists)}) for p, a, lists in rows]
+            lists, scores = batch.column(3), []
+            row, place, values = lists.offsets.to_numpy(), lists.values.offsets.to_numpy(), lists.values.values.to_numpy()
+            for k, query in enumerate(batch.column(0).to_pylist()):
+                if query not in known:
+                    if len(known) >= COMPILED:
+                        known.clear()
+                    parts = batch.column(2)[k].as_py()
+                    known[query] = compiled(parts), list(dict.fromkeys(t["stem"] for p in parts for t in p["terms"]))
+                alternatives, asked = known[query]
+                ends = place[row[k] : row[k + 1] + 1]
+                scores.append(cover(alternatives, {s: values[a:b].astype(np.int64) for s, a, b in zip(asked, ends[:-1], ends[1:])}))
             found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["query_id", key, "score"])
             yield found.filter(found.column(2).is_valid())
 

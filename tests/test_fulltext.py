@@ -68,3 +68,25 @@ def test_search_ranks_active_chunks(spark):
     asked = spark.createDataFrame([(7, "income taxes")], "query_id int, query string")
     assert [(r.chunk_id, r["rank"]) for r in fulltext.search(asked, chunks).orderBy("rank").collect()] == [(3, 1), (2, 2), (1, 3), (5, 4)]
     assert fulltext.search(asked, chunks, 2).count() == 2 and fulltext.search(asked.where("false"), chunks).count() == 0
+
+
+def test_only_wanted_words_are_shuffled(spark):
+    """Words without a wanted stem stay where the texts are."""
+    chunks = spark.createDataFrame([(k, "Running runs while others walk along the river") for k in range(20)], "chunk_id bigint, text string")
+    held = fulltext.postings(chunks, spark.createDataFrame([("run",)], "stem string"))
+    plan = held._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r.chunk_id, tuple(r.places["run"])) for r in held.collect()} == {(k, (0, 1)) for k in range(20)}
+
+
+def test_a_compiled_query_serves_all_of_its_chunks():
+    import numpy as np
+
+    part = lambda alternative, excluded, *terms: {"alternative": alternative, "excluded": excluded, "terms": [{"stem": s, "place": p} for p, s in terms]}
+    parts = [part(0, False, (0, "a"), (2, "b")), part(1, False, (0, "c")), part(1, True, (0, "d")), part(2, True, (0, "a"))]
+    query = fulltext.compiled(parts)
+    assert query == [([[("a", 0), ("b", 2)]], []), ([[("c", 0)]], [[("d", 0)]])]
+    places = lambda **p: {k: np.array(v, np.int64) for k, v in p.items()}
+    assert fulltext.cover(query, places(a=[1, 5], b=[4, 7], c=[], d=[])) == pytest.approx(0.1 / 2)
+    assert fulltext.cover(query, places(a=[1], b=[2], c=[9], d=[3])) is None
+    assert fulltext.cover(query, places(a=[], b=[], c=[9, 12], d=[])) == pytest.approx(0.2)
