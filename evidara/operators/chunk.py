@@ -12,9 +12,10 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import fixed
@@ -23,6 +24,8 @@ TOKEN = re.compile(fixed.CHUNK_TOKEN)
 BLANK_LINE = re.compile(fixed.BLANK_LINE)
 STOPS = frozenset(".!?;")
 VERSION = "structure-1"
+#: Documents of an Arrow batch, documents that a worker holds as objects, and chunks that it hands over at once.
+BATCH, DOCUMENTS, CHUNKS = 512, 16, 256
 
 
 @dataclass(frozen=True)
@@ -147,15 +150,29 @@ CHUNK = pa.schema(
 )
 
 
+def documents_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch as objects, DOCUMENTS at a time."""
+    for k in range(0, batch.num_rows, DOCUMENTS):
+        yield from batch.slice(k, DOCUMENTS).to_pylist()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long, and a worker holds a whole Arrow batch of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def chunked(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """Children of documents (document_id, version_id, title, sections, tables): a map, no shuffle."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            rows = [{"document_id": d["document_id"], "version_id": d["version_id"], **c} for d in batch.to_pylist() for c in chunks(d, sizes)]
-            for k in range(0, len(rows), 2_000):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 2_000], schema=CHUNK)
+            rows = ({"document_id": d["document_id"], "version_id": d["version_id"], **c} for d in documents_of(batch) for c in chunks(d, sizes))
+            while some := list(islice(rows, CHUNKS)):
+                yield pa.RecordBatch.from_pylist(some, schema=CHUNK)
 
+    small_batches(documents.sparkSession)
     wanted = [c for c in ("document_id", "version_id", "title", "sections", "tables") if c in documents.columns]
     return documents.select(*wanted).mapInArrow(run, CHUNK_DDL)
 
@@ -273,9 +290,11 @@ def lines_of_tables(documents: DataFrame) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            rows = [{"document_id": d["document_id"], "table_id": str(t.get("table_id") or f"table_{k}"), "lines": table_lines(t.get("headers"), t.get("matrix"))} for d in batch.to_pylist() for k, t in enumerate(d["tables"] or [])]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows = ({"document_id": d["document_id"], "table_id": str(t.get("table_id") or f"table_{k}"), "lines": table_lines(t.get("headers"), t.get("matrix"))} for d in documents_of(batch) for k, t in enumerate(d["tables"] or []))
+            while some := list(islice(rows, CHUNKS)):
+                yield pa.RecordBatch.from_pylist(some, schema=schema)
 
+    small_batches(documents.sparkSession)
     return documents.select("document_id", "tables").mapInArrow(run, "document_id string, table_id string, lines array<string>")
 
 

@@ -137,3 +137,26 @@ def test_every_locator_reason_comes_first_in_its_order(spark):
     tables = spark.createDataFrame([("d", "t", ["r1", "r2", "r3"]), ("d", "e", [])], "document_id string, table_id string, lines array<string>")
     got = {r.chunk_id: r.fault for r in C.locator_faults(children, docs, sections, tables).collect()}
     assert [got[k] for k in range(len(cases))] == [c[4] for c in cases] and len({c[4] for c in cases}) == 14
+
+
+def test_few_documents_are_objects_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    most = []
+
+    class Batch:
+        def __init__(self, batch):
+            self.batch, self.num_rows = batch, batch.num_rows
+
+        def slice(self, k, n):
+            most.append(n)
+            return self.batch.slice(k, n)
+
+    rows = [{"document_id": f"d{k}", "n": k} for k in range(3 * C.DOCUMENTS + 1)]
+    assert list(C.documents_of(Batch(pa.RecordBatch.from_pylist(rows)))) == rows and max(most) == C.DOCUMENTS
+    monkeypatch.setattr(C, "CHUNKS", 2)
+    df = spark.createDataFrame([(f"d{k}", "v", "t", [("s", "One sentence here. " * 900)]) for k in range(5)], "document_id string, version_id string, title string, sections array<struct<section_id:string,text:string>>")
+    found = C.chunked(df).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= C.BATCH
+    for k in range(5):
+        assert sorted(r.chunk_index for r in found if r.document_id == f"d{k}") == list(range(len(found) // 5)) and len(found) > 10
