@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evidara.llm.common import checkpointed
 
+#: Edges that a task takes at least: a table of fewer is one task's, and its rounds write no shuffle files.
+EDGES = 50_000
+
 
 def _signature(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
@@ -18,17 +21,19 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round joins every neighbour to its centre's smallest neighbour and checkpoints the
     edges; it ends when a round changes nothing. A centre with very many neighbours meets
-    a one-row-per-node table, so the join can be split.
+    a one-row-per-node table, so the join can be split. No round makes more edges than it gets,
+    so a few edges do not go over as many partitions as the tables that they come from.
     """
     e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = _signature(e)
     while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = -(-before[0] // EDGES)
+        both = e.coalesce(tasks).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        e = checkpointed(small.unionByName(down.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         now = _signature(e)
         if now == before:
             break

@@ -231,7 +231,7 @@ def _rows_in_groups(docs: DataFrame, words: int, similar: float, small: int) ->
     most = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
     mixed = checkpointed(_by_length(rooted.join(most.where("roots > 1"), "shingle").select("shingle", "node", "n", "i", "root", "largest"), similar).drop("least", "most"))
     rest = _crowded_pairs(mixed.where("root <> largest"), mixed, similar)
-    roots = connected_components(found.union(similar_pairs(rest)), "a", "b")
+    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar_pairs(rest)), "a", "b")  # the first links' components stand for them
 
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", F.col("first").alias("least"))

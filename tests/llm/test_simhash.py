@@ -95,3 +95,38 @@ def test_empty_and_extra_columns(docs):
     assert S.simhash_components(docs([]).where("doc_id < 0")).collect() == []
     df = docs(["a b c d"] * 3).selectExpr("*", "1 as fp", "2 as root", "3 as component_id")
     assert [r.component_id for r in S.simhash_components(df).collect()] == [1, 1, 1]
+
+
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    from evidara.llm import common as C
+    from evidara.llm import components
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 430)] + [(7, 7)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in p for p in pairs if p[0] != p[1])}
+    held = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame(pairs, "a long, b long").repartition(20)
+        for most in (components.EDGES, 90):
+            written = []
+
+            def kept(df, write=C.checkpointed, written=written):
+                out = write(df)
+                written.append(out.rdd.getNumPartitions())
+                return out
+
+            monkeypatch.setattr(components, "EDGES", most)
+            monkeypatch.setattr(components, "checkpointed", kept)
+            rows = components.connected_components(edges, "a", "b").collect()
+            assert {r.node: r.root for r in rows} == want and len(rows) == len(want)
+            assert len(written) > 2 and max(written[1:]) == (1 if most > 90 else 3)  # by their number, not over all 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
