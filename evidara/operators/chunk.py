@@ -259,16 +259,26 @@ def paragraphs(sections: DataFrame, keys: list[str], text: str = "text") -> Data
 def first_passages(sections: DataFrame, fit: Callable[[Column], Column], document: str = "document_id", section: str = "section_order") -> DataFrame:
     """(document, section, paragraph, char_start, char_end, passage): of each document (document, section, text) the first passage that fits.
 
-    Paragraphs of PASSAGE_LEAST characters and more without table bars are bounded; `fit` tells a passage of substance. Tests come
-    before the choice, and a document's first passage is a minimum, so only one row a document and task is shuffled.
+    Paragraphs of PASSAGE_LEAST characters and more without table bars are bounded; `fit` tells a passage of substance. A section is
+    gone through in order, and no paragraph after its first that fits is bounded or tested: those behind it cannot be
+    the document's. Of all sections with one the document's first is a minimum, so one row a document and task is shuffled.
     """
-    rows = paragraphs(sections, [document, section]).where((F.length("content") >= fixed.PASSAGE_LEAST) & ~F.col("content").contains("|"))
-    # exploded, so that tests read the passage instead of making it again each
-    bounded = rows.select("*", F.explode(F.array_compact(F.array(bounded_passage(F.col("content"))))).alias("b"))
-    found = bounded.where(fit(F.col("b.passage")))
-    start = F.col("char_start") + F.col("b.starts_at")
-    row = F.struct(section, "paragraph", start.alias("char_start"), (start + F.length("b.passage")).alias("char_end"), F.col("b.passage").alias("passage"))
-    return found.groupBy(document).agg(F.min_by(row, F.struct(section, "paragraph")).alias("r")).select(document, "r.*")
+    strip = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+    let = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  a value that is used more than once
+
+    def tested(part: Column, paragraph: Column, at: Column) -> Column:
+        start = at + F.length(part) - F.length(F.regexp_replace(part, r"(?U)^[\s\x1c-\x1f]+", ""))
+        place = lambda b: F.struct(paragraph.alias("paragraph"), (start + b["starts_at"]).alias("char_start"), (start + b["starts_at"] + F.length(b["passage"])).alias("char_end"), b["passage"].alias("passage"))
+        fits = lambda b: F.when(b.isNotNull() & fit(b["passage"]), place(b))
+        return let(F.regexp_replace(part, strip, ""), lambda c: F.when((F.length(c) >= fixed.PASSAGE_LEAST) & ~c.contains("|"), let(bounded_passage(c), fits)))
+
+    none = F.lit(None).cast("struct<paragraph:int,char_start:int,char_end:int,passage:string>")
+    step = lambda a, part: F.struct((a["paragraph"] + 1).alias("paragraph"), (a["at"] + F.length(part) + 2).alias("at"), F.coalesce(a["found"], tested(part, a["paragraph"], a["at"])).alias("found"))
+    begin = F.struct(F.lit(0).alias("paragraph"), F.lit(0).alias("at"), none.alias("found"))
+    # exploded, so that the test for null reads what was found instead of finding it again
+    first = F.aggregate(F.split(F.coalesce("text", F.lit("")), "\n\n"), begin, step, lambda a: F.array_compact(F.array(a["found"])))
+    found = sections.select(document, section, F.explode(first).alias("p"))
+    return found.groupBy(document).agg(F.min_by(F.struct(section, "p.*"), F.struct(section, "p.paragraph")).alias("r")).select(document, "r.*")
 
 
 def table_locator_fault(children: DataFrame, tables: DataFrame) -> DataFrame:

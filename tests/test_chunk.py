@@ -121,6 +121,17 @@ def test_first_passages_equal_a_loop(spark):
     assert method.passage == "(1) A method statement. Step 1. One. Step 2. Two." and method.char_start == 12
 
 
+def test_no_paragraph_after_the_first_that_fits_is_tested(spark):
+    from pyspark.sql import functions as F
+
+    part = lambda word: f"The {word} " + "and more words " * 10 + "end."
+    df = spark.createDataFrame([(1, 0, f"short\n\n{part('plain')}\n\n {part('good')}\n\n{part('late')}"), (1, 1, part("good")), (2, 0, None)], "document_id int, section_order int, text string")
+    fit = lambda p: F.when(p.contains("late"), F.raise_error(F.lit("tested")).cast("boolean")).otherwise(p.contains("good"))
+    got = [tuple(r) for r in C.first_passages(df, fit).collect()]
+    at = len(f"short\n\n{part('plain')}\n\n ")
+    assert got == [(1, 0, 2, at, at + len(part("good")), part("good"))]
+
+
 def test_every_locator_reason_comes_first_in_its_order(spark):
     text = '{"section_id": "s", "char_start": 0, "char_end": 3, "locator_precision": "exact"}'
     rows = '{"table_id": "t", "row_start": 1, "row_end": 2, "locator_precision": "table_rows"}'
