@@ -163,18 +163,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
-def chunked(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """Children of documents (document_id, version_id, title, sections, tables): a map, no shuffle."""
+def chunked(documents: DataFrame, sizes: Sizes = Sizes(), columns: list[str] | None = None) -> DataFrame:
+    """Children of documents (document_id, version_id, title, sections, tables): a map, no shuffle.
+
+    columns: those that are wanted, else all. Workers hand over no others; a parent's text goes with each of its children.
+    """
+    schema = pa.schema([f for f in CHUNK if columns is None or f.name in columns])
+    ddl = ", ".join(c for c in CHUNK_DDL.split(", ") if c.split()[0] in schema.names)
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             rows = ({"document_id": d["document_id"], "version_id": d["version_id"], **c} for d in documents_of(batch) for c in chunks(d, sizes))
             while some := list(islice(rows, CHUNKS)):
-                yield pa.RecordBatch.from_pylist(some, schema=CHUNK)
+                yield pa.RecordBatch.from_pylist(some, schema=schema)
 
     small_batches(documents.sparkSession)
     wanted = [c for c in ("document_id", "version_id", "title", "sections", "tables") if c in documents.columns]
-    return documents.select(*wanted).mapInArrow(run, CHUNK_DDL)
+    return documents.select(*wanted).mapInArrow(run, ddl)
 
 
 def parents_of(children: DataFrame) -> DataFrame:
@@ -187,31 +192,48 @@ def sizing_fault(text_units: Column, most: Column | int) -> Column:
     return F.when(text_units.isNull() | (text_units < 1), "empty").when(text_units > most, "oversize")
 
 
-def locator_fault(children: DataFrame, sections: DataFrame) -> DataFrame:
-    """(chunk_id, fault) of text chunks: null where the located characters are the chunk's text."""
-    j = children.where("chunk_type = 'text'").join(sections.select("document_id", "section_id", F.col("text").alias("source")), ["document_id", "section_id"], "left")
+#: What an audit reads of children.
+AUDITED = ["document_id", "version_id", "chunk_id", "parent_id", "chunk_type", "section_id", "char_start", "char_end", "text", "text_units"]
+
+
+def located(children: DataFrame, sections: DataFrame, more: list[str]) -> DataFrame:
+    """(chunk_id, more, fault) of all children, one row for each section of theirs: null for those that are not text or whose located characters are their text."""
+    is_text = F.col("chunk_type").eqNullSafe("text")
+    sources = sections.select(F.col("document_id").alias("_document"), F.col("section_id").alias("_section"), F.col("text").alias("source"))
+    j = children.join(sources, is_text & (F.col("document_id") == F.col("_document")) & (F.col("section_id") == F.col("_section")), "left")
     n = F.length("source")
     fault = (
         F.when(F.col("source").isNull(), "missing_source_section")
         .when(F.col("char_start").isNull() | F.col("char_end").isNull() | (F.col("char_start") < 0) | (F.col("char_start") > F.col("char_end")) | (F.col("char_end") > n), "invalid_character_span")
         .when(F.substring(F.col("source"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text"), "inexact_character_span")
     )
-    return j.select("chunk_id", fault.alias("fault"))
+    return j.select("chunk_id", *more, F.when(is_text, fault).alias("fault"))
+
+
+def locator_fault(children: DataFrame, sections: DataFrame) -> DataFrame:
+    """(chunk_id, fault) of text chunks: null where the located characters are the chunk's text."""
+    return located(children.where("chunk_type = 'text'"), sections, [])
 
 
 def audit(children: DataFrame, sections: DataFrame, most: int = fixed.CHILD_MAX) -> DataFrame:
-    """(check, failures) for duplicates, lineage, sizes and locators; a valid export has zeros."""
-    n = F.count(F.lit(1))
-    repeats = children.groupBy("chunk_id").agg(n.alias("n")).where("n > 1").agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("failures")).select(F.lit("duplicate_chunk_id").alias("check"), "failures")
-    plain = children.agg(
-        F.count_if(F.col("parent_id").isNull()).alias("missing_parent"),
-        F.count_if(sizing_fault(F.col("text_units"), most).isNotNull()).alias("sizing"),
-        F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("empty_text"),
-        F.count_if(F.col("document_id").isNull() | F.col("version_id").isNull()).alias("missing_lineage"),
-    )
-    flat = plain.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("failures")) for c in plain.columns))).alias("x")).select("x.check", "x.failures")
-    located = locator_fault(children, sections).agg(F.count("fault").alias("failures")).select(F.lit("locator").alias("check"), "failures")
-    return repeats.unionByName(flat).unionByName(located)
+    """(check, failures) for duplicates, lineage, sizes and locators; a valid export has zeros.
+
+    One pass over the children, which are dear to make: each meets its source once, and what is found of it goes
+    on as counts. A child whose section is there several times is held against each of them, and still is one child.
+    """
+    n = F.col("n")
+    once = {
+        "missing_parent": F.col("parent_id").isNull(),
+        "sizing": sizing_fault(F.col("text_units"), most).isNotNull(),
+        "empty_text": F.coalesce(F.trim("text"), F.lit("")) == "",
+        "missing_lineage": F.col("document_id").isNull() | F.col("version_id").isNull(),
+    }
+    rows = children.select("chunk_id", "chunk_type", "document_id", "section_id", "char_start", "char_end", "text", F.monotonically_increasing_id().alias("row"), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in once.items()))
+    judged = located(rows, sections, ["row", *once])
+    each = judged.groupBy("chunk_id", "row", *once).agg(F.count("fault").alias("locator"))
+    same = each.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(k).alias(k) for k in once), F.sum("locator").alias("locator"))
+    found = same.agg(F.sum(n - 1).alias("duplicate_chunk_id"), *(F.sum(k).alias(k) for k in (*once, "locator")))
+    return found.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).cast("bigint").alias("failures")) for c in found.columns))).alias("x")).select("x.check", "x.failures")
 
 
 def bounded_passage(text: Column) -> Column:

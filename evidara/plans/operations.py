@@ -20,7 +20,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.chunked(documents(spark, sf_dir)).select("document_id", "chunk_id", "parent_id", "chunk_index", "chunk_type", "char_start", "char_end", "row_start", "row_end", "text_units")
+    wanted = ["document_id", "chunk_id", "parent_id", "chunk_index", "chunk_type", "char_start", "char_end", "row_start", "row_end", "text_units"]
+    return chunk.chunked(documents(spark, sf_dir), columns=wanted).select(*wanted)
 
 
 @query("SELECT check_name AS \"check\", 0::BIGINT AS failures FROM (VALUES ('duplicate_chunk_id'), ('missing_parent'), ('sizing'), ('empty_text'), ('missing_lineage'), ('locator')) v(check_name)")
@@ -28,7 +29,7 @@ def chunk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sound export has no failures: located characters are held against the source texts."""
     d = documents(spark, sf_dir)
     sections = d.select("document_id", F.explode("sections").alias("s")).select("document_id", "s.section_id", "s.text")
-    return chunk.audit(chunk.chunked(d), sections)
+    return chunk.audit(chunk.chunked(d, columns=chunk.AUDITED), sections)
 
 
 @query()

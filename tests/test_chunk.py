@@ -121,6 +121,22 @@ def test_first_passages_equal_a_loop(spark):
     assert method.passage == "(1) A method statement. Step 1. One. Step 2. Two." and method.char_start == 12
 
 
+def test_audit_makes_children_once_and_counts_each_fault(spark):
+    section = [("s", "abcdef"), ("t", "xyz")]
+    sections = spark.createDataFrame([("d", *x) for x in section] + [("e", "s", "abc"), ("e", "s", "abd")], "document_id string, section_id string, text string")
+    rows = [
+        ("d", "v", "c1", "p", "text", "s", 0, 3, "abc", 1), ("d", "v", "c1", None, "text", "s", 0, 3, "abd", 0), ("d", "v", "c1", "p", "table", None, None, None, " ", 9), ("d", None, "c2", "p", "text", "u", 0, 3, "abc", 1),
+        ("d", "v", "c3", "p", "text", "t", 2, 9, "z", None), ("e", "v", "c4", None, "text", "s", 0, 3, "abc", 1), (None, "v", None, "p", "text", "s", 0, 1, "a", 1), ("d", "v", None, "p", None, "s", 5, 1, None, 1),
+    ]
+    children = spark.createDataFrame(rows, "document_id string, version_id string, chunk_id string, parent_id string, chunk_type string, section_id string, char_start int, char_end int, text string, text_units int")
+    want = {"duplicate_chunk_id": 3, "missing_parent": 2, "sizing": 3, "empty_text": 2, "missing_lineage": 2, "locator": 5}
+    assert {r["check"]: r.failures for r in C.audit(children, sections, 8).collect()} == want
+    assert {r["check"]: r.failures for r in C.audit(children.where("false"), sections, 8).collect()} == dict.fromkeys(want, 0)
+    docs = spark.createDataFrame([("d", "v", "t", [("s", "One sentence here. " * 90)])], "document_id string, version_id string, title string, sections array<struct<section_id:string,text:string>>")
+    plan = C.audit(C.chunked(docs, columns=C.AUDITED), sections)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow ") == 1 and "parent_text" not in plan
+
+
 def test_no_paragraph_after_the_first_that_fits_is_tested(spark):
     from pyspark.sql import functions as F
 
