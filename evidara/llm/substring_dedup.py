@@ -3,6 +3,9 @@
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a
 smaller doc_id. All strings are judged on the input, whole texts, nothing across documents.
 
+Equal texts are dealt to one share and fold there: the smallest doc_id stands for all, the
+others lose every byte. A map task hands over a text once, and copies it knows without text.
+
 Locating. Windows of ``length`` bytes are named after the smallest hash of their ``GRAM``-byte
 strings; equal windows have equal names, and neighbouring windows mostly share one, so a
 document is a list of runs of windows with one name (about one run for every 16 bytes).
@@ -10,13 +13,13 @@ document is a list of runs of windows with one name (about one run for every 16
 1. Each share of the documents asks a directory, dealt out by name, which of its names more
    than one document has. Only distinct names travel, a few bytes each.
 2. The runs with shared names are sent, by name, as short byte strings, equal ones once per
-   share. A name of very many shares would crowd one task: its windows go one by one instead,
+   share. A name of very many strings would crowd one task: its windows go one by one instead,
    dealt out by their own hash.
 3. What meets is searched by blocks of names: suffixes are ranked to the bounded depth, which
    gives the block's Burrows-Wheeler transform; the intervals of suffixes with a common prefix
-   of 1, 2, 3, ... bytes are found level by level by extending the level before by one symbol
-   to the left, until ``length`` is reached. An interval left then is one string; the smallest
-   doc_id in it decides for all its places.
+   of 1, 8, 15, ... bytes are found level by level by extending the level before by ``STEP``
+   symbols to the left, until ``length`` is reached. An interval left then is one string; the
+   smallest doc_id in it decides for all its places.
 4. The places to remove return to the documents' shares.
 
 The texts are dealt out once (one exchange serves three passes). All state is per share or
@@ -29,6 +32,7 @@ counts as larger than all others. With no rows the result is empty.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +44,20 @@ from evidara.llm.common import as_bytes, byte_chunks, input_bytes, mix64, parts,
 
 LENGTH, GRAM = 50, 20
 
-#: Names found in more shares than this are dealt out window by window.
-CROWDED = 256
+#: Names of more strings than this, added up over the shares, are dealt out window by window.
+CROWDED = 1 << 14
 
 #: A share of the documents reads no more than this of the input files, however few shuffle partitions are set.
 SHARE_BYTES = 32 << 20
 
-#: Bytes of strings that are ranked and searched together.
-BLOCK = 500_000
+#: Bytes of strings that are ranked and searched together, and of texts that are hashed together: what caches hold.
+BLOCK, HASHED = 100_000, 250_000
+
+#: Symbols by which intervals are extended at once; as many of 9 bits fill a word.
+STEP = 7
+
+#: Texts that a map task remembers. Beyond that it forgets them and hands over their copies as well.
+REMEMBERED = 200_000
 
 NO_DOC = np.iinfo(np.int64).max
 
@@ -63,11 +73,10 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the `gram` (9 to 24) bytes from each position; the last ones are not whole."""
-    x = _eights(data)
+def _gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` (9 to 24) bytes from each position, from the 8 bytes there; the last ones are not whole."""
     pad = np.concatenate([x, np.zeros(24, np.uint64)])
-    n = len(data)
+    n = len(x)
     with np.errstate(over="ignore"):
         h = x * np.uint64(0x9E3779B97F4A7C15) + pad[gram - 8 : gram - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
         if gram > 16:
@@ -76,24 +85,23 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of `width` values from each position, as far as there are any."""
+    """The smallest of `width` values from each position that has as many."""
     have, m = 1, h
     while have * 2 <= width:
-        m = np.minimum(m, np.concatenate([m[have:], m[-1:].repeat(min(have, len(m)))])[: len(m)])
+        m = np.minimum(m[:-have], m[have:])
         have *= 2
-    if have < width:
-        step = width - have
-        m = np.minimum(m, np.concatenate([m[step:], m[-1:].repeat(min(step, len(m)))])[: len(m)])
-    return m
+    return np.minimum(m[: len(m) - (width - have)], m[width - have :]) if have < width else m
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and name of each run of equally named windows."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, name and look of each run of equally named windows; equal strings look alike."""
     n = len(data)
     z = np.zeros(0, np.int64)
     if n < length:
-        return z, z, z.astype(np.uint64)
-    names = _sliding_min(_gram_hashes(data, gram), length - gram + 1)
+        return z, z, z.astype(np.uint64), z.astype(np.uint64)
+    eights = _eights(data)
+    names = np.zeros(n, np.uint64)
+    names[: n - length + 1] = _sliding_min(_gram_hashes(eights, gram)[: n - gram + 1], length - gram + 1)
     valid = np.zeros(n + 1, np.int32)
     long = np.flatnonzero(np.diff(offsets) >= length)
     valid[offsets[long]] += 1
@@ -105,22 +113,69 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     first = np.flatnonzero(fresh)
     stops = valid.copy()
     stops[:-1] &= ~valid[1:] | fresh[1:]
-    return first, np.flatnonzero(stops) + 1 - first, names[first]
+    last = np.flatnonzero(stops)
+    return first, last + 1 - first, names[first], mix64(eights[first] ^ mix64(eights[last + length - 8] ^ (last - first).astype(np.uint64)))
+
 
+DEALT_DDL = "part int, key bigint, size bigint, digest binary, text binary"
 
-def _sorted_share(table: pa.Table) -> tuple[pa.Table, list]:
-    """The share's rows in an order that does not depend on how they arrived."""
-    ids = table.column("key").to_pylist()
-    digests = [hashlib.blake2b(x.as_buffer(), digest_size=8).digest() for x in table.column("text")] if len(set(ids)) < len(ids) else [b""] * len(ids)
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], digests[k]))
-    return table.take(pa.array(order, pa.int64())) if order else table, [ids[k] for k in order]
+
+def fold_copies(batches: Iterator[pa.RecordBatch], shares: int, length: int, remembered: int = REMEMBERED) -> Iterator[pa.RecordBatch]:
+    """Deals rows out to shares, equal texts to the same one, each with its text once.
+
+    Rows with a digest and no text have that of another row of the share. Rows with neither
+    are copies of a smaller doc_id's text, and rows with a text and no digest have no window;
+    both are dealt out by doc_id, as they may be very many.
+    """
+    least: dict[bytes, int] = {}
+    for batch in batches:
+        ids, texts = batch.column("key").to_pylist(), batch.column("text")
+        spread = (mix64(np.array(ids, np.int64).view(np.uint64)) % np.uint64(shares)).tolist()
+        sizes, digests, given = [], [], []
+        for k, (i, text) in enumerate(zip(ids, texts)):
+            raw = text.as_buffer()
+            sizes.append(raw.size)
+            digest, give = None, True
+            if raw.size >= length:
+                digest = hashlib.blake2b(raw, digest_size=16).digest()
+                known = least.get(digest)
+                give = known is None
+                if not give and i > known:
+                    digest = None
+                else:
+                    if len(least) >= remembered:
+                        least.clear()
+                    least[digest] = i
+                    spread[k] = int.from_bytes(digest[:8], "little") % shares
+            digests.append(digest)
+            given.append(give)
+        if not all(given):
+            texts = texts.take(pa.array([k if g else None for k, g in enumerate(given)], pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(spread, pa.int32()), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), texts],
+            names=["part", "key", "size", "digest", "text"],
+        )
+
+
+def _distinct_texts(table: pa.Table) -> tuple[pa.Table, np.ndarray, dict[bytes, int]]:
+    """A share's texts that have windows, each once and in an order that does not depend on how rows arrived; their smallest doc_ids; their numbers by digest."""
+    digests, given = table.column("digest").to_pylist(), table.column("text").is_valid().to_pylist()
+    at: dict[bytes, int] = {}
+    least: dict[bytes, int] = {}
+    for k, (digest, i) in enumerate(zip(digests, table.column("key").to_pylist())):
+        if digest is not None:
+            least[digest] = min(i, least.get(digest, i))
+            if given[k]:
+                at.setdefault(digest, k)
+    order = sorted(at)
+    return table.select(["text"]).take(pa.array([at[d] for d in order], pa.int64())), np.array([least[d] for d in order], np.int64), {d: k for k, d in enumerate(order)}
 
 
 def _share_chunks(table: pa.Table):
     """(first row, bytes, offsets) over a share's texts."""
     row = 0
     for batch in table.select(["text"]).to_batches():
-        for a, _, data, offsets in byte_chunks(batch, "text"):
+        for a, _, data, offsets in byte_chunks(batch, "text", HASHED):
             yield row + a, data, offsets
         row += batch.num_rows
 
@@ -146,8 +201,8 @@ class _ShareNames:
 
     def __init__(self, names: np.ndarray, buckets: int):
         bucket, key = _slots(names, buckets)
-        # buckets beyond 2**16 share a place in the sort; equal (bucket, key) still stand together
-        self.order = np.lexsort((key, bucket))
+        # one sort of both in a word, where they fit; the order among equal ones does not matter
+        self.order = np.argsort(bucket.astype(np.uint64) << np.uint64(48) | key) if buckets <= 1 << 16 else np.lexsort((key, bucket))
         b, k = bucket[self.order], key[self.order]
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
@@ -163,17 +218,18 @@ class _ShareNames:
 
 
 def _share_runs(table: pa.Table, length: int, gram: int):
-    """All runs of a share: row, place in the row's text, windows, name."""
-    rows, places, counts, names = [], [], [], []
+    """All runs of a share: row, place in the row's text, windows, name, look."""
+    rows, places, counts, names, looks = [], [], [], [], []
     for row, data, offsets in _share_chunks(table):
-        first, n, name = runs_of(data, offsets, length, gram)
+        first, n, name, look = runs_of(data, offsets, length, gram)
         doc = np.searchsorted(offsets, first, side="right") - 1
         rows.append(doc + row)
         places.append(first - offsets[doc])
         counts.append(n)
         names.append(name)
+        looks.append(look)
     cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-    return cat(rows, np.int64), cat(places, np.int64), cat(counts, np.int64), cat(names, np.uint64)
+    return cat(rows, np.int64), cat(places, np.int64), cat(counts, np.int64), cat(names, np.uint64), cat(looks, np.uint64)
 
 
 REQUEST = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
@@ -181,35 +237,39 @@ REQUEST_DDL = "bucket int, part int, blob binary"
 
 
 def ask_directory(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
-    """A share's distinct names, each with whether several of its own documents have it."""
+    """A share's distinct names, each with whether several of its own texts have it (the highest bit) and how many strings do (a power of two)."""
     part = table.column("part")[0].as_py()
-    table, ids = _sorted_share(table)
-    rows, _, _, names = _share_runs(table, length, gram)
+    table, _, _ = _distinct_texts(table)
+    rows, _, _, names, looks = _share_runs(table, length, gram)
     s = _ShareNames(names, buckets)
-    docs = np.array(ids, np.int64)[rows] if len(rows) else rows
-    several = np.zeros(len(s.first), bool)
-    if len(docs):
-        d = docs[s.order]
-        low, high = np.minimum.reduceat(d, s.first), np.maximum.reduceat(d, s.first)
-        several = low != high
+    note = np.zeros(len(s.first), np.uint8)
+    if len(rows):
+        d = rows[s.order]
+        note[np.minimum.reduceat(d, s.first) != np.maximum.reduceat(d, s.first)] = 128
+        often = np.bincount(s.group) > 1
+        some = np.flatnonzero(often[s.group])
+        some = some[np.lexsort((looks[some], s.group[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (s.group[some[1:]] != s.group[some[:-1]]) | (looks[some[1:]] != looks[some[:-1]])
+        note[often] |= np.ceil(np.log2(np.bincount(s.group[some[new]], minlength=len(note))[often])).astype(np.uint8)
     out: list[list] = [[], [], []]
     for bucket, a, b in s.spans():
         out[0].append(bucket)
         out[1].append(part)
-        out[2].append(_six(s.key[a:b]) + np.packbits(several[a:b]).tobytes())
+        out[2].append(_six(s.key[a:b]) + note[a:b].tobytes())
     return pa.table([pa.array(c, t.type) for c, t in zip(out, REQUEST)], schema=REQUEST)
 
 
 def answer_names(table: pa.Table, crowded: int) -> pa.Table:
-    """For every name asked for: do two documents or more have it, and do very many shares."""
+    """For every name asked for: do two texts or more have it, and do very many strings."""
     blobs = [x.as_py() for x in table.column("blob")]
-    sizes = [_names_in(len(b)) for b in blobs]
+    sizes = [len(b) // 7 for b in blobs]
     keys = np.concatenate([_from_six(b[: 6 * n]) for b, n in zip(blobs, sizes)])
-    several = np.concatenate([np.unpackbits(np.frombuffer(b[6 * n :], np.uint8), count=n) for b, n in zip(blobs, sizes)])
+    note = np.concatenate([np.frombuffer(b[6 * n :], np.uint8) for b, n in zip(blobs, sizes)])
     _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
     shared = count > 1
-    shared[inverse[several == 1]] = True
-    hot = count > crowded
+    shared[inverse[note >= 128]] = True
+    hot = np.bincount(inverse, weights=np.ldexp(1.0, note & 127)) > crowded
     out = []
     at = 0
     for n in sizes:
@@ -219,14 +279,6 @@ def answer_names(table: pa.Table, crowded: int) -> pa.Table:
     return pa.table([table.column("bucket").combine_chunks(), table.column("part").combine_chunks(), pa.array(out, pa.binary())], schema=REQUEST)
 
 
-def _names_in(size: int) -> int:
-    """n with 6 n + ceil(n / 8) = size"""
-    n = size * 8 // 49
-    while 6 * n + (n + 7) // 8 < size:
-        n += 1
-    return n
-
-
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... of count[0] numbers, then those of the next."""
     total = int(count.sum())
@@ -239,8 +291,8 @@ def send_strings(table: pa.Table, answers: pa.Table, buckets: int, length: int,
     if not table.num_rows or not answers.num_rows:
         return pa.table([pa.array(c, t.type) for c, t in zip(out, REQUEST)], schema=REQUEST)
     part = table.column("part")[0].as_py()
-    table, ids = _sorted_share(table)
-    rows, places, counts, names = _share_runs(table, length, gram)
+    table, key, _ = _distinct_texts(table)
+    rows, places, counts, names, _ = _share_runs(table, length, gram)
     s = _ShareNames(names, buckets)
     shared, hot = np.zeros(len(s.first), bool), np.zeros(len(s.first), bool)
     said = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
@@ -249,10 +301,10 @@ def send_strings(table: pa.Table, answers: pa.Table, buckets: int, length: int,
         shared[a:b] = np.unpackbits(np.frombuffer(bits[:half], np.uint8), count=b - a)
         hot[a:b] = np.unpackbits(np.frombuffer(bits[half:], np.uint8), count=b - a)
     shared, hot = shared[s.group], hot[s.group]
-    key = np.array(ids, np.int64)
     kept: list[tuple] = []
     for row, data, offsets in _share_chunks(table):
-        mine = np.flatnonzero(shared & (rows >= row) & (rows < row + len(offsets) - 1))
+        a, b = np.searchsorted(rows, [row, row + len(offsets) - 1])
+        mine = a + np.flatnonzero(shared[a:b])
         cold, warm = mine[~hot[mine]], mine[hot[mine]]
         begin = np.concatenate([offsets[rows[cold] - row] + places[cold], _ranges(offsets[rows[warm] - row] + places[warm], counts[warm])])
         windows = np.concatenate([counts[cold], np.ones(int(counts[warm].sum()), np.int64)])
@@ -308,55 +360,66 @@ def _unpack(blob: bytes):
 
 
 def bounded_ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first `depth` symbols or more (doubling), and the ranks; symbols: 0 to 256."""
+    """Suffixes in the order of their first `depth` symbols or more, and the first `STEP` symbols of each in 9 bits; symbols: 0 to 256.
+
+    The depth grows as many times in a round as ranks go into a word: three times for blocks of up to two million.
+    """
     n = len(symbols)
-    pad = np.concatenate([symbols.astype(np.uint64), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = key * np.uint64(257) + pad[k : k + n]
-    have = 7
+    pad = np.concatenate([symbols.astype(np.uint64), np.zeros(STEP, np.uint64)])
+    start = np.zeros(n, np.uint64)
+    for k in range(STEP):
+        start = start << np.uint64(9) | pad[k : k + n]
+    bits = (n + 1).bit_length()
+    times = 64 // bits
+    key, have = start, STEP
     while True:
         order = np.argsort(key)  # ties are beyond the depth: any order will do
+        if have >= depth:
+            return order, start
         ordered = key[order]
         new = np.zeros(n, bool)
         np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(new, dtype=np.uint32)
-        if have >= depth:
-            return order, rank
-        key = rank << np.uint64(32)
-        key[: n - have] |= rank[have:] + np.uint64(1)
-        have *= 2
+        key = rank.copy()
+        rank += np.uint64(1)
+        for k in range(1, times):
+            key <<= np.uint64(bits)
+            key[: max(0, n - k * have)] |= rank[k * have :]
+        have *= times
 
 
 def expand_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix order, and for each place of it the interval of suffixes with the same first `length` symbols.
 
     Breadth first by the length of the common prefix: the boundaries between intervals of
-    l + 1 symbols are the backward extensions of those of l symbols. Extending to the left
-    by the symbol at the transform takes place k of the order to place back[k]; two
-    neighbours with the same first symbol part at l + 1 if what follows it parts at l.
+    l + STEP symbols are the backward extensions of those of l symbols. Extending to the left
+    by the STEP symbols before the transform's place k takes it to the order's place back[k];
+    two neighbours with the same first STEP symbols part at l + STEP if what follows these parts at l.
     """
     n = len(symbols)
-    order, _ = bounded_ranks(symbols, length + 1)
-    place = np.empty(n + 1, np.int32)
+    order, start = bounded_ranks(symbols, length)
+    place = np.empty(n + STEP, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
-    place[n] = 0
-    following = place[order + 1]  # the place of the suffix one symbol shorter: inverse of the backward step
-    first = symbols[order]
-    parted = np.ones(n, bool)
+    place[n:] = 0
+    following = place[order + STEP]  # the place of the suffix STEP symbols shorter: inverse of the backward step
+    level = (length - 1) % STEP + 1
+    first = start[order]
+    steps, parted = np.ones(n, bool), np.ones(n, bool)
+    steps[1:] = first[1:] != first[:-1]
+    first >>= np.uint64(9 * (STEP - level))
     parted[1:] = first[1:] != first[:-1]
-    together = np.flatnonzero(~parted)
+    together = np.flatnonzero(~steps)
     right, left = following[together], following[together - 1]
     interval = np.empty(n, np.int32)
-    for _ in range(1, length):
+    while level < length:
         np.cumsum(parted, dtype=np.int32, out=interval)
         splits = interval[right] != interval[left]
-        if not splits.any():
-            break  # no common prefix ends between here and the threshold
+        parted = steps
         parted[together[splits]] = True
         stay = ~splits
         together, right, left = together[stay], right[stay], left[stay]
+        level += STEP
     return order, np.cumsum(parted, dtype=np.int32) - 1
 
 
@@ -460,27 +523,39 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], axis=1)
 
 
-def cut_out(table: pa.Table, removals: pa.Table, with_text: bool) -> pa.Table:
+def cut_out(table: pa.Table, removals: pa.Table, length: int, with_text: bool) -> pa.Table:
     """The share's documents without what they have to remove."""
     out: list[list] = [[] for _ in KEPT]
     if table.num_rows:
-        table, ids = _sorted_share(table)
+        texts, least, number = _distinct_texts(table)
         z = zstandard.ZstdDecompressor()
         recs = [np.frombuffer(z.decompress(x.as_py()), np.uint32).reshape(-1, 3) for x in removals.column("blob")] if removals.num_rows else []
         rec = np.concatenate(recs) if recs else np.zeros((0, 3), np.uint32)
         rec = rec[np.argsort(rec[:, 0], kind="stable")].astype(np.int64)
-        edges = np.searchsorted(rec[:, 0], np.arange(len(ids) + 1))
-        for k, (i, text) in enumerate(zip(ids, table.column("text"))):
-            raw = text.as_buffer()
-            spans = merged(rec[edges[k] : edges[k + 1], 1:]).tolist() if edges[k] < edges[k + 1] else []
+        edges = np.searchsorted(rec[:, 0], np.arange(len(least) + 1))
+
+        def without(raw: pa.Buffer, spans: list) -> tuple:
             kept, at = [], 0
             for a, b in spans:
                 kept.append(memoryview(raw)[at:a])
                 at = b
             kept.append(memoryview(raw)[at:])
             left = b"".join(kept)
-            values = (None if i == NO_DOC else i, raw.size, raw.size - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_text else None)
-            for c, v in zip(out, values):
+            return raw.size - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_text else None
+
+        results = []
+        for k, text in enumerate(texts.column("text")):
+            results.append(without(text.as_buffer(), merged(rec[edges[k] : edges[k + 1], 1:]).tolist() if edges[k] < edges[k + 1] else []))
+        nothing = hashlib.sha256(b"").hexdigest(), b"" if with_text else None
+        for i, size, digest, text in zip(*(table.column(c) for c in ("key", "size", "digest", "text"))):
+            i, size, digest = i.as_py(), size.as_py(), digest.as_py()
+            if digest is None and text.is_valid:
+                result = without(text.as_buffer(), [])  # no window
+            elif digest is None or i > least[number[digest]]:
+                result = (size, 1, *nothing)  # a copy
+            else:
+                result = results[number[digest]]
+            for c, v in zip(out, (None if i == NO_DOC else i, size, *result)):
                 c.append(v)
     return pa.table([pa.array(c, t.type) for c, t in zip(out, KEPT)], schema=KEPT)
 
@@ -491,12 +566,12 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     small_batches(spark)
     n = shares or max(parts(spark, 2), -(-input_bytes(docs) // SHARE_BYTES))
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_DOC)))
-    dealt = docs.select(key.alias("key"), as_bytes().alias("text")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    dealt = docs.select(key.alias("key"), as_bytes().alias("text")).mapInArrow(lambda batches: fold_copies(batches, n, length), DEALT_DDL)
     asked = dealt.groupBy("part").applyInArrow(lambda t: ask_directory(t, n, length, gram), REQUEST_DDL)
     answers = asked.groupBy("bucket").applyInArrow(lambda t: answer_names(t, crowded), REQUEST_DDL)
     strings = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda t, a: send_strings(t, a, n, length, gram), REQUEST_DDL)
     places = strings.groupBy("bucket").applyInArrow(lambda t: search_strings(t, length), "part int, blob binary")
-    kept = dealt.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(lambda t, r: cut_out(t, r, with_text), KEPT_DDL)
+    kept = dealt.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(lambda t, r: cut_out(t, r, length, with_text), KEPT_DDL)
     return kept if with_text else kept.drop("kept")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidara.llm import substring_dedup as S
@@ -85,3 +86,85 @@ def test_kept_text_round_trip(docs):
     t = "abcdefghij" * 6
     got = {r.doc_id: bytes(r.kept) for r in S.drop_repeated_strings(docs([t, "x" + t + "y"]), with_text=True).collect()}
     assert got == {1: t.encode(), 2: b"xy"}
+
+
+@pytest.mark.parametrize("crowded", [S.CROWDED, 3])
+def test_copies_in_any_order_equal_brute_force(docs, crowded):
+    made = texts(9, 30)
+    rows = list(enumerate(made * 3, 1))[::-1] + [(4, made[3]), (2, made[8]), (200, made[3]), (200, made[3])]
+    want = brute([(i, (t or "").encode()) for i, t in rows])
+    assert run(docs(rows).coalesce(1), crowded=crowded, shares=5) == want
+    assert run(docs(rows).repartition(6), crowded=crowded) == want
+    no_id = "abcdefghijk" * 6
+    got = S.drop_repeated_strings(docs([(None, no_id), (7, no_id), (None, no_id)]), with_text=True).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == [(0, 66, 1, b""), (0, 66, 1, b""), (7, 0, 0, no_id.encode())]
+
+
+@pytest.mark.parametrize("remembered", [2, 100])
+def test_a_task_hands_over_a_text_once_and_spreads_its_copies(remembered):
+    t = b"one text that very many documents share, as a notice or a page of errors"
+    ids = [7, 5, *range(8, 1008), 5]
+    batch = pa.record_batch({"key": pa.array(ids, pa.int64()), "text": pa.array([t] * len(ids), pa.binary())})
+    (out,) = S.fold_copies(iter([batch]), 10, 50, remembered)
+    rows = out.to_pylist()
+    assert [r["key"] for r in rows if r["text"] is not None] == [7]
+    assert [r["key"] for r in rows if r["digest"] is not None] == [7, 5, 5]
+    assert len({r["part"] for r in rows if r["digest"] is not None}) == 1
+    assert max(np.bincount([r["part"] for r in rows if r["digest"] is None], minlength=10)) < 200
+    assert {r["size"] for r in rows} == {len(t)}
+
+
+def dealt(pairs, shares=1):
+    (out,) = S.fold_copies(iter([pa.record_batch({"key": pa.array([i for i, _ in pairs], pa.int64()), "text": pa.array([t for _, t in pairs], pa.binary())})]), shares, 50)
+    return pa.Table.from_batches([out])
+
+
+def test_copies_send_no_strings():
+    made = [(x + " ").encode() * 3 for x in ("once upon a time there was a very long text", "and another one that has nothing to do with it")]
+    copies = dealt([(i, made[i % 2]) for i in range(100)])
+    answers = S.answer_names(S.ask_directory(copies, 4, 50, 20), S.CROWDED)
+    assert S.send_strings(copies, answers, 4, 50, 20).num_rows == 0
+    assert sum(S.cut_out(copies, pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())}), 50, False).column("n_removed").to_pylist()) == sum(len(made[i % 2]) for i in range(2, 100))
+
+
+def test_only_names_of_many_strings_are_dealt_out_by_window():
+    def hot(texts_of_shares, crowded):
+        asked = []
+        for part, some in enumerate(texts_of_shares):
+            t = dealt(list(enumerate(some)))
+            asked.append(S.ask_directory(t.set_column(0, "part", pa.array([part] * t.num_rows, pa.int32())), 1, 50, 20))
+        answers = S.answer_names(pa.concat_tables(asked), crowded)
+        n = [len(x.as_py()) // 7 for x in pa.concat_tables(asked).column("blob")]
+        return any(np.unpackbits(np.frombuffer(b.as_py(), np.uint8)[(k + 7) // 8 :], count=k).any() for b, k in zip(answers.column("blob"), n))
+
+    line = b"this line stands in every share of the documents, and nowhere else does"
+    assert not hot([[line]] * 300, 300)  # one string, however many shares have it
+    assert not hot([[line, line + b"!"]] * 20, 300)
+    rng = random.Random(5)
+    assert hot([[rng.randbytes(40) + line + rng.randbytes(40) for _ in range(40)] for _ in range(20)], 300)
+
+
+@pytest.mark.parametrize("length", [1, 2, 6, 7, 8, 14, 15, 22, 50])
+def test_intervals_of_any_length_equal_sorted_prefixes(length):
+    rng = np.random.default_rng(length)
+    strings = [rng.integers(1, 3, int(k)) for k in rng.integers(1, 120, 40)] + [np.full(130, 256), np.tile([2, 1, 1], 60)]
+    s = np.concatenate([np.append(x, 0) for x in [*strings, *strings[:9]]]).astype(np.uint16)
+    order, interval = S.expand_intervals(s, length)
+    prefix = [tuple(s[p : p + length]) for p in order]
+    inside = [len(x) == length and 0 not in x for x in prefix]
+    seen = {}
+    for x, i, ok in zip(prefix, interval.tolist(), inside):
+        if ok:
+            assert seen.setdefault(x, i) == i
+    assert len(set(seen.values())) == len(seen)
+    assert not set(seen.values()) & {i for i, ok in zip(interval.tolist(), inside) if not ok}
+
+
+def test_a_block_takes_three_sorts_and_few_levels(monkeypatch):
+    calls = {"argsort": 0, "cumsum": 0}
+    for name in calls:
+        f = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *a, f=f, name=name, **k: calls.update({name: calls[name] + 1}) or f(*a, **k))
+    s = np.random.default_rng(1).integers(1, 257, 5_000).astype(np.uint16)
+    S.expand_intervals(np.append(np.tile(s, 3), 0).astype(np.uint16), 50)
+    assert calls["argsort"] <= 3 and calls["cumsum"] <= 10
