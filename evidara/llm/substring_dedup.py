@@ -15,8 +15,8 @@ document is a list of runs of windows with one name (about one run for every 16
 2. The runs with shared names are sent, by name, as short byte strings, equal ones once per
    share. A name of very many strings would crowd one task: its windows go one by one instead,
    dealt out by their own hash.
-3. What meets is searched by blocks of names: suffixes are ranked to the bounded depth, which
-   gives the block's Burrows-Wheeler transform; the intervals of suffixes with a common prefix
+3. What meets is searched by blocks of names, as far as a name has several strings: suffixes
+   are ranked to the bounded depth, which gives the block's Burrows-Wheeler transform; the intervals of suffixes with a common prefix
    of 1, 8, 15, ... bytes are found level by level by extending the level before by ``STEP``
    symbols to the left, until ``length`` is reached. An interval left then is one string; the
    smallest doc_id in it decides for all its places.
@@ -51,7 +51,10 @@ CROWDED = 1 << 14
 SHARE_BYTES = 32 << 20
 
 #: Bytes of strings that are ranked and searched together, and of texts that are hashed together: what caches hold.
-BLOCK, HASHED = 100_000, 250_000
+BLOCK, HASHED = 50_000, 100_000
+
+#: Windows, of all places of the strings, that are compared with their owners together.
+COMPARED = 1_000_000
 
 #: Symbols by which intervals are extended at once; as many of 9 bits fill a word.
 STEP = 7
@@ -457,45 +460,51 @@ def search_strings(table: pa.Table, length: int, block: int = BLOCK) -> pa.Table
     least = np.minimum.reduceat(doc, at_occ[:-1])
     whole = range_hashes_by_blocks(text, at_text)
     order = np.lexsort((size, whole, sub))
-    found: dict[int, list[np.ndarray]] = {}
-    # blocks of whole names: cut where the name changes, after about `block` bytes
-    total = np.cumsum(size[order])
-    changes = np.flatnonzero(np.diff(sub[order], append=sub[order[-1]] ^ np.uint64(1)) != 0) + 1
+    new = np.ones(len(order), bool)
+    x, y = order[1:], order[:-1]
+    new[1:] = (sub[x] != sub[y]) | (whole[x] != whole[y]) | (size[x] != size[y])
+    head = np.flatnonzero(new)
+    distinct, which = order[head], np.cumsum(new) - 1
+    smallest, windows = np.minimum.reduceat(least[order], head), size[distinct] - length + 1
+    at_window = np.concatenate([[0], np.cumsum(windows)])
+    owners = np.repeat(smallest, windows)
+    # a window has one name, so strings without others of their name share none; the rest goes by blocks of whole names
+    same = sub[distinct[1:]] == sub[distinct[:-1]]
+    some = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    total = np.cumsum(size[distinct[some]])
+    changes = np.flatnonzero(np.append(np.diff(sub[distinct[some]]) != 0, True)) + 1
     a = 0
-    while a < len(order):
-        want = (total[a - 1] if a else 0) + block
-        b = int(changes[min(np.searchsorted(total[changes - 1], want), len(changes) - 1)])
-        b = max(b, int(changes[np.searchsorted(changes, a, side="right")]))
-        x = order[a:b]
-        new = np.ones(len(x), bool)
-        new[1:] = (sub[x[1:]] != sub[x[:-1]]) | (whole[x[1:]] != whole[x[:-1]]) | (size[x[1:]] != size[x[:-1]])
-        head = np.flatnonzero(new)
-        distinct, which = x[head], np.cumsum(new) - 1
-        owners = repeated_windows(text[_ranges(at_text[distinct], size[distinct])], size[distinct], np.minimum.reduceat(least[x], head), length)
-        at_window = np.concatenate([[0], np.cumsum(size[distinct] - length + 1)])
-        o = _ranges(at_occ[x], n_occ[x])
-        k = np.repeat(which, n_occ[x])
-        for lo in range(0, len(o), 100_000):
-            some, ks = o[lo : lo + 100_000], k[lo : lo + 100_000]
-            n = at_window[ks + 1] - at_window[ks]
-            gone = owners[_ranges(at_window[ks], n)] < np.repeat(doc[some], n)
-            step = np.diff(gone.astype(np.int8), prepend=0, append=0)
-            edge = np.concatenate([[0], np.cumsum(n)])
-            inner = edge[1:-1]
-            both = inner[gone[inner] & gone[inner - 1]] if len(inner) else inner  # a string ends and the next begins
-            starts = np.sort(np.concatenate([np.flatnonzero(step == 1), both]))
-            stops = np.sort(np.concatenate([np.flatnonzero(step == -1), both]))
-            which_occ = np.searchsorted(edge, starts, side="right") - 1
-            p = place[some[which_occ]].astype(np.int64)
-            rec = np.stack([row[some[which_occ]].astype(np.int64), p + starts - edge[which_occ], p + stops - edge[which_occ] + length - 1], axis=1).astype(np.uint32)
-            src = source[some[which_occ]]
-            by = np.argsort(src, kind="stable")
-            cuts = np.flatnonzero(np.diff(src[by], prepend=-1, append=-1))
-            for c, d in zip(cuts[:-1], cuts[1:]):
-                found.setdefault(part_of[src[by[c]]], []).append(rec[by[c:d]])
+    while a < len(some):
+        b = int(changes[np.searchsorted(changes, max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + block))))])
+        k = some[a:b]
+        d = distinct[k]
+        owners[_ranges(at_window[k], windows[k])] = repeated_windows(text[_ranges(at_text[d], size[d])], size[d], smallest[k], length)
         a = b
+    o = _ranges(at_occ[order], n_occ[order])
+    k = np.repeat(which, n_occ[order])
+    recs, sources = [np.zeros((0, 3), np.uint32)], [np.zeros(0, np.int64)]
+    reach, hi = np.cumsum(windows[k]), 0
+    while hi < len(o):
+        lo, hi = hi, max(hi + 1, int(np.searchsorted(reach, (reach[hi - 1] if hi else 0) + COMPARED, side="right")))
+        some, ks = o[lo:hi], k[lo:hi]
+        n = windows[ks]
+        gone = owners[_ranges(at_window[ks], n)] < np.repeat(doc[some], n)
+        step = np.diff(gone.astype(np.int8), prepend=0, append=0)
+        edge = np.concatenate([[0], np.cumsum(n)])
+        inner = edge[1:-1]
+        both = inner[gone[inner] & gone[inner - 1]]  # a string ends and the next begins
+        starts = np.sort(np.concatenate([np.flatnonzero(step == 1), both]))
+        stops = np.sort(np.concatenate([np.flatnonzero(step == -1), both]))
+        which_occ = np.searchsorted(edge, starts, side="right") - 1
+        p = place[some[which_occ]].astype(np.int64)
+        recs.append(np.stack([row[some[which_occ]].astype(np.int64), p + starts - edge[which_occ], p + stops - edge[which_occ] + length - 1], axis=1).astype(np.uint32))
+        sources.append(source[some[which_occ]])
+    rec, src = np.concatenate(recs), np.concatenate(sources)
+    by = np.argsort(src, kind="stable")
+    rec, src = rec[by], src[by]
+    cuts = np.flatnonzero(np.diff(src, prepend=-1, append=-1)) if len(src) else []
     pack = zstandard.ZstdCompressor(level=1)
-    blobs = [(p, pack.compress(np.concatenate(r).tobytes())) for p, r in found.items()]
+    blobs = [(part_of[src[c]], pack.compress(rec[c:d].tobytes())) for c, d in zip(cuts[:-1], cuts[1:])]
     return pa.table([pa.array([p for p, _ in blobs], pa.int32()), pa.array([r for _, r in blobs], pa.binary())], schema=REMOVE)
 
 
@@ -531,8 +540,10 @@ def cut_out(table: pa.Table, removals: pa.Table, length: int, with_text: bool) -
         z = zstandard.ZstdDecompressor()
         recs = [np.frombuffer(z.decompress(x.as_py()), np.uint32).reshape(-1, 3) for x in removals.column("blob")] if removals.num_rows else []
         rec = np.concatenate(recs) if recs else np.zeros((0, 3), np.uint32)
-        rec = rec[np.argsort(rec[:, 0], kind="stable")].astype(np.int64)
-        edges = np.searchsorted(rec[:, 0], np.arange(len(least) + 1))
+        rec = rec.astype(np.int64)
+        spans = merged((rec[:, :1] << 32) + rec[:, 1:]) if len(rec) else rec[:, 1:]  # texts lie far apart
+        edges = np.searchsorted(spans[:, 0] >> 32, np.arange(len(least) + 1)).tolist()
+        spans = (spans & (1 << 32) - 1).tolist()
 
         def without(raw: pa.Buffer, spans: list) -> tuple:
             kept, at = [], 0
@@ -545,10 +556,9 @@ def cut_out(table: pa.Table, removals: pa.Table, length: int, with_text: bool) -
 
         results = []
         for k, text in enumerate(texts.column("text")):
-            results.append(without(text.as_buffer(), merged(rec[edges[k] : edges[k + 1], 1:]).tolist() if edges[k] < edges[k + 1] else []))
+            results.append(without(text.as_buffer(), spans[edges[k] : edges[k + 1]]))
         nothing = hashlib.sha256(b"").hexdigest(), b"" if with_text else None
-        for i, size, digest, text in zip(*(table.column(c) for c in ("key", "size", "digest", "text"))):
-            i, size, digest = i.as_py(), size.as_py(), digest.as_py()
+        for i, size, digest, text in zip(*(table.column(c).to_pylist() for c in ("key", "size", "digest")), table.column("text")):
             if digest is None and text.is_valid:
                 result = without(text.as_buffer(), [])  # no window
             elif digest is None or i > least[number[digest]]:

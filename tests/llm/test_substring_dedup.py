@@ -168,3 +168,20 @@ def test_a_block_takes_three_sorts_and_few_levels(monkeypatch):
     s = np.random.default_rng(1).integers(1, 257, 5_000).astype(np.uint16)
     S.expand_intervals(np.append(np.tile(s, 3), 0).astype(np.uint16), 50)
     assert calls["argsort"] <= 3 and calls["cumsum"] <= 10
+
+
+def test_search_takes_equal_strings_once_and_leaves_lone_ones(monkeypatch):
+    rng = random.Random(3)
+    line, lone = rng.randbytes(400), [rng.randbytes(70) for _ in range(2)]
+    shares = [dealt([(10 * p, rng.randbytes(30) + line + rng.randbytes(30)), (10 * p + 1, lone[p % 2] + b"-" * p)]) for p in range(30)]
+    shares = [t.set_column(0, "part", pa.array([p] * t.num_rows, pa.int32())) for p, t in enumerate(shares)]
+    answers = S.answer_names(pa.concat_tables([S.ask_directory(t, 1, 50, 20) for t in shares]), S.CROWDED)
+    sent = pa.concat_tables([S.send_strings(t, answers.filter(pa.array([x == p for x in answers.column("part").to_pylist()])), 1, 50, 20) for p, t in enumerate(shares)])
+    seen, search = [], S.repeated_windows
+    monkeypatch.setattr(S, "repeated_windows", lambda text, size, *a: seen.append((len(size), int(size.sum()))) or search(text, size, *a))
+    wanted = sorted(r for r in zip(*S.search_strings(sent, 50).to_pydict().values()))
+    assert len(seen) == 1 and seen[0][1] < sum(int(S._unpack(x.as_py())[1].sum()) for x in sent.column("blob")) / 2
+    seen.clear()
+    monkeypatch.setattr(S, "COMPARED", 100)
+    assert sorted(r for r in zip(*S.search_strings(sent, 50, block=300).to_pydict().values())) == wanted
+    assert len(seen) > 1
